@@ -1,4 +1,4 @@
-"""The per-task step of the exact neighbour search: one pair of blocks of sparse vectors."""
+"""The per-task step of the exact comparison of posts: one pair of blocks of sparse vectors."""
 
 from __future__ import annotations
 
@@ -7,16 +7,16 @@ import pandas as pd
 
 # Terms in more than this share of a block are multiplied as dense columns.
 DENSE_SHARE = 0.02
-# Dense columns and partial products handled at once.
-DENSE_COLUMNS = 1024
+# Rows of the first block, dense columns and partial products handled at once.
+TILE_ROWS = 1000
+DENSE_COLUMNS = 512
 PRODUCTS = 4_000_000
 
 
 class _Block:
-    """Sparse vectors of a block, as postings sorted by term."""
+    """Sparse vectors of some posts in order of id, as postings sorted by term."""
 
     def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values("id", ignore_index=True)
         self.ids = rows["id"].to_numpy()
         lengths = rows["terms"].map(len).to_numpy()
         owner = np.repeat(np.arange(len(rows)), lengths)
@@ -64,31 +64,65 @@ def _similarities(a: _Block, b: _Block) -> np.ndarray:
     return sims
 
 
+def _tiles(rows: pd.DataFrame, digits: int):
+    """Rounded similarities of the two blocks in a group, some rows of the first at a time.
+
+    Yields (ids of the tile, ids of the second block, similarities, whether the blocks differ);
+    a block paired with itself yields NaN for a post and itself.
+    """
+    lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
+    first = rows[rows["block"] == lo].sort_values("id", ignore_index=True)
+    second = first if lo == hi else rows[rows["block"] == hi].sort_values("id", ignore_index=True)
+    if first.empty or second.empty:
+        return
+    b = _Block(second)
+    for i in range(0, len(first), TILE_ROWS):
+        a = _Block(first.iloc[i:i + TILE_ROWS])
+        sims = np.round(_similarities(a, b), digits)
+        if lo == hi:
+            own = np.arange(len(a.ids))
+            sims[own, own + i] = np.nan
+        yield a.ids, b.ids, sims, lo != hi
+
+
 def _best(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, k: int) -> pd.DataFrame:
-    # others are ascending, so a stable sort orders ties by id
+    # others are ascending, so a stable sort orders ties by id; NaN sorts last
     top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-    return pd.DataFrame({
+    found = pd.DataFrame({
         "id": np.repeat(ids, top.shape[1]),
         "neighbour": others[top].ravel(),
         "sim": np.take_along_axis(sims, top, axis=1).ravel(),
     })
+    return found.dropna()
 
 
 def neighbours_in_block_pair(k: int, digits: int):
-    """A grouped function: rows of two blocks (or of one, paired with itself) to best neighbours."""
+    """A grouped function: the posts of two blocks to the k best neighbours of each in the other."""
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
-        a = _Block(rows[rows["block"] == lo])
-        if lo == hi:
-            sims = np.round(_similarities(a, a), digits)
-            np.fill_diagonal(sims, -1.0)  # a post is not its own neighbour
-            found = _best(a.ids, a.ids, sims, k)
-            return found[found["sim"] >= 0]
-        if (rows["block"] == hi).sum() == 0 or len(a.ids) == 0:
-            return pd.DataFrame({"id": [], "neighbour": [], "sim": []})
-        b = _Block(rows[rows["block"] == hi])
-        sims = np.round(_similarities(a, b), digits)
-        return pd.concat([_best(a.ids, b.ids, sims, k), _best(b.ids, a.ids, np.ascontiguousarray(sims.T), k)])
+        found = [pd.DataFrame({"id": rows["id"][:0], "neighbour": rows["id"][:0], "sim": np.zeros(0)})]
+        for ids, others, sims, differ in _tiles(rows, digits):
+            found.append(_best(ids, others, sims, k))
+            if differ:
+                found.append(_best(others, ids, np.ascontiguousarray(sims.T), k))
+        ranked = pd.concat(found).sort_values(["id", "sim", "neighbour"], ascending=[True, False, True])
+        return ranked.groupby("id", sort=False).head(k)
+
+    return search
+
+
+def pairs_in_block_pair(min_sim: float, digits: int):
+    """A grouped function: the posts of two blocks to their pairs with at least that similarity."""
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"id_a": rows["id"][:0], "id_b": rows["id"][:0], "sim": np.zeros(0)})]
+        for ids, others, sims, differ in _tiles(rows, digits):
+            i, j = np.nonzero(sims >= min_sim)
+            a, b, sim = ids[i], others[j], sims[i, j]
+            if not differ:  # each pair is met from both sides
+                once = a < b
+                a, b, sim = a[once], b[once], sim[once]
+            found.append(pd.DataFrame({"id_a": np.minimum(a, b), "id_b": np.maximum(a, b), "sim": sim}))
+        return pd.concat(found)
 
     return search

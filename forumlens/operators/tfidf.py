@@ -44,8 +44,10 @@ def fit_vocabulary(postings: DataFrame, n_docs: Column, rule: VocabularyRule = V
     row per task. ``max_features`` keeps the terms most frequent in the corpus.
     """
     vocabulary = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    vocabulary = vocabulary.where(
-        (F.col("df") >= as_count(rule.min_df, n_docs)) & (F.col("df") <= as_count(rule.max_df, n_docs)))
+    if isinstance(rule.min_df, float) or rule.min_df > 1:
+        vocabulary = vocabulary.where(F.col("df") >= as_count(rule.min_df, n_docs))
+    if isinstance(rule.max_df, int) or rule.max_df < 1:
+        vocabulary = vocabulary.where(F.col("df") <= as_count(rule.max_df, n_docs))
     if rule.max_features is not None:
         vocabulary = vocabulary.orderBy(F.desc("cf"), "term").limit(rule.max_features)
     return vocabulary.withColumn("idf", smooth_idf(n_docs, F.col("df")))

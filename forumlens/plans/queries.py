@@ -217,10 +217,7 @@ def recommend_tfidf_top5(spark, sf):
 
 def similar_pairs_tfidf(spark, sf):
     corpus = _corpus(spark, sf)
-    postings, vocabulary = pipelines.tfidf_tables(corpus)
-    vocabulary = stage(vocabulary)
-    unit = stage(tfidf.weights(postings, vocabulary))
-    return similarity.similar_pairs_with_copies(corpus, unit, vocabulary, MIN_SIM)
+    return similarity.similar_pairs(corpus, tfidf.weights(*pipelines.tfidf_tables(corpus)), MIN_SIM)
 
 
 def recommend_all_topk(spark, sf):
