@@ -1,6 +1,6 @@
 """Cross-validation, parameter sweeps and grid search for the text classifier.
 
-All folds and parameter choices run as one set of jobs: a fold and a model number are columns.
+Folds and parameter choices run side by side in one set of jobs, each in columns of its own.
 Vocabulary and idf of a fold come from its training rows only, obtained as totals minus the
 fold's own counts, so postings are counted once however many folds there are. Choices that
 lead to the same vocabulary are fitted once.
@@ -8,6 +8,7 @@ lead to the same vocabulary are fitted once.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -15,13 +16,16 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forumlens.operators.bayes import PROBA_DIGITS, class_list, each_class, log_likelihood
+from forumlens.operators.bayes import PROBA_DIGITS, class_list, log_likelihood
 from forumlens.operators.ordering import running_totals
-from forumlens.operators.tfidf import VocabularyRule, as_count, smooth_idf, term_counts, weights
+from forumlens.operators.tfidf import VocabularyRule, smooth_idf, term_counts
 from forumlens.session import stage
 
 MEASURES = ("accuracy", "roc_auc")
 
+# Sums carried side by side in one pass over the postings.
+MAX_SUMS = 48
+
 # The parameter ranges searched.
 SWEEP_MAX_FEATURES = (50, 100, 150, 200, 250, 300)
 SWEEP_MAX_DF = (0.5, 0.7, 0.9)
@@ -103,101 +107,102 @@ def _vocabularies(terms: DataFrame, sizes: DataFrame, rules: list[VocabularyRule
     return reduce(DataFrame.unionByName, parts)
 
 
-def _distinct_vocabularies(vocabularies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Models (model, fold, term, idf) with distinct term sets, and (rule, fold, model, n_terms).
+def _distinct_vocabularies(vocabularies: DataFrame) -> DataFrame:
+    """(rule, fold, model): the first rule with the same terms in the fold stands for all of them.
 
     Two rules agree in a fold when number, sum and xor of their terms' hashes agree.
     """
     h = F.xxhash64("term")
     prints = vocabularies.groupBy("rule", "fold").agg(
-        F.count(F.lit(1)).alias("n_terms"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"))
-    firsts = prints.groupBy("fold", "n_terms", "s", "x").agg(F.min("rule").alias("model"))
-    assigned = prints.join(firsts, ["fold", "n_terms", "s", "x"]).select("rule", "fold", "model", "n_terms")
-    models = vocabularies.withColumnRenamed("rule", "model").join(
-        F.broadcast(firsts.select("model", "fold")), ["model", "fold"], "left_semi")
-    return models, assigned
+        F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"))
+    firsts = prints.groupBy("fold", "n", "s", "x").agg(F.min("rule").alias("model"))
+    return prints.join(firsts, ["fold", "n", "s", "x"]).select("rule", "fold", "model")
 
 
-def _scored_counts(docs: DataFrame, postings: DataFrame, models: DataFrame, classes: list, alphas: list[float],
-                   n_folds: int) -> DataFrame:
+def _scored_counts(docs: DataFrame, postings: DataFrame, models: DataFrame, fitted: list[tuple[int, int]],
+                   classes: list, alphas: list[float], n_folds: int) -> DataFrame:
     """Posts per (model, fold, part, alpha, label, prediction, proba); proba is of the last class."""
-    raw = (
-        postings.withColumnRenamed("fold", "own").join(models, "term")
-        .withColumn("x", F.col("tf") * F.col("idf"))
-        .withColumn("part", F.when(F.col("own") == F.col("fold"), "valid").otherwise("train"))
-    )
-    one_post = Window.partitionBy("model", "fold", "id")
-    unit = raw.withColumn("w", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(one_post)))
-    unit = unit.select("model", "fold", "part", "id", "label", "term", "w")
-
-    # fit: one conditional sum per class and term
-    training = unit.where(F.col("part") == "train")
-    sums = training.groupBy("model", "fold", "term").agg(*[
-        F.sum(F.when(F.col("label") == c, F.col("w")).otherwise(0.0)).alias(f"w{i}") for i, c in enumerate(classes)
-    ])
-    terms = models.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n_terms"))
-    totals = sums.groupBy("model", "fold").agg(*[F.sum(f"w{i}").alias(f"t{i}") for i in range(len(classes))])
-    fitted = sums.join(F.broadcast(totals.join(terms, ["model", "fold"])), ["model", "fold"])
-    logps = fitted.select("model", "fold", "term", *[
-        log_likelihood(F.col(f"w{i}"), F.col(f"t{i}"), F.col("n_terms"), F.lit(a)).alias(f"p{i}_{j}")
-        for i in range(len(classes)) for j, a in enumerate(alphas)
+    per_pass = max(1, MAX_SUMS // (len(classes) * len(alphas)))
+    passes = [fitted[i:i + per_pass] for i in range(0, len(fitted), per_pass)]
+    counted = [_one_pass(docs, postings, models, p, classes, alphas, n_folds) for p in passes]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def _one_pass(docs: DataFrame, postings: DataFrame, models: DataFrame, slots: list[tuple[int, int]],
+              classes: list, alphas: list[float], n_folds: int) -> DataFrame:
+    """Fit and score some (model, fold) pairs side by side: each has its own columns, so the
+    postings are not multiplied by the number of models."""
+    each = list(enumerate(slots))
+
+    def is_slot(model: int, fold: int) -> Column:
+        return (F.col("model") == model) & (F.col("fold") == fold)
+
+    wide = models.where(reduce(Column.__or__, [is_slot(*s) for s in slots])).groupBy("term").agg(*[
+        F.max(F.when(is_slot(*s), F.col("idf"))).alias(f"idf{k}") for k, s in each])
+    raw = postings.join(wide, "term").select(
+        "id", "label", "fold", "term", *[(F.col("tf") * F.col(f"idf{k}")).alias(f"x{k}") for k, _ in each])
+
+    def length(k: int) -> Column:
+        return F.sqrt(F.sum(F.col(f"x{k}") * F.col(f"x{k}"))).alias(f"len{k}")
+
+    # fit: weights of the training rows per class and term
+    unit = raw.join(raw.groupBy("id").agg(*[length(k) for k, _ in each]), "id")
+    sums = stage(unit.groupBy("term").agg(*[
+        F.sum(F.when((F.col("label") == c) & (F.col("fold") != fold), F.col(f"x{k}") / F.col(f"len{k}"))
+              .otherwise(0.0)).alias(f"w{k}_{i}")
+        for k, (_, fold) in each for i, c in enumerate(classes)
+    ], *[F.max(F.col(f"x{k}").isNotNull()).alias(f"in{k}") for k, _ in each]))
+    totals = sums.agg(*[F.sum(f"w{k}_{i}").alias(f"w{k}_{i}") for k, _ in each for i in range(len(classes))],
+                      *[F.count_if(f"in{k}").alias(f"in{k}") for k, _ in each]).first()
+    logps = sums.select("term", *[
+        log_likelihood(F.col(f"w{k}_{i}"), F.lit(totals[f"w{k}_{i}"]), F.lit(totals[f"in{k}"]), F.lit(a))
+        .alias(f"p{k}_{i}_{j}")
+        for k, _ in each for i in range(len(classes)) for j, a in enumerate(alphas)
     ])
 
-    # score: sums over the known terms of each post, for every class and alpha side by side
-    loglik = unit.join(logps, ["model", "fold", "term"]).groupBy("model", "fold", "part", "id", "label").agg(*[
-        F.sum(F.col("w") * F.col(f"p{i}_{j}")).alias(f"s{i}_{j}")
-        for i in range(len(classes)) for j in range(len(alphas))
+    # score: a post without a term of a model keeps the prior
+    loglik = raw.join(logps, "term").groupBy("id").agg(*[length(k) for k, _ in each], *[
+        F.sum(F.col(f"x{k}") * F.col(f"p{k}_{i}_{j}")).alias(f"s{k}_{i}_{j}")
+        for k, _ in each for i in range(len(classes)) for j in range(len(alphas))
     ])
     priors = _fold_priors(docs, classes, n_folds)
-    per_alpha = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("alpha"), F.array(*[
-            F.col(f"s{i}_{j}") + F.col(f"prior{i}") for i in range(len(classes))
-        ]).alias("scores")) for j, a in enumerate(alphas)
-    ])).alias("a")
-    scored = loglik.join(F.broadcast(priors), "fold").select("model", "fold", "part", "label", per_alpha)
-    counted = _predictions(scored, classes).groupBy(
+
+    def score(k: int, fold: int, i: int, j: int) -> Column:
+        return F.coalesce(F.col(f"s{k}_{i}_{j}") / F.col(f"len{k}"), F.lit(0.0)) + F.lit(priors[fold][i])
+
+    scored = docs.select("id", "label", F.col("fold").alias("own")).join(loglik, "id", "left").select(
+        "own", "label", F.inline(F.array(*[
+            F.struct(F.lit(model).alias("model"), F.lit(fold).alias("fold"), F.lit(a).alias("alpha"),
+                     F.array(*[score(k, fold, i, j) for i in range(len(classes))]).alias("scores"))
+            for k, (model, fold) in each for j, a in enumerate(alphas)
+        ])))
+    part = F.when(F.col("own") == F.col("fold"), "valid").otherwise("train")
+    return _predictions(scored.withColumn("part", part), classes).groupBy(
         "model", "fold", "part", "alpha", "label", "prediction", "proba").agg(F.count(F.lit(1)).alias("n"))
 
-    # posts without a known term are scored by the prior; their number is what is left over
-    known = counted.groupBy("model", "fold", "part", "alpha", "label").agg(F.sum("n").alias("n_known"))
-    parts = docs.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
-    everyone = parts.select(
-        F.explode(F.array(*[F.lit(f) for f in range(n_folds)])).alias("f"), "fold", "label", "n"
-    ).select(F.col("f").alias("fold"), F.when(F.col("f") == F.col("fold"), "valid").otherwise("train").alias("part"),
-             "label", "n").groupBy("fold", "part", "label").agg(F.sum("n").alias("n_all"))
-    wanted = terms.select("model", "fold", F.explode(F.array(*[F.lit(a) for a in alphas])).alias("alpha")).join(
-        F.broadcast(everyone), "fold")
-    left_over = (
-        wanted.join(known, ["model", "fold", "part", "alpha", "label"], "left")
-        .withColumn("n", F.col("n_all") - F.coalesce("n_known", F.lit(0))).where(F.col("n") > 0)
-        .join(F.broadcast(priors), "fold")
-        .withColumn("a", F.struct("alpha", F.array(*[F.col(f"prior{i}") for i in range(len(classes))]).alias("scores")))
-    )
-    unscored = _predictions(left_over.drop("alpha"), classes, "n")
-    return counted.unionByName(unscored).groupBy(
-        "model", "fold", "part", "alpha", "label", "prediction", "proba").agg(F.sum("n").alias("n"))
-
-
-def _fold_priors(docs: DataFrame, classes: list, n_folds: int) -> DataFrame:
-    """Log share of each class in the training rows of each fold, one column per class."""
-    other = docs.select("label", F.explode(F.filter(
-        F.array(*[F.lit(f) for f in range(n_folds)]), lambda f: f != F.col("fold"))).alias("fold"))
-    return other.groupBy("fold").agg(*[
-        F.log(F.count_if(F.col("label") == c) / F.count(F.lit(1))).alias(f"prior{i}") for i, c in enumerate(classes)
-    ])
+
+def _fold_priors(docs: DataFrame, classes: list, n_folds: int) -> list[list[float]]:
+    """Log share of each class in the training rows of each fold."""
+    sizes = {(r["fold"], r["label"]): r["n"]
+             for r in docs.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    priors = []
+    for fold in range(n_folds):
+        trained = [sum(n for (own, label), n in sizes.items() if own != fold and label == c) for c in classes]
+        priors.append([math.log(n / sum(trained)) if n else -math.inf for n in trained])
+    return priors
 
 
-def _predictions(scored: DataFrame, classes: list, *more: str) -> DataFrame:
-    """Best class and probability of the last class from the array of scores in ``a``."""
-    scores = F.col("a.scores")
+def _predictions(scored: DataFrame, classes: list) -> DataFrame:
+    """Best class, the first on a tie, and probability of the last class from the scores."""
+    scores = F.col("scores")
     rounded = F.transform(scores, lambda s: F.round(s, PROBA_DIGITS))
     top = F.array_max(scores)
     total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + F.exp(s - top))
     proba = F.round(F.exp(scores[len(classes) - 1] - top) / total, PROBA_DIGITS)
     best = F.array_position(rounded, F.array_max(rounded)).cast("int")
     return scored.select(
-        "model", "fold", "part", F.col("a.alpha").alias("alpha"), "label",
-        F.element_at(F.array(*[F.lit(c) for c in classes]), best).alias("prediction"), proba.alias("proba"), *more)
+        "model", "fold", "part", "alpha", "label",
+        F.element_at(F.array(*[F.lit(c) for c in classes]), best).alias("prediction"), proba.alias("proba"))
 
 
 def fold_measures(docs: DataFrame, choices: list[Choice], measures: tuple[str, ...] = MEASURES) -> DataFrame:
@@ -216,8 +221,11 @@ def fold_measures(docs: DataFrame, choices: list[Choice], measures: tuple[str, .
     alphas = list(dict.fromkeys(c.alpha for c in choices))
     postings = stage(term_counts(docs, keep=("id", "label", "fold")))
     terms = _training_terms(postings, n_folds)
-    models, assigned = _distinct_vocabularies(stage(_vocabularies(terms, _fold_sizes(docs), rules)))
-    counts = stage(_scored_counts(docs, postings, models, classes, alphas, n_folds))
+    vocabularies = stage(_vocabularies(terms, _fold_sizes(docs), rules))
+    assigned = stage(_distinct_vocabularies(vocabularies))
+    fitted = sorted((r["model"], r["fold"]) for r in assigned.select("model", "fold").distinct().collect())
+    models = vocabularies.withColumnRenamed("rule", "model")
+    counts = stage(_scored_counts(docs, postings, models, fitted, classes, alphas, n_folds))
     group = ["model", "fold", "part", "alpha"]
     results = []
     if "accuracy" in measures:
