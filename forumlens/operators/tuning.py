@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forumlens.operators.bayes import PROBA_DIGITS, class_list, log_likelihood
+from forumlens.operators.bayes import PROBA_DIGITS, class_list
 from forumlens.operators.ordering import running_totals
 from forumlens.operators.tfidf import VocabularyRule, smooth_idf, term_counts
 from forumlens.session import stage
@@ -46,8 +46,23 @@ def vocabulary_grid(max_features=SWEEP_MAX_FEATURES, max_df=SWEEP_MAX_DF, min_df
     return [Choice(VocabularyRule(lo, hi, n)) for hi, n, lo in product(max_df, max_features, min_df)]
 
 
+def _number(value) -> str:
+    """A Python number or flag as an SQL literal of the same type and value."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+    return str(value)
+
+
+def _exprs(texts) -> list[Column]:
+    return [F.expr(t) for t in texts]
+
+
 def _literal_structs(rows: list[dict]) -> Column:
-    return F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in rows]))
+    """One output row per given row of numbers."""
+    structs = (", ".join(f"'{k}', {_number(v)}" for k, v in row.items()) for row in rows)
+    return F.expr(f"explode(array({', '.join(f'named_struct({s})' for s in structs)}))")
 
 
 def _fold_sizes(docs: DataFrame) -> DataFrame:
@@ -131,51 +146,43 @@ def _scored_counts(docs: DataFrame, postings: DataFrame, models: DataFrame, fitt
 def _one_pass(docs: DataFrame, postings: DataFrame, models: DataFrame, slots: list[tuple[int, int]],
               classes: list, alphas: list[float], n_folds: int) -> DataFrame:
     """Fit and score some (model, fold) pairs side by side: each has its own columns, so the
-    postings are not multiplied by the number of models."""
-    each = list(enumerate(slots))
-
-    def is_slot(model: int, fold: int) -> Column:
-        return (F.col("model") == model) & (F.col("fold") == fold)
-
-    wide = models.where(reduce(Column.__or__, [is_slot(*s) for s in slots])).groupBy("term").agg(*[
-        F.max(F.when(is_slot(*s), F.col("idf"))).alias(f"idf{k}") for k, s in each])
-    raw = postings.join(wide, "term").select(
-        "id", "label", "fold", "term", *[(F.col("tf") * F.col(f"idf{k}")).alias(f"x{k}") for k, _ in each])
-
-    def length(k: int) -> Column:
-        return F.sqrt(F.sum(F.col(f"x{k}") * F.col(f"x{k}"))).alias(f"len{k}")
+    postings are not multiplied by the number of models. A class is named by its position."""
+    slot, cls = range(len(slots)), range(len(classes))
+    fold_of = [fold for _, fold in slots]
+    position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int") - 1
+    is_slot = [f"(model = {m} AND fold = {f})" for m, f in slots]
+    wide = models.where(" OR ".join(is_slot)).groupBy("term").agg(*_exprs(
+        f"max(IF({is_slot[k]}, idf, NULL)) AS idf{k}" for k in slot))
+    raw = postings.withColumn("cls", position).join(wide, "term").selectExpr(
+        "id", "cls", "fold", "term", *[f"tf * idf{k} AS x{k}" for k in slot])
+    lengths = [f"sqrt(sum(x{k} * x{k})) AS len{k}" for k in slot]
 
     # fit: weights of the training rows per class and term
-    unit = raw.join(raw.groupBy("id").agg(*[length(k) for k, _ in each]), "id")
-    sums = stage(unit.groupBy("term").agg(*[
-        F.sum(F.when((F.col("label") == c) & (F.col("fold") != fold), F.col(f"x{k}") / F.col(f"len{k}"))
-              .otherwise(0.0)).alias(f"w{k}_{i}")
-        for k, (_, fold) in each for i, c in enumerate(classes)
-    ], *[F.max(F.col(f"x{k}").isNotNull()).alias(f"in{k}") for k, _ in each]))
-    totals = sums.agg(*[F.sum(f"w{k}_{i}").alias(f"w{k}_{i}") for k, _ in each for i in range(len(classes))],
-                      *[F.count_if(f"in{k}").alias(f"in{k}") for k, _ in each]).first()
-    logps = sums.select("term", *[
-        log_likelihood(F.col(f"w{k}_{i}"), F.lit(totals[f"w{k}_{i}"]), F.lit(totals[f"in{k}"]), F.lit(a))
-        .alias(f"p{k}_{i}_{j}")
-        for k, _ in each for i in range(len(classes)) for j, a in enumerate(alphas)
+    unit = raw.join(raw.groupBy("id").agg(*_exprs(lengths)), "id")
+    sums = stage(unit.groupBy("term").agg(*_exprs(
+        f"sum(IF(cls = {i} AND fold <> {fold_of[k]}, x{k} / len{k}, 0D)) AS w{k}_{i}" for k in slot for i in cls
+    ), *_exprs(f"max(x{k} IS NOT NULL) AS in{k}" for k in slot)))
+    totals = sums.agg(*_exprs(f"sum(w{k}_{i}) AS w{k}_{i}" for k in slot for i in cls),
+                      *_exprs(f"count_if(in{k}) AS in{k}" for k in slot)).first()
+    logps = sums.selectExpr("term", *[
+        f"ln((w{k}_{i} + {_number(a)}) / {_number(totals[f'w{k}_{i}'] + a * totals[f'in{k}'])}) AS p{k}_{i}_{j}"
+        for k in slot for i in cls for j, a in enumerate(alphas)
     ])
 
     # score: a post without a term of a model keeps the prior
-    loglik = raw.join(logps, "term").groupBy("id").agg(*[length(k) for k, _ in each], *[
-        F.sum(F.col(f"x{k}") * F.col(f"p{k}_{i}_{j}")).alias(f"s{k}_{i}_{j}")
-        for k, _ in each for i in range(len(classes)) for j in range(len(alphas))
-    ])
+    loglik = raw.join(logps, "term").groupBy("id").agg(*_exprs(lengths), *_exprs(
+        f"sum(x{k} * p{k}_{i}_{j}) AS s{k}_{i}_{j}" for k in slot for i in cls for j in range(len(alphas))))
     priors = _fold_priors(docs, classes, n_folds)
 
-    def score(k: int, fold: int, i: int, j: int) -> Column:
-        return F.coalesce(F.col(f"s{k}_{i}_{j}") / F.col(f"len{k}"), F.lit(0.0)) + F.lit(priors[fold][i])
+    def row(k: int, j: int) -> str:
+        scores = ", ".join(
+            f"coalesce(s{k}_{i}_{j} / len{k}, 0D) + {_number(priors[fold_of[k]][i])}" for i in cls)
+        return (f"named_struct('model', {slots[k][0]}, 'fold', {fold_of[k]}, 'alpha', {_number(alphas[j])}, "
+                f"'scores', array({scores}))")
 
-    scored = docs.select("id", "label", F.col("fold").alias("own")).join(loglik, "id", "left").select(
-        "own", "label", F.inline(F.array(*[
-            F.struct(F.lit(model).alias("model"), F.lit(fold).alias("fold"), F.lit(a).alias("alpha"),
-                     F.array(*[score(k, fold, i, j) for i in range(len(classes))]).alias("scores"))
-            for k, (model, fold) in each for j, a in enumerate(alphas)
-        ])))
+    rows = ", ".join(row(k, j) for k in slot for j in range(len(alphas)))
+    scored = docs.selectExpr("id", "label", "fold AS own").join(loglik, "id", "left").selectExpr(
+        "own", "label", f"inline(array({rows}))")
     part = F.when(F.col("own") == F.col("fold"), "valid").otherwise("train")
     return _predictions(scored.withColumn("part", part), classes).groupBy(
         "model", "fold", "part", "alpha", "label", "prediction", "proba").agg(F.count(F.lit(1)).alias("n"))
