@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forumlens.operators.tfidf import (VocabularyRule, corpus_size, fit_vocabulary, term_counts, weights)
+from forumlens.operators.tfidf import VocabularyRule, corpus_size, fit_vocabulary, raw_weights, term_counts, weights
 
 MAX_CLASSES = 1000
 PROBA_DIGITS = 9
@@ -73,12 +73,13 @@ def fit(docs: DataFrame, rule: VocabularyRule = VocabularyRule(), alpha: float =
 def joint_scores(docs: DataFrame, model: NaiveBayesModel) -> DataFrame:
     """Log-likelihood plus prior per post and class; a post without a known term keeps the prior.
 
-    Scores are summed inside tasks first, so the shuffle carries one row per post and class.
+    The length of a post is summed beside its score, since every known term occurs in every
+    class. Sums start inside the tasks, so a shuffle carries one row per post and class.
     The priors, one per class, reach every post as one array of at most ``MAX_CLASSES`` entries.
     """
     scored = (
-        weights(term_counts(docs), model.vocabulary).join(model.likelihood, "term")
-        .groupBy("id", "label").agg(F.sum(F.col("w") * F.col("logp")).alias("loglik"))
+        raw_weights(term_counts(docs), model.vocabulary).join(model.likelihood, "term").groupBy("id", "label")
+        .agg((F.sum(F.col("x") * F.col("logp")) / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("loglik"))
         .withColumnRenamed("label", "class")
     )
     priors = model.priors.agg(F.collect_list(F.struct(F.col("label").alias("class"), "prior"))).scalar()

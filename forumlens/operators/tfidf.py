@@ -30,9 +30,14 @@ def smooth_idf(n_docs: Column, df: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, terms: str = "terms", keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Postings: how often each term occurs in each post."""
+    """Postings: how often each term occurs in each post.
+
+    The posts are spread by id while their terms are still one array per post. Counting, and
+    later sums per post, then need no further exchange of the many postings; vocabulary and
+    weights read the same exchange.
+    """
     return (
-        docs.select(*keep, F.explode(terms).alias("term"))
+        docs.select(*keep, terms).repartition("id").select(*keep, F.explode(terms).alias("term"))
         .groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
 
