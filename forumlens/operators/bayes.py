@@ -1,17 +1,18 @@
 """Multinomial naive Bayes on TF-IDF weights, as relations.
 
-A model is a table of log-probabilities (label, term, logp) and one of priors (label, prior).
-Word probabilities are smoothed by ``alpha``; the prior is the plain share of each label.
+A model is a table of terms (term, idf, label, logp) and one of priors (label, prior). Word
+probabilities are smoothed by ``alpha``; the prior is the plain share of each label.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from forumlens.operators.tfidf import VocabularyRule, corpus_size, fit_vocabulary, raw_weights, term_counts, weights
+from forumlens.operators.tfidf import VocabularyRule, corpus_size, fit_vocabulary, term_counts, weights
+from forumlens.session import stage
 
 MAX_CLASSES = 1000
 PROBA_DIGITS = 9
@@ -36,38 +37,38 @@ def log_likelihood(weight_sum: Column, class_sum: Column, n_terms: Column, alpha
 
 @dataclass(frozen=True)
 class NaiveBayesModel:
-    """Everything scoring needs: vocabulary with idf, word log-probabilities and priors."""
+    """Everything scoring needs, as two tables."""
 
-    vocabulary: DataFrame  # term, df, cf, idf
-    likelihood: DataFrame  # label, term, logp
-    priors: DataFrame      # label, prior
+    terms: DataFrame   # term, idf, label, logp: one row per vocabulary term and class
+    priors: DataFrame  # label, prior
 
     def save(self, path: str) -> None:
-        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-        self.likelihood.write.mode("overwrite").parquet(f"{path}/likelihood")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.priors.write.mode("overwrite").parquet(f"{path}/priors")
 
     @classmethod
-    def load(cls, spark, path: str) -> NaiveBayesModel:
-        return cls(*[spark.read.parquet(f"{path}/{part}") for part in ("vocabulary", "likelihood", "priors")])
+    def load(cls, spark: SparkSession, path: str) -> NaiveBayesModel:
+        return cls(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/priors"))
 
 
 def fit(docs: DataFrame, rule: VocabularyRule = VocabularyRule(), alpha: float = 1.0,
         classes: list | None = None) -> NaiveBayesModel:
-    """Fit on rows (id, label, terms): vocabulary, idf and word probabilities from these rows only."""
+    """Fit on rows (id, label, terms): vocabulary, idf and word probabilities from these rows only.
+
+    The vocabulary and the model are staged, so scoring joins a plain table of known size.
+    """
     classes = class_list(docs) if classes is None else classes
     postings = term_counts(docs, keep=("id", "label"))
-    vocabulary = fit_vocabulary(postings, corpus_size(docs), rule)
+    vocabulary = stage(fit_vocabulary(postings, corpus_size(docs), rule).select("term", "idf"))
     per_class = weights(postings, vocabulary).groupBy("label", "term").agg(F.sum("w").alias("w_sum"))
-    class_sums = per_class.groupBy("label").agg(F.sum("w_sum").alias("class_sum"))
-    grid = vocabulary.select("term", each_class(classes).alias("label"))
-    n_terms = vocabulary.agg(F.count(F.lit(1))).scalar()
-    summed = grid.join(per_class, ["label", "term"], "left").join(F.broadcast(class_sums), "label", "left")
-    logp = log_likelihood(F.coalesce("w_sum", F.lit(0.0)), F.coalesce("class_sum", F.lit(0.0)), n_terms, F.lit(alpha))
-    likelihood = summed.select("label", "term", logp.alias("logp"))
+    grid = vocabulary.select("term", "idf", each_class(classes).alias("label"))
+    sums = stage(grid.join(per_class, ["label", "term"], "left").fillna({"w_sum": 0.0}))
+    # one row per class, of which class_list allows few
+    totals = F.broadcast(sums.groupBy("label").agg(F.sum("w_sum").alias("class_sum")))
+    logp = log_likelihood(F.col("w_sum"), F.col("class_sum"), corpus_size(vocabulary), F.lit(alpha))
+    terms = stage(sums.join(totals, "label").select("term", "idf", "label", logp.alias("logp")))
     sizes = docs.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    priors = sizes.select("label", F.log(F.col("n") / corpus_size(docs)).alias("prior"))
-    return NaiveBayesModel(vocabulary, likelihood, priors)
+    return NaiveBayesModel(terms, sizes.select("label", F.log(F.col("n") / corpus_size(docs)).alias("prior")))
 
 
 def joint_scores(docs: DataFrame, model: NaiveBayesModel) -> DataFrame:
@@ -78,7 +79,8 @@ def joint_scores(docs: DataFrame, model: NaiveBayesModel) -> DataFrame:
     The priors, one per class, reach every post as one array of at most ``MAX_CLASSES`` entries.
     """
     scored = (
-        raw_weights(term_counts(docs), model.vocabulary).join(model.likelihood, "term").groupBy("id", "label")
+        term_counts(docs).join(model.terms, "term").withColumn("x", F.col("tf") * F.col("idf"))
+        .groupBy("id", "label")
         .agg((F.sum(F.col("x") * F.col("logp")) / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("loglik"))
         .withColumnRenamed("label", "class")
     )

@@ -50,11 +50,12 @@ def running_totals(rows: DataFrame, group: list[str], by: str, sums: dict[str, s
     """Add ``cum_<name>`` (sum over rows with a greater or equal ``by``) and ``all_<name>``.
 
     ``rows`` must hold each (group, by) once. Bucket limits are quantiles of ``by``, so buckets
-    are even however the values cluster; the limits are one short array per group.
+    are even however the values cluster. The limits are one short array per group; they are
+    staged, so that the planner sees how small they are and broadcasts them.
     """
     rows = stage(rows)
     fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    limits = rows.groupBy(*group).agg(F.percentile_approx(by, fractions, F.lit(100 * buckets)).alias("_limits"))
+    limits = stage(rows.groupBy(*group).agg(F.percentile_approx(by, fractions, F.lit(100 * buckets)).alias("_limits")))
     above = F.size(F.filter("_limits", lambda x: x > F.col(by)))
     placed = rows.join(limits, group).withColumn("_bucket", above).drop("_limits")
     sizes = placed.groupBy(*group, "_bucket").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])

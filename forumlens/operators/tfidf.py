@@ -61,8 +61,9 @@ def fit_vocabulary(postings: DataFrame, n_docs: Column, rule: VocabularyRule = V
 def raw_weights(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Unnormalised weights ``x`` of known terms.
 
-    The join is planned by size: a small vocabulary is broadcast, a large one is merged with
-    hot terms split by adaptive execution.
+    Pass a stored or staged vocabulary. The planner then knows its size and broadcasts a small
+    one; a large one is merged, and adaptive execution splits the partitions of hot terms, which
+    it can do only where the other side of the join is a plain scan.
     """
     return postings.join(vocabulary.select("term", "idf"), "term").withColumn("x", F.col("tf") * F.col("idf"))
 

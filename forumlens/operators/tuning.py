@@ -151,8 +151,8 @@ def _one_pass(docs: DataFrame, postings: DataFrame, models: DataFrame, slots: li
     fold_of = [fold for _, fold in slots]
     position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int") - 1
     is_slot = [f"(model = {m} AND fold = {f})" for m, f in slots]
-    wide = models.where(" OR ".join(is_slot)).groupBy("term").agg(*_exprs(
-        f"max(IF({is_slot[k]}, idf, NULL)) AS idf{k}" for k in slot))
+    wide = stage(models.where(" OR ".join(is_slot)).groupBy("term").agg(*_exprs(
+        f"max(IF({is_slot[k]}, idf, NULL)) AS idf{k}" for k in slot)))
     raw = postings.withColumn("cls", position).join(wide, "term").selectExpr(
         "id", "cls", "fold", "term", *[f"tf * idf{k} AS x{k}" for k in slot])
     lengths = [f"sqrt(sum(x{k} * x{k})) AS len{k}" for k in slot]

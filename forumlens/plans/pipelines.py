@@ -27,9 +27,9 @@ def labelled_corpus(posts: DataFrame, label: str, classes: tuple) -> DataFrame:
 
 
 def tfidf_tables(corpus: DataFrame, rule: tfidf.VocabularyRule = tfidf.VocabularyRule()) -> tuple[DataFrame, DataFrame]:
-    """Postings and vocabulary of a staged corpus."""
+    """Postings and staged vocabulary of a staged corpus."""
     postings = tfidf.term_counts(corpus)
-    return postings, tfidf.fit_vocabulary(postings, tfidf.corpus_size(corpus), rule)
+    return postings, stage(tfidf.fit_vocabulary(postings, tfidf.corpus_size(corpus), rule))
 
 
 def train_and_test(corpus: DataFrame, test_share: float = 0.3, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.functions.text import normalized_words, word_count
-from forumlens.operators import (bayes, clean, evaluate, ingest, ordering, profile, projection, similarity, split,
-                                 tfidf, topics, tuning)
+from forumlens.functions.text import normalized_words, terms, word_count
+from forumlens.operators import (bayes, clean, evaluate, ingest, profile, projection, similarity, split, tfidf,
+                                 topics, tuning)
 from forumlens.operators.tfidf import VocabularyRule
 from forumlens.plans import pipelines
 from forumlens.session import shared_dir, stage
@@ -230,10 +232,8 @@ def doc_vectors_mean(spark, sf):
     docs = stage(fixtures.posts(spark, sf).select("id", normalized_words(F.col("title")).alias("words")))
     embeddings = fixtures.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     uses = docs.join(embeddings, "id").select("id", F.explode(F.array_distinct("words")).alias("word"), "embedding")
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    word_vectors = uses.groupBy("word").agg(
-        vector_to_array(Summarizer.mean(array_to_vector("embedding"))).alias("vector"))
+    word_vectors = stage(uses.groupBy("word").agg(
+        vector_to_array(Summarizer.mean(array_to_vector("embedding"))).alias("vector")))
     vectors = similarity.document_vectors(docs, word_vectors)
     return vectors.select("id", F.transform("vector", lambda x: F.round(x, SIX)).alias("vector"))
 
@@ -276,7 +276,7 @@ def stratified_folds(spark, sf):
 def nb_model(spark, sf):
     train, _ = _train_test(spark, sf)
     model = bayes.fit(train)
-    return _rounded(model.likelihood.join(model.priors, "label"), "logp", "prior")
+    return _rounded(model.terms.drop("idf").join(model.priors, "label"), "logp", "prior")
 
 
 def nb_predict(spark, sf):
@@ -363,7 +363,7 @@ def train_final(spark, sf):
     alphas = [tuning.Choice(rule, a) for a in tuning.GRID_ALPHA]
     best = tuning.best_choice(tuning.grid_search(folds, alphas), alphas)
     model = bayes.fit(train, best.rule, best.alpha)
-    return _rounded(model.likelihood.join(model.vocabulary, "term"), "logp", "idf")
+    return _rounded(model.terms, "logp", "idf")
 
 
 # projections and topics
@@ -437,17 +437,32 @@ def stream_scores(spark, sf):
     bayes.fit(train, PRUNED, TUNED.alpha).save(f"{base}/model")
     model = bayes.NaiveBayesModel.load(spark, f"{base}/model")
     arriving = fixtures.posts_stream(spark, sf)
-    from forumlens.functions.text import terms
     docs = arriving.select("id", terms(normalized_words(F.col("title")), lowercase=False).alias("terms"))
     _finish(feed.score_feed(docs, model, f"{base}/out", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
+_ALL: tuple[Query, ...] = (
+    search_posts, search_keyword_in_channel, scan_channel, scan_channel_two_tags,
+    filter_time_range, filter_keyword, project_display, exclude_tag_null_safe,
+    fill_missing_tag, epoch_and_time, count_by_tag, share_by_tag,
+    posts_by_num_comments, posts_by_comments_tag, pivot_comments_by_tag, unpivot_comments_by_tag,
+    distinct_authors, distinct_tags, duplicate_counts, dup_id_violations,
+    dedupe_title_then_url, avg_words_by_tag, avg_words_overall, avg_words_normalized_by_tag,
+    avg_posts_per_author_tag, authors_both_tags, authors_both_tags_top5, table_profile,
+    thread_comment_stats, upsert_ignore, keyed_set_latest, normalize_titles,
+    tfidf_weights, vocab_pruned, vocab_size, recommend_tfidf_top5,
+    similar_pairs_tfidf, recommend_all_topk, doc_vectors_mean, recommend_vector_top5,
+    stratified_split, split_label_counts, stratified_folds, nb_model,
+    nb_predict, nb_predict_proba, accuracy, confusion_matrix,
+    classification_report, roc_points, roc_auc, cv_report,
+    tune_max_features, tune_max_df, tune_min_df, tuning_curves,
+    grid_vocab, grid_alpha, train_final, project_pca_2d,
+    project_svd_2d, lda_topics, lda_top_words, tag_for_term,
+    stream_search, stream_insert_if_absent, stream_scores,
+)
+
+
 def registered() -> dict[str, Query]:
-    """All queries by name, in the order of this module."""
-    helpers = {"registered"}
-    return {
-        name: fn for name, fn in globals().items()
-        if callable(fn) and getattr(fn, "__module__", None) == __name__
-        and not name.startswith("_") and name not in helpers
-    }
+    """All queries by name."""
+    return {query.__name__: query for query in _ALL}

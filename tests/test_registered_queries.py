@@ -1,0 +1,57 @@
+"""Every registered query against its SQL in another engine, and what its plan must not hold."""
+
+import datetime as dt
+import math
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_point
+from tests.conftest import SMALL
+
+QUERIES = entry_point.queries()
+SQL = entry_point.oracle_sql()
+TABLES = ("documents", "events", "labels", "embeddings", "conversations")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
+    return connection
+
+
+def plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else repr(value + 0.0)
+    if isinstance(value, (list, tuple)):
+        return str([plain(v) for v in value])
+    return value.isoformat() if isinstance(value, dt.datetime) else repr(value)
+
+
+def table(columns, found):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(columns), sorted(tuple(plain(r[i]) for i in order) for r in found)
+
+
+def test_every_sql_belongs_to_a_query():
+    assert not set(SQL) - set(QUERIES)
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_query(spark, duck, name):
+    df = QUERIES[name](spark, SMALL)
+    found = df.collect()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "PythonUDF" not in plan
+    if name in SQL:
+        relation = duck.execute(SQL[name])
+        assert table(df.columns, found) == table([c[0] for c in relation.description], relation.fetchall())
+    else:
+        assert found
+
+
+def test_entry(spark):
+    found = entry_point.entry(spark).collect()
+    assert len(found) == 5 and found[0]["consine_sim"] >= found[-1]["consine_sim"]
