@@ -31,30 +31,23 @@ def tfidf_vectors(docs: DataFrame, rule: VocabularyRule) -> tuple[DataFrame, lis
     return unit.drop("counts", "scaled"), names
 
 
-def _axes(vectors: DataFrame, k: int):
-    """Principal axes as a (columns x k) array, each signed so that its largest entry is positive."""
-    axes = PCA(k=k, inputCol="features", outputCol="projected").fit(vectors).pc.toArray().copy()
-    for j in range(axes.shape[1]):
-        if axes[abs(axes[:, j]).argmax(), j] < 0:
-            axes[:, j] = -axes[:, j]
-    return axes
+def _project(training: DataFrame, vectors: DataFrame, names: list[str], keep: tuple[str, ...]) -> DataFrame:
+    """Coordinates of ``vectors`` on the principal axes of ``training``, not centred.
 
-
-def _project(vectors: DataFrame, axes, names: list[str], keep: tuple[str, ...]) -> DataFrame:
-    """Coordinates on the axes: a product of each sparse row with literal axis columns."""
-    out = vectors
-    for j, name in enumerate(names):
-        out = ElementwiseProduct(scalingVec=Vectors.dense(axes[:, j]), inputCol="features",
-                                 outputCol=f"_{name}").transform(out)
-    sums = [F.aggregate(vector_to_array(f"_{n}"), F.lit(0.0), lambda s, x: s + x).alias(n) for n in names]
-    return out.select(*keep, *sums)
+    An axis is only defined up to its sign: the one that makes its largest entry positive is taken.
+    """
+    model = PCA(k=len(names), inputCol="features", outputCol="_projected").fit(training)
+    axes = model.pc.toArray()
+    signs = [1.0 if axes[abs(axes[:, j]).argmax(), j] >= 0 else -1.0 for j in range(len(names))]
+    projected = model.transform(vectors).withColumn("_xy", vector_to_array("_projected"))
+    return projected.select(*keep, *[(F.col("_xy")[j] * signs[j]).alias(n) for j, n in enumerate(names)])
 
 
 def pca_2d(vectors: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """First two principal components, centred: (keep..., pc1, pc2)."""
-    coordinates = _project(vectors, _axes(vectors, 2), ["pc1", "pc2"], keep)
-    centre = coordinates.agg(F.struct(F.avg("pc1").alias("a"), F.avg("pc2").alias("b"))).scalar()
-    return coordinates.select(*keep, (F.col("pc1") - centre["a"]).alias("pc1"), (F.col("pc2") - centre["b"]).alias("pc2"))
+    xy = _project(vectors, vectors, ["pc1", "pc2"], keep)
+    centre = xy.agg(F.struct(F.avg("pc1").alias("a"), F.avg("pc2").alias("b"))).scalar()
+    return xy.select(*keep, (F.col("pc1") - centre["a"]).alias("pc1"), (F.col("pc2") - centre["b"]).alias("pc2"))
 
 
 def svd_2d(vectors: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -64,7 +57,7 @@ def svd_2d(vectors: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     vectors of the rows themselves.
     """
     size = vectors.first()["features"].size
-    flipped = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * size), inputCol="features", outputCol="_neg")
+    negated = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * size), inputCol="features", outputCol="_neg")
     mirrored = vectors.select("features").unionByName(
-        flipped.transform(vectors).select(F.col("_neg").alias("features")))
-    return _project(vectors, _axes(mirrored, 2), ["sv1", "sv2"], keep)
+        negated.transform(vectors).select(F.col("_neg").alias("features")))
+    return _project(mirrored, vectors, ["sv1", "sv2"], keep)
