@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.operators.tfidf import VocabularyRule, corpus_size, fit_vocabulary, term_counts
+from forumlens.session import stage
 
 # The principal axes come from a features-by-features matrix, so the vocabulary must be bounded.
 MAX_COLUMNS = 4000
@@ -17,7 +18,8 @@ MAX_COLUMNS = 4000
 def tfidf_vectors(docs: DataFrame, rule: VocabularyRule) -> tuple[DataFrame, list[str]]:
     """Sparse unit vectors ``features`` over a bounded vocabulary, and its terms in column order.
 
-    The vocabulary (``max_features`` at most) is all that reaches the driver.
+    The vocabulary (``max_features`` at most) is all that reaches the driver. The vectors are
+    staged, since fitting reads them many times.
     """
     if rule.max_features is None or rule.max_features > MAX_COLUMNS:
         raise ValueError(f"max_features of at most {MAX_COLUMNS} needed")
@@ -28,7 +30,7 @@ def tfidf_vectors(docs: DataFrame, rule: VocabularyRule) -> tuple[DataFrame, lis
     scaled = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="counts",
                                 outputCol="scaled").transform(counted)
     unit = Normalizer(p=2.0, inputCol="scaled", outputCol="features").transform(scaled)
-    return unit.drop("counts", "scaled"), names
+    return stage(unit.drop("counts", "scaled")), names
 
 
 def _project(training: DataFrame, vectors: DataFrame, names: list[str], keep: tuple[str, ...]) -> DataFrame:

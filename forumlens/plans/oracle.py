@@ -216,6 +216,60 @@ def _sweep(name: str, values) -> str:
     return _cross_validation(choices, f"CAST({name} AS DOUBLE) AS param,", "metric, ", ("acc", "auc"))
 
 
+def _fitted(vocabulary: str, alpha: str) -> tuple[tuple[str, str], ...]:
+    """A model of the training rows on a vocabulary given by conditions on df, rank and n."""
+    return (
+        ("n_vocabulary", f"""SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM (
+                SELECT term, count(*) AS df, sum(tf) AS cf, (SELECT count(*) FROM divided WHERE split = 'train') AS n
+                FROM m_tf WHERE split = 'train' GROUP BY term) {vocabulary}"""),
+        ("n_weights", """SELECT id, label, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY id)) AS w
+            FROM m_tf JOIN n_vocabulary USING (term) WHERE split = 'train'"""),
+        ("n_sums", """SELECT c.label, v.term, any_value(v.idf) AS idf, coalesce(sum(w.w), 0) AS s
+            FROM m_classes c CROSS JOIN n_vocabulary v
+            LEFT JOIN n_weights w ON w.label = c.label AND w.term = v.term GROUP BY ALL"""),
+        ("n_model", f"""SELECT label, term, idf, ln((s + {alpha})
+                / (sum(s) OVER (PARTITION BY label) + {alpha} * count(*) OVER (PARTITION BY label))) AS logp
+            FROM n_sums"""),
+    )
+
+
+def _pruned(rule: tuning.VocabularyRule) -> str:
+    return f"""WHERE df >= {rule.min_df} AND df <= {rule.max_df} * n
+        QUALIFY row_number() OVER (ORDER BY cf DESC, term) <= {rule.max_features}"""
+
+
+def _stream_scores() -> str:
+    steps = _fitted(_pruned(q.TUNED.rule), repr(q.TUNED.alpha)) + (
+        ("arriving", f"SELECT id, list_filter({_NORMALIZE}, lambda w: length(w) >= 2) AS terms FROM posts"),
+        ("a_tf", "SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM arriving) GROUP BY ALL"),
+        ("a_weights", """SELECT id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY id)) AS w
+            FROM a_tf JOIN n_vocabulary USING (term)"""),
+        ("a_scores", """SELECT a.id, c.label, coalesce(sum(w.w * m.logp), 0) + any_value(c.prior) AS score
+            FROM arriving a CROSS JOIN m_classes c LEFT JOIN a_weights w ON w.id = a.id
+            LEFT JOIN n_model m ON m.term = w.term AND m.label = c.label GROUP BY ALL"""),
+    )
+    return f"""{_with("m_tf m_classes", steps)} SELECT id, label AS prediction FROM a_scores
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, label) = 1"""
+
+
+def _train_final() -> str:
+    """The grid's best vocabulary, then its best alpha, then the model of all training rows."""
+    grid = tuning.vocabulary_grid()
+    keep = "choice, max_features, max_df, min_df, alpha, "
+    by_vocabulary = _cross_validation(grid, "", keep, ("acc",))
+    each_pair = _cross_validation([tuning.Choice(c.rule, a) for c in grid for a in tuning.GRID_ALPHA], "", keep, ("acc",))
+    steps = (
+        ("best", f"SELECT * FROM ({by_vocabulary}) ORDER BY round(valid_avg, 9) DESC, choice LIMIT 1"),
+        ("alphas", f"""SELECT a.* FROM ({each_pair}) a JOIN best b
+            ON a.max_features = b.max_features AND a.max_df = b.max_df AND a.min_df = b.min_df
+            ORDER BY round(a.valid_avg, 9) DESC, a.choice LIMIT 1"""),
+    ) + _fitted("""CROSS JOIN (SELECT min_df, max_df, max_features FROM best) WHERE df >= min_df AND df <= max_df * n
+        QUALIFY row_number() OVER (ORDER BY cf DESC, term) <= any_value(max_features) OVER ()""",
+                "(SELECT CAST(alpha AS DOUBLE) FROM alphas)")
+    return f"""{_with("m_tf m_classes", steps)}
+        SELECT label, term, round(idf, 6) AS idf, round(logp, 6) AS logp FROM n_model"""
+
+
 def _mean_vectors() -> str:
     steps = (
         ("docs", f"SELECT id, {_NORMALIZE} AS words FROM posts"),
@@ -370,6 +424,8 @@ def _statements() -> dict[str, str]:
                                         "CAST(choice AS INTEGER) AS choice, ", ("acc",)),
         "grid_alpha": _cross_validation([tuning.Choice(q.PRUNED, a) for a in tuning.GRID_ALPHA], _GRID_COLUMNS,
                                         "CAST(choice AS INTEGER) AS choice, ", ("acc",)),
+        "train_final": _train_final(),
+        "stream_scores": _stream_scores(),
         "tag_for_term": from_posts(f"""SELECT link_flair_text, count(*) AS n_posts FROM posts
             WHERE contains(array_to_string({_NORMALIZE}, ' '), 'eau') AND link_flair_text IS NOT NULL
             GROUP BY 1 ORDER BY n_posts DESC, 1 LIMIT 1"""),
