@@ -1,20 +1,23 @@
-"""Multinomial naive Bayes on TF-IDF weights, as relations.
+"""Multinomial naive Bayes on TF-IDF weights.
 
-A model is a table of terms (term, idf, label, logp) and one of priors (label, prior). Word
-probabilities are smoothed by ``alpha``; the prior is the plain share of each label.
+A model is a table of terms (term, idf, logp), where ``logp`` holds one log-probability per class
+in the order of the classes, and the classes with their priors. Word probabilities are smoothed by
+``alpha``; the prior is the plain share of each class. Classes are columns throughout, so neither
+fitting nor scoring multiplies the postings by their number.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlens.operators.tfidf import VocabularyRule, corpus_size, fit_vocabulary, term_counts, weights
 from forumlens.session import stage
 
-MAX_CLASSES = 1000
+MAX_CLASSES = 100
 PROBA_DIGITS = 9
 
 
@@ -31,74 +34,91 @@ def each_class(classes: list) -> Column:
     return F.explode(F.array(*[F.lit(c) for c in classes]))
 
 
-def log_likelihood(weight_sum: Column, class_sum: Column, n_terms: Column, alpha: Column) -> Column:
-    return F.log((weight_sum + alpha) / (class_sum + alpha * n_terms))
-
-
 @dataclass(frozen=True)
 class NaiveBayesModel:
-    """Everything scoring needs, as two tables."""
+    """Everything scoring needs; ``priors`` are logs, in the order of ``classes``."""
 
-    terms: DataFrame   # term, idf, label, logp: one row per vocabulary term and class
-    priors: DataFrame  # label, prior
+    terms: DataFrame
+    classes: list
+    priors: list[float]
 
     def save(self, path: str) -> None:
+        spark = self.terms.sparkSession
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.priors.write.mode("overwrite").parquet(f"{path}/priors")
+        spark.createDataFrame(list(zip(self.classes, self.priors)), ["class", "prior"]).coalesce(1).write.mode(
+            "overwrite").parquet(f"{path}/classes")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> NaiveBayesModel:
-        return cls(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/priors"))
+        classes = sorted(map(tuple, spark.read.parquet(f"{path}/classes").collect()))
+        return cls(spark.read.parquet(f"{path}/terms"), [c for c, _ in classes], [p for _, p in classes])
+
+    def log_probabilities(self) -> DataFrame:
+        """The model in rows (label, prior, term, idf, logp)."""
+        per_class = [F.struct(F.lit(c).alias("label"), F.lit(p).alias("prior"), F.col("logp")[i].alias("logp"))
+                     for i, (c, p) in enumerate(zip(self.classes, self.priors))]
+        return self.terms.select("term", "idf", F.inline(F.array(*per_class)))
 
 
 def fit(docs: DataFrame, rule: VocabularyRule = VocabularyRule(), alpha: float = 1.0,
         classes: list | None = None) -> NaiveBayesModel:
     """Fit on rows (id, label, terms): vocabulary, idf and word probabilities from these rows only.
 
-    The vocabulary and the model are staged, so scoring joins a plain table of known size.
+    The vocabulary and the sums are staged, so later joins meet a plain table of known size. What
+    reaches the driver are two numbers per class.
     """
     classes = class_list(docs) if classes is None else classes
     postings = term_counts(docs, keep=("id", "label"))
     vocabulary = stage(fit_vocabulary(postings, corpus_size(docs), rule).select("term", "idf"))
-    per_class = weights(postings, vocabulary).groupBy("label", "term").agg(F.sum("w").alias("w_sum"))
-    grid = vocabulary.select("term", "idf", each_class(classes).alias("label"))
-    sums = stage(grid.join(per_class, ["label", "term"], "left").fillna({"w_sum": 0.0}))
-    # one row per class, of which class_list allows few
-    totals = F.broadcast(sums.groupBy("label").agg(F.sum("w_sum").alias("class_sum")))
-    logp = log_likelihood(F.col("w_sum"), F.col("class_sum"), corpus_size(vocabulary), F.lit(alpha))
-    terms = stage(sums.join(totals, "label").select("term", "idf", "label", logp.alias("logp")))
-    sizes = docs.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return NaiveBayesModel(terms, sizes.select("label", F.log(F.col("n") / corpus_size(docs)).alias("prior")))
+    per_class = [F.sum(F.when(F.col("label") == c, F.col("w")).otherwise(0.0)).alias(f"w{i}")
+                 for i, c in enumerate(classes)]
+    sums = stage(weights(postings, vocabulary).groupBy("term").agg(*per_class).join(vocabulary, "term"))
+    totals = sums.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(classes))]).first()
+    logp = [F.log((F.col(f"w{i}") + alpha) / ((totals[f"w{i}"] or 0.0) + alpha * totals["n"]))
+            for i in range(len(classes))]
+    sizes = {r["label"]: r["n"] for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = sum(sizes[c] for c in classes)
+    return NaiveBayesModel(sums.select("term", "idf", F.array(*logp).alias("logp")), classes,
+                           [math.log(sizes[c] / known) for c in classes])
+
+
+def _class_scores(docs: DataFrame, model: NaiveBayesModel) -> DataFrame:
+    """Log-likelihood plus prior of every class per post (id, scores).
+
+    One sum per class and the post's length are built together, starting inside the tasks. A post
+    without a known term keeps the priors.
+    """
+    found = term_counts(docs).join(model.terms, "term").withColumn("x", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("x") * F.col("x")))
+    summed = found.groupBy("id").agg(*[
+        (F.sum(F.col("x") * F.col("logp")[i]) / length).alias(f"s{i}") for i in range(len(model.classes))])
+    scores = [F.coalesce(f"s{i}", F.lit(0.0)) + F.lit(p) for i, p in enumerate(model.priors)]
+    return docs.select("id").join(summed, "id", "left").select("id", F.array(*scores).alias("scores"))
 
 
 def joint_scores(docs: DataFrame, model: NaiveBayesModel) -> DataFrame:
-    """Log-likelihood plus prior per post and class; a post without a known term keeps the prior.
+    """Score of each class per post in rows (id, class, score)."""
+    return _in_rows(_class_scores(docs, model), model, "scores", "score")
 
-    The length of a post is summed beside its score, since every known term occurs in every
-    class. Sums start inside the tasks, so a shuffle carries one row per post and class.
-    The priors, one per class, reach every post as one array of at most ``MAX_CLASSES`` entries.
-    """
-    scored = (
-        term_counts(docs).join(model.terms, "term").withColumn("x", F.col("tf") * F.col("idf"))
-        .groupBy("id", "label")
-        .agg((F.sum(F.col("x") * F.col("logp")) / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("loglik"))
-        .withColumnRenamed("label", "class")
-    )
-    priors = model.priors.agg(F.collect_list(F.struct(F.col("label").alias("class"), "prior"))).scalar()
-    every = docs.select("id", F.inline(priors))
-    return every.join(scored, ["id", "class"], "left").select(
-        "id", "class", (F.coalesce("loglik", F.lit(0.0)) + F.col("prior")).alias("score"))
+
+def _in_rows(df: DataFrame, model: NaiveBayesModel, column: str, name: str) -> DataFrame:
+    pairs = [F.struct(F.lit(c).alias("class"), F.col(column)[i].alias(name)) for i, c in enumerate(model.classes)]
+    return df.select("id", F.inline(F.array(*pairs)))
 
 
 def predict_proba(docs: DataFrame, model: NaiveBayesModel) -> DataFrame:
-    """Probability of each class per post (id, class, proba); the window spans a post's classes."""
-    whole = Window.partitionBy("id")
-    shifted = F.exp(F.col("score") - F.max("score").over(whole))
-    exps = joint_scores(docs, model).withColumn("e", shifted)
-    return exps.select("id", "class", F.round(F.col("e") / F.sum("e").over(whole), PROBA_DIGITS).alias("proba"))
+    """Probability of each class per post (id, class, proba)."""
+    scored = _class_scores(docs, model).withColumn("top", F.array_max("scores"))
+    exps = scored.select("id", F.transform("scores", lambda s: F.exp(s - F.col("top"))).alias("exps"))
+    total = F.aggregate("exps", F.lit(0.0), lambda a, e: a + e)
+    proba = exps.withColumn("total", total).select(
+        "id", F.transform("exps", lambda e: F.round(e / F.col("total"), PROBA_DIGITS)).alias("proba"))
+    return _in_rows(proba, model, "proba", "proba")
 
 
 def predict(docs: DataFrame, model: NaiveBayesModel) -> DataFrame:
     """The most probable class per post (id, prediction); the first in order on a tie."""
-    scores = joint_scores(docs, model).withColumn("score", F.round("score", PROBA_DIGITS))
-    return scores.groupBy("id").agg(F.min_by("class", F.struct(-F.col("score"), F.col("class"))).alias("prediction"))
+    rounded = _class_scores(docs, model).select(
+        "id", F.transform("scores", lambda s: F.round(s, PROBA_DIGITS)).alias("scores"))
+    best = F.array_position("scores", F.array_max("scores")).cast("int")
+    return rounded.select("id", F.element_at(F.array(*[F.lit(c) for c in model.classes]), best).alias("prediction"))

@@ -275,8 +275,7 @@ def stratified_folds(spark, sf):
 
 def nb_model(spark, sf):
     train, _ = _train_test(spark, sf)
-    model = bayes.fit(train)
-    return _rounded(model.terms.drop("idf").join(model.priors, "label"), "logp", "prior")
+    return _rounded(bayes.fit(train).log_probabilities().drop("idf"), "logp", "prior")
 
 
 def nb_predict(spark, sf):
@@ -363,7 +362,7 @@ def train_final(spark, sf):
     alphas = [tuning.Choice(rule, a) for a in tuning.GRID_ALPHA]
     best = tuning.best_choice(tuning.grid_search(folds, alphas), alphas)
     model = bayes.fit(train, best.rule, best.alpha)
-    return _rounded(model.terms, "logp", "idf")
+    return _rounded(model.log_probabilities().drop("prior"), "logp", "idf")
 
 
 # projections and topics
