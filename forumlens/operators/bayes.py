@@ -21,13 +21,16 @@ MAX_CLASSES = 100
 PROBA_DIGITS = 9
 
 
-def class_list(docs: DataFrame, label: str = "label") -> list:
-    """The labels in order. Their number is checked: a label column is not a key column."""
-    found = [r[0] for r in docs.select(label).where(F.col(label).isNotNull()).distinct()
-             .limit(MAX_CLASSES + 1).collect()]
+def class_sizes(docs: DataFrame, label: str = "label") -> dict:
+    """Rows per class, in order of the classes.
+
+    The number of classes is checked before they are fetched: a label is not a key column.
+    """
+    counts = docs.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.limit(MAX_CLASSES + 1).collect()
     if len(found) > MAX_CLASSES:
         raise ValueError(f"{label} has more than {MAX_CLASSES} values")
-    return sorted(found)
+    return dict(sorted((r[label], r["n"]) for r in found))
 
 
 def each_class(classes: list) -> Column:
@@ -60,14 +63,14 @@ class NaiveBayesModel:
         return self.terms.select("term", "idf", F.inline(F.array(*per_class)))
 
 
-def fit(docs: DataFrame, rule: VocabularyRule = VocabularyRule(), alpha: float = 1.0,
-        classes: list | None = None) -> NaiveBayesModel:
+def fit(docs: DataFrame, rule: VocabularyRule = VocabularyRule(), alpha: float = 1.0) -> NaiveBayesModel:
     """Fit on rows (id, label, terms): vocabulary, idf and word probabilities from these rows only.
 
     The vocabulary and the sums are staged, so later joins meet a plain table of known size. What
     reaches the driver are two numbers per class.
     """
-    classes = class_list(docs) if classes is None else classes
+    sizes = class_sizes(docs)
+    classes = list(sizes)
     postings = term_counts(docs, keep=("id", "label"))
     vocabulary = stage(fit_vocabulary(postings, corpus_size(docs), rule).select("term", "idf"))
     per_class = [F.sum(F.when(F.col("label") == c, F.col("w")).otherwise(0.0)).alias(f"w{i}")
@@ -76,8 +79,7 @@ def fit(docs: DataFrame, rule: VocabularyRule = VocabularyRule(), alpha: float =
     totals = sums.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(classes))]).first()
     logp = [F.log((F.col(f"w{i}") + alpha) / ((totals[f"w{i}"] or 0.0) + alpha * totals["n"]))
             for i in range(len(classes))]
-    sizes = {r["label"]: r["n"] for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    known = sum(sizes[c] for c in classes)
+    known = sum(sizes.values())
     return NaiveBayesModel(sums.select("term", "idf", F.array(*logp).alias("logp")), classes,
                            [math.log(sizes[c] / known) for c in classes])
 

@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forumlens.operators.bayes import PROBA_DIGITS, class_list
+from forumlens.operators.bayes import PROBA_DIGITS, class_sizes
 from forumlens.operators.ordering import running_totals
 from forumlens.operators.tfidf import VocabularyRule, smooth_idf, term_counts
 from forumlens.session import stage
@@ -220,7 +220,7 @@ def fold_measures(docs: DataFrame, choices: list[Choice], measures: tuple[str, .
     unknown = set(measures) - set(MEASURES)
     if unknown:
         raise ValueError(f"unknown measures: {sorted(unknown)}")
-    classes = class_list(docs)
+    classes = list(class_sizes(docs))
     if "roc_auc" in measures and len(classes) != 2:
         raise ValueError("roc_auc needs exactly two classes")
     n_folds = docs.agg(F.max("fold")).first()[0] + 1

@@ -103,7 +103,7 @@ def test_more_than_two_classes_and_saved_models(spark, tmp_path):
 
 def test_too_many_classes(spark):
     with pytest.raises(ValueError):
-        bayes.class_list(spark.range(1001).selectExpr("cast(id as string) label"))
+        bayes.class_sizes(spark.range(1001).selectExpr("cast(id as string) label"))
 
 
 # evaluation
