@@ -82,11 +82,11 @@ def fill_missing_tag(spark, sf):
 
 
 def epoch_and_time(spark, sf):
-    """Epoch seconds and calendar parts of each post's time, and back."""
+    """Epoch seconds of each post as a time, and the epoch seconds of its day."""
     p = fixtures.posts(spark, sf)
-    back = F.timestamp_seconds("created_utc")
-    return p.select("id", "created_utc", F.date_format(back, "yyyy-MM-dd HH:mm:ss").alias("created_text"),
-                    F.unix_timestamp(F.date_format(back, "yyyy-MM-dd"), "yyyy-MM-dd").alias("day_utc"))
+    time = fixtures.utc_time(F.col("created_utc"))
+    return p.select("id", "created_utc", F.date_format(time, "yyyy-MM-dd HH:mm:ss").alias("created_text"),
+                    fixtures.seconds_since_epoch(F.to_date(time).cast("timestamp_ntz")).alias("day_utc"))
 
 
 # profile

@@ -51,6 +51,10 @@ def _local_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix="forumlens-")
 
 
+def _staging_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written table.
 
@@ -58,6 +62,12 @@ def stage(df: DataFrame) -> DataFrame:
     so a lost executor costs a re-read, and the optimiser sees real sizes and prunes columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
+    path = f"{_staging_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged; call it when no result is read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_staging_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forumlens.sources.schema import SEARCH_RESULT
+from forumlens.sources.schema import POST_ATTRIBUTES, SEARCH_RESULT
+from forumlens.sources.search import typed_result
 
 # How a result file is stamped and how times are written in it.
 STAMP_FORMAT = "%Y_%m_%d-%H_%M_%S"
@@ -58,3 +59,8 @@ def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     for frame in frames[1:]:
         union = union.unionByName(frame)
     return union
+
+
+def read_raw_posts(spark: SparkSession, path: str) -> DataFrame:
+    """Raw search output, one JSON object per post; an attribute that an object lacks is NULL."""
+    return typed_result(spark.read.schema(POST_ATTRIBUTES).json(path))

@@ -16,9 +16,18 @@ def event_number(props: str = "props") -> Column:
     return F.get_json_object(props, "$.k").cast("bigint")
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def seconds_since_epoch(naive_time: Column) -> Column:
     """Whole seconds since 1970 of a timestamp without zone, whatever the session's zone is."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), naive_time)
+    return F.timestamp_diff("SECOND", _epoch(), naive_time)
+
+
+def utc_time(seconds: Column) -> Column:
+    """The timestamp without zone that many seconds after 1970."""
+    return F.timestamp_add("SECOND", seconds, _epoch())
 
 
 def posts(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:

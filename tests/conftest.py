@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from forumlens.session import build_session  # noqa: E402
+from forumlens.session import build_session, drop_staged  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", 8)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_staged(session)
     session.stop()
 
 

@@ -39,6 +39,18 @@ def test_headers_in_different_orders_and_missing_columns(spark, tmp_path):
     assert got["a2"]["author"] == "bob" and got["a2"]["link_flair_text"] is None and got["a1"]["url"] is None
 
 
+def test_raw_posts_may_lack_attributes(spark, tmp_path):
+    path = str(tmp_path / "raw.json")
+    with open(path, "w") as f:
+        f.write('{"id": "a1", "title": "t", "created_utc": 1651500000, "score": 2, "extra": 1}\n')
+        f.write('{"id": "a2", "title": "s", "created_utc": 1651500000, "link_flair_text": "Health"}\n')
+    read = files.read_raw_posts(spark, path)
+    assert read.schema == SEARCH_RESULT
+    got = {r["id"]: r for r in read.collect()}
+    assert got["a1"]["link_flair_text"] is None and got["a2"]["link_flair_text"] == "Health"
+    assert got["a1"]["created_time"] == TIME and got["a2"]["score"] is None
+
+
 def test_staging_round_trip_replaces_and_stamps(spark, posts, tmp_path):
     path = str(tmp_path / "staging")
     files.write_staging(posts, path)

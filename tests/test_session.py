@@ -33,8 +33,17 @@ def test_a_local_session_keeps_one_folder():
     assert session.shared_dir(Session("local[2]")) == session.shared_dir(Session("local[2]"))
 
 
+def test_dropping_what_was_staged(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    session.stage(spark.range(3))
+    assert len(list((tmp_path / "staged").rglob("*.parquet"))) > 0
+    session.drop_staged(spark)
+    assert not list((tmp_path / "staged").rglob("*.parquet"))
+
+
 def test_staged_tables_keep_rows_and_types(spark):
     df = spark.createDataFrame([(1, ["a"], None), (2, [], 0.5)], "id long, words array<string>, x double")
     staged = session.stage(df)
     assert staged.schema == df.schema and sorted(map(str, staged.collect())) == sorted(map(str, df.collect()))
+    assert len(staged.inputFiles()) >= 1 and spark.sparkContext.applicationId in staged.inputFiles()[0]
     assert "FileScan parquet" in staged._jdf.queryExecution().executedPlan().toString()
