@@ -68,7 +68,7 @@ def _tiles(rows: pd.DataFrame, digits: int):
     """Rounded similarities of the two blocks in a group, some rows of the first at a time.
 
     Yields (ids of the tile, ids of the second block, similarities, whether the blocks differ);
-    a block paired with itself yields NaN for a post and itself.
+    a block paired with itself yields -1, less than any similarity, for a post and itself.
     """
     lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
     first = rows[rows["block"] == lo].sort_values("id", ignore_index=True)
@@ -81,19 +81,21 @@ def _tiles(rows: pd.DataFrame, digits: int):
         sims = np.round(_similarities(a, b), digits)
         if lo == hi:
             own = np.arange(len(a.ids))
-            sims[own, own + i] = np.nan
+            sims[own, own + i] = -1.0
         yield a.ids, b.ids, sims, lo != hi
 
 
 def _best(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, k: int) -> pd.DataFrame:
-    # others are ascending, so a stable sort orders ties by id; NaN sorts last
-    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-    found = pd.DataFrame({
-        "id": np.repeat(ids, top.shape[1]),
-        "neighbour": others[top].ravel(),
-        "sim": np.take_along_axis(sims, top, axis=1).ravel(),
-    })
-    return found.dropna()
+    """The k best per row; ``others`` ascend, so their position decides a tie."""
+    k = min(k, sims.shape[1])
+    floor = np.maximum(np.partition(sims, -k, axis=1)[:, -k], 0.0)
+    row, col = np.nonzero(sims >= floor[:, None])
+    sim = sims[row, col]
+    order = np.lexsort((col, -sim, row))
+    row, col, sim = row[order], col[order], sim[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    top = rank < k
+    return pd.DataFrame({"id": ids[row[top]], "neighbour": others[col[top]], "sim": sim[top]})
 
 
 def neighbours_in_block_pair(k: int, digits: int):
