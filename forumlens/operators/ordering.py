@@ -7,7 +7,7 @@ runs inside the buckets only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumlens.session import stage

@@ -1,5 +1,3 @@
-import pytest
-
 from forumlens.operators import clean
 from tests.helpers import rows
 

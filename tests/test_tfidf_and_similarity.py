@@ -1,6 +1,5 @@
 import math
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +7,6 @@ from forumlens.operators import similarity, tfidf
 from forumlens.operators.tfidf import VocabularyRule
 from forumlens.plans import pipelines
 from tests import helpers
-from tests.helpers import rows
 
 
 def frame(spark, docs):
