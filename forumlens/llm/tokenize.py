@@ -16,7 +16,8 @@ class WordEncoder:
     """Encodes whole texts with the tokenizers library, each frequent word only once.
 
     Usable with tokenizers that drop white space, so that a text's ids are those of its pieces between spaces and line
-    feeds, one after the other. Strings of special tokens in a text are ordinary text. At most ``MEMO_WORDS`` words
+    feeds, one after the other. Where the tokenizer ignores case and cuts punctuation off, a new word is looked up
+    without its capitals and without a full stop or comma at its end first. Strings of special tokens in a text are ordinary text. At most ``MEMO_WORDS`` words
     are remembered; longer words than ``MEMO_WORD_CHARS`` never are.
     """
 
@@ -32,26 +33,45 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         if self._ids(["a b\nc"]) != [b"".join(self._ids(["a", "b", "c"]))]:
             raise ValueError("this tokenizer keeps white space; texts cannot be encoded word by word")
+        self._plain = self._ids(["Ab's, A. b"]) == [b"".join(self._ids(["ab's", ",", "a", ".", "b"]))]
         self._memo: dict[str, bytes] = {"": b""}
+        self._marks = dict(zip((".", ","), self._ids([".", ","])))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes()
                 for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, word: str) -> tuple[str, bytes]:
+        """A word whose ids followed by the given ones are the ids of ``word``."""
+        end = b""
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            word, end = word[:-1], self._marks[word[-1]]
+        return (word.lower() if word.isascii() else word), end
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        if not self._plain:
+            return dict(zip(words, self._ids(words)))
+        memo = self._memo
+        parts = [self._parts(w) for w in words]
+        new = list({p for p, _ in parts if p not in memo})
+        found = dict(zip(new, self._ids(new)))
+        memo.update((w, ids) for w, ids in found.items() if len(w) <= MEMO_WORD_CHARS)
+        return {w: (found[p] if p in found else memo[p]) + end for w, (p, end) in zip(words, parts)}
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned integers of ``dtype``."""
         words = (text or "").replace("\n", " ").split(" ")
         memo = self._memo
-        missing = [w for w in set(words) if w not in memo]
-        if not missing:
-            return b"".join([memo[w] for w in words])
+        ids = list(map(memo.get, words))
+        if None not in ids:
+            return b"".join(ids)
         if len(memo) > MEMO_WORDS:
             memo.clear()
             memo[""] = b""
-            missing = [w for w in set(words) if w]
-        found = dict(zip(missing, self._ids(missing)))
-        memo.update((w, ids) for w, ids in found.items() if len(w) <= MEMO_WORD_CHARS)
-        return b"".join([memo[w] if w in memo else found[w] for w in words])
+            ids = [b"" if w == "" else None for w in words]
+        found = self._learn(list({w for w, known in zip(words, ids) if known is None}))
+        memo.update((w, known) for w, known in found.items() if len(w) <= MEMO_WORD_CHARS)
+        return b"".join([found[w] if known is None else known for w, known in zip(words, ids)])
 
 
 @cache
