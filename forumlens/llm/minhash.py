@@ -8,11 +8,13 @@ a register; it counts if its weight lies below the count. A register keeps its e
 register with the probability of their weighted Jaccard similarity. Points come in order of time, and a process ends once
 it is later than the latest register.
 
-Registers are cut into bands; texts that agree in a band are candidates. In a bucket every member is first paired with the
-smallest and the largest member only; pairs are verified by their exact bag overlap and give first classes. Pairs of
-a bucket that are still in different classes are then verified too, so no candidate link between classes is lost, while a
-bucket of copies costs as many pairs as members. Pairs whose signatures agree in clearly too few registers are not read
-again. At similarity 0.8 a pair shares no band with probability 6e-5.
+Registers are cut into bands; texts that agree in a band are candidates; at similarity 0.8 a pair shares no band with
+probability 6e-5. In a bucket every member is first paired with the smallest only; pairs are verified by their exact
+bag overlap and give first classes, so a bucket of copies costs as many pairs as members. Pairs of a bucket that are still
+in different classes are then examined too, so no candidate link between classes is lost. Before a pair leaves a join, its
+parity bitmaps must allow it: each element of a bag flips one bit, so the bits in which two bitmaps differ are no more than
+the elements in which the bags differ; at similarity 0.8 these are a ninth of both sizes. The bitmap has four to eight
+bits per element, so nearly every pair that passes is a link, and none is lost.
 
 Null and empty texts have no shingle and are classes of their own. A class is named by its smallest doc_id (null if it has
 none). Rows keep their number; rows with an equal id are told apart by their texts; an empty table gives no rows.
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.llm.common import map_batches, record_batch, text_key
@@ -39,8 +41,6 @@ BANDS, BAND_REGISTERS = 32, 6
 REGISTERS = BANDS * BAND_REGISTERS
 #: Similarity of 0.8 or more, as a fraction.
 LIKE, OF = 4, 5
-#: Equal registers below which a pair is not verified: five standard deviations under the mean at similarity 0.8.
-LEAST_EQUAL = int(REGISTERS * LIKE / OF - 5 * (REGISTERS * LIKE / OF * (1 - LIKE / OF)) ** 0.5)
 
 _CHUNK_BYTES = 1 << 21
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
@@ -83,6 +83,35 @@ def numbered(grams: np.ndarray) -> np.ndarray:
     return np.sort(mix(ordered + occurrence.astype(np.uint64) * _GAMMA))
 
 
+def parity_bits(elements: np.ndarray) -> np.ndarray:
+    """A bitmap of a set in 64-bit words: a bit is on if an odd number of elements fall on it.
+
+    The number of words is a power of two; a bitmap of half the words is the exclusive or of its halves.
+    """
+    bits = 64
+    while bits < 4 * len(elements):
+        bits *= 2
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<u8").view(np.int64)
+
+
+def _differing_bits(a: Column, b: Column) -> Column:
+    """Bits in which two bitmaps differ, the longer one folded to the words of the shorter (half as many at least)."""
+    words = F.least(F.size(a), F.size(b))
+
+    def word(bitmap: Column, i: Column) -> Column:
+        return F.when(F.size(bitmap) > words, F.get(bitmap, i).bitwiseXOR(F.get(bitmap, i + words))).otherwise(F.get(bitmap, i))
+
+    return F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0).cast("bigint"),
+                       lambda n, i: n + F.bit_count(word(a, i).bitwiseXOR(word(b, i))))
+
+
+def _possible(a: Column, size_a: Column, b: Column, size_b: Column) -> Column:
+    """Whether two bags may reach the similarity, by their sizes and bitmaps."""
+    near = (F.least(size_a, size_b) * OF >= F.greatest(size_a, size_b) * LIKE)
+    return F.when(near, _differing_bits(a, b) * (OF + LIKE) <= (size_a + size_b) * (OF - LIKE)).otherwise(False)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return OF * common >= LIKE * (len(a) + len(b) - common)
@@ -137,20 +166,20 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = texts[begin:end]
             grams = shingles(part)
             full = [k for k, g in enumerate(grams) if len(g)]
-            contents, bands, registers = [None] * len(part), [None] * len(part), [None] * len(part)
+            contents, bands, bitmaps = [None] * len(part), [None] * len(part), [None] * len(part)
             if full:
                 found = signatures([bag(grams[k]) for k in full])
                 bits = mix(found.view(np.uint64))
                 keys = np.zeros((len(full), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 for r in range(BAND_REGISTERS):
                     keys = mix(keys * _GAMMA + bits.reshape(-1, BANDS, BAND_REGISTERS)[:, :, r])
-                small = (bits >> np.uint64(48)).astype("<u2")
                 for row, k in enumerate(full):
                     contents[k] = hashlib.blake2b(b" ".join(part[k].split()), digest_size=16).digest()
-                    bands[k], registers[k] = keys[row].view(np.int64), small[row].tobytes()
+                    bands[k], bitmaps[k] = keys[row].view(np.int64), parity_bits(numbered(grams[k]))
             yield record_batch(doc_id=ids.slice(begin, end - begin), tie=ties.slice(begin, end - begin),
                                content=pa.array(contents, pa.binary()), bands=pa.array(bands, pa.list_(pa.int64())),
-                               registers=pa.array(registers, pa.binary()))
+                               size=np.array([len(g) for g in grams], np.int64),
+                               bitmap=pa.array(bitmaps, pa.list_(pa.int64())))
             begin = end
 
 
@@ -167,28 +196,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(like, pa.bool_()))
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        enough = [int((np.frombuffer(a, "<u2") == np.frombuffer(b, "<u2")).sum()) >= LEAST_EQUAL
-                  for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(enough, pa.bool_()))
-
-
-def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """Pairs (a, b) with the value of a and that of b."""
-    left = pairs.join(values.select(F.col("content").alias("a"), F.col(value).alias("left_value")), "a")
-    right = values.select(F.col("content").alias("b"), F.col(value).alias("right_value"))
-    return left.join(right, "b").select("a", "b", "left_value", "right_value")
+def _possible_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow."""
+    left = nodes.select(F.col("content").alias("a"), F.col("size").alias("size_a"), F.col("bitmap").alias("bitmap_a"))
+    right = nodes.select(F.col("content").alias("r"), F.col("size").alias("size_b"), F.col("bitmap").alias("bitmap_b"))
+    allowed = _possible(F.col("bitmap_a"), F.col("size_a"), F.col("bitmap_b"), F.col("size_b"))
+    return pairs.join(left, "a").join(right, (F.col("b") == F.col("r")) & allowed).select("a", "b")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach the similarity; ``rows`` are all documents with their texts."""
-    likely = stage(map_batches(_with_both(pairs, nodes, "registers"), _agree, "a binary, b binary"))
-    needed = likely.select(F.col("a").alias("content")).union(likely.select("b")).distinct()
+    """The pairs (a, b) of a written table that reach the similarity; ``rows`` are all documents with their texts."""
+    needed = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
     where = nodes.select("content", F.col("first.doc_id").alias("d"), F.col("first.tie").alias("t")).join(needed, "content")
     texts = rows.join(where, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
     bags = stage(map_batches(texts.select("content", "text"), _bags, "content binary, bag binary").dropDuplicates(["content"]))
-    return map_batches(_with_both(likely, bags, "bag"), _verify, "a binary, b binary")
+    both = pairs.join(bags.toDF("a", "left_bag"), "a").join(bags.toDF("b", "right_bag"), "b")
+    return map_batches(both.select("a", "b", "left_bag", "right_bag"), _verify, "a binary, b binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -199,34 +222,32 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("tie"),
                        F.col("text").cast("binary").alias("text"))
-    encoded = stage(map_batches(rows, _encode, "doc_id long, tie long, content binary, bands array<long>, registers binary"))
+    encoded = stage(map_batches(rows, _encode, "doc_id long, tie long, content binary, bands array<long>, size long, "
+                                               "bitmap array<long>"))
     full = encoded.where(F.col("content").isNotNull())
     firsts = full.groupBy(F.col("content").alias("c")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"))
     # equal contents have equal signatures: those of the first row stand for all
     same = ((F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
             & (F.col("tie") == F.col("first.tie")))
-    nodes = stage(full.join(firsts, same).select("content", "first", "bands", "registers").dropDuplicates(["content"]))
+    nodes = stage(full.join(firsts, same).select("content", "first", "bands", "size", "bitmap").dropDuplicates(["content"]))
     members = nodes.select("content", F.explode("bands").alias("band"))
     buckets = stage(members.groupBy("band").agg(F.min("content").alias("low"), F.max("content").alias("high"))
-                    .where(F.col("low") != F.col("high")))
+                    .where(F.col("low") != F.col("high")).select("band", "low"))
     shared = stage(members.join(buckets, "band"))
-    ends = shared.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("content").alias("b")),
-                                           F.struct(F.col("content").alias("a"), F.col("high").alias("b")))).alias("p"))
-    star = ends.select("p.*").where(F.col("a") < F.col("b")).distinct()
-    links = stage(_links(star, nodes, rows))
+    star = shared.select(F.col("low").alias("a"), F.col("content").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    links = stage(_links(stage(_possible_pairs(star, nodes)), nodes, rows))
     found = components(links)
-    # what a bucket has left: pairs of members in different classes, neither of them an end of the bucket
+    # what is left of a bucket: pairs of members in different classes, neither of them its smallest
     root = F.coalesce(F.col("root"), F.col("content"))
-    placed = shared.join(found.withColumnRenamed("node", "content"), "content", "left").select(
-        "band", "content", "low", "high", root.alias("root"))
+    placed = shared.join(found.withColumnRenamed("node", "content"), "content", "left").where(
+        F.col("content") != F.col("low")).select("band", "content", root.alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y"))
-    inner = stage(placed.join(mixed.select("band"), "band", "left_semi")
-                  .where((F.col("content") != F.col("low")) & (F.col("content") != F.col("high")))
-                  .select("band", "content", "root"))
-    other = inner.select("band", F.col("content").alias("c2"), F.col("root").alias("r2"))
-    rest = (inner.join(other, "band").where((F.col("content") < F.col("c2")) & (F.col("root") != F.col("r2")))
-            .select(F.col("content").alias("a"), F.col("c2").alias("b")).distinct())
+    inner = stage(placed.join(mixed.select("band"), "band", "left_semi").join(nodes.select("content", "size", "bitmap"), "content"))
+    other = inner.toDF(*(f"{c}_2" for c in inner.columns))
+    apart = ((F.col("band") == F.col("band_2")) & (F.col("content") < F.col("content_2")) & (F.col("root") != F.col("root_2"))
+             & _possible(F.col("bitmap"), F.col("size"), F.col("bitmap_2"), F.col("size_2")))
+    rest = stage(inner.join(other, apart).select(F.col("content").alias("a"), F.col("content_2").alias("b")).distinct())
     more = stage(_links(rest, nodes, rows))
     found = components(links.union(more))
     named = nodes.join(found.withColumnRenamed("node", "content"), "content", "left").select(
