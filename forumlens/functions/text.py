@@ -14,7 +14,6 @@ ALPHABETIC = r"^\p{L}+$"
 MIN_TERM_LENGTH = 2
 
 # A literal map is searched from its start, so larger dictionaries go through a join.
-MAX_LITERAL_LEMMAS = 200
 
 
 def word_count(text: Column) -> Column:
@@ -51,8 +50,6 @@ def normalized_words(text: Column, lemmas: dict[str, str] | None = None,
     settled here, so most words cost two set lookups.
     """
     lemmas = LEMMAS if lemmas is None else lemmas
-    if len(lemmas) > MAX_LITERAL_LEMMAS:
-        raise ValueError("dictionary too large for a literal map; use normalize_by_table")
     outcome = {form: lemmas.get(form, form) for form in [*lemmas, *(w.lower() for w in stop_words)]}
     dropped = [form for form, lemma in outcome.items() if lemma in stop_words or not lemma.isalpha()]
     replaced = {form: lemma for form, lemma in outcome.items() if form not in dropped}

@@ -23,8 +23,8 @@ def with_tags(posts: DataFrame, *tags: str, column: str = "link_flair_text") ->
 
 
 def newest_first(id_column: str = "id", time_column: str = "created_utc") -> list[Column]:
-    """The order that decides which of several copies is kept."""
-    return [-F.col(time_column), F.col(id_column)]
+    """The order that decides which of several copies is kept; a post without a time comes last."""
+    return [F.col(time_column).isNull(), -F.col(time_column), F.col(id_column)]
 
 
 def keep_first(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -39,8 +39,17 @@ def keep_first(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def dedupe_title_then_url(posts: DataFrame) -> DataFrame:
-    """Drop repeated titles, then repeated urls among the survivors; the newest post is kept."""
-    return keep_first(keep_first(posts, "title", newest_first()), "url", newest_first())
+    """Drop repeated titles, then repeated urls among the survivors; the newest post is kept.
+
+    Posts are told apart by ``id``. Only hashes, times and ids are shuffled to find the survivors; a text moves once,
+    when the posts are joined with their ids.
+    """
+    keys = posts.select("id", "created_utc", F.sha2("title", 256).alias("title"), F.sha2("url", 256).alias("url"))
+    order = F.struct(*newest_first())
+    value = F.struct("id", "created_utc", "url")
+    titles = keys.groupBy("title").agg(F.min_by(value, order).alias("p")).select("p.*")
+    kept = titles.groupBy("url").agg(F.min_by("id", order).alias("id")).select("id")
+    return posts.join(kept, "id", "left_semi")
 
 
 def duplicate_counts(posts: DataFrame, keys: tuple[str, ...] = ("title", "url")) -> DataFrame:

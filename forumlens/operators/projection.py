@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, PCA
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.operators.tfidf import VocabularyRule, corpus_size, fit_vocabulary, term_counts
 from forumlens.session import stage
 
-# The principal axes come from a features-by-features matrix, so the vocabulary must be bounded.
-MAX_COLUMNS = 4000
+# Directions that are iterated together: the two wanted ones and more, which make these converge sooner.
+DIRECTIONS = 8
+ROUNDS = 40
+# Relative change of the two leading values at which the iteration ends.
+TOLERANCE = 1e-12
 
 
 def tfidf_vectors(docs: DataFrame, rule: VocabularyRule) -> tuple[DataFrame, list[str]]:
-    """Sparse unit vectors ``features`` over a bounded vocabulary, and its terms in column order.
+    """Sparse unit vectors ``features`` over the vocabulary of a topic model, and its terms in column order.
 
     The vocabulary (``max_features`` at most) is all that reaches the driver. The vectors are
     staged, since fitting reads them many times.
     """
-    if rule.max_features is None or rule.max_features > MAX_COLUMNS:
-        raise ValueError(f"max_features of at most {MAX_COLUMNS} needed")
+    if rule.max_features is None:
+        raise ValueError("a topic model needs max_features")
     vocabulary = fit_vocabulary(term_counts(docs), corpus_size(docs), rule)
     rows = vocabulary.select("term", "idf").orderBy("term").collect()
     names = [r["term"] for r in rows]
@@ -33,33 +36,94 @@ def tfidf_vectors(docs: DataFrame, rule: VocabularyRule) -> tuple[DataFrame, lis
     return stage(unit.drop("counts", "scaled")), names
 
 
-def _project(training: DataFrame, vectors: DataFrame, names: list[str], keep: tuple[str, ...]) -> DataFrame:
-    """Coordinates of ``vectors`` on the principal axes of ``training``, not centred.
+def _columns(prefix: str) -> list[str]:
+    return [f"{prefix}{j}" for j in range(DIRECTIONS)]
 
-    An axis is only defined up to its sign: the one that makes its largest entry positive is taken.
+
+def _turned(rows: DataFrame, key: str, matrix: np.ndarray, prefix: str = "v") -> DataFrame:
+    """Rows times a small matrix."""
+    def column(j: int) -> Column:
+        return sum((F.col(f"{prefix}{i}") * float(matrix[i, j]) for i in range(DIRECTIONS)), F.lit(0.0)).alias(f"v{j}")
+
+    return rows.select(key, *(column(j) for j in range(matrix.shape[1])))
+
+
+def _products(rows: DataFrame, left: str, right: str) -> np.ndarray:
+    """The small matrix of inner products between columns ``left`` and ``right``."""
+    sums = [F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0)) for a in _columns(left) for b in _columns(right)]
+    return np.array(rows.agg(*(s.alias(f"p{i}") for i, s in enumerate(sums))).first()).reshape(DIRECTIONS, DIRECTIONS)
+
+
+def _scores(weights: DataFrame, axes: DataFrame, names: list[str]) -> DataFrame:
+    """Coordinates (id, names...) of posts that have terms."""
+    joined = weights.join(axes, "term")
+    return joined.groupBy("id").agg(*(F.sum(F.col("w") * F.col(n)).alias(n) for n in names))
+
+
+def _axes(docs: DataFrame, weights: DataFrame, centred: bool) -> DataFrame:
+    """The two leading directions (term, v0, v1) of all posts, by block power iteration on the whole vocabulary.
+
+    A round multiplies the directions by the weights and by their transpose, two aggregations over the postings; only
+    inner products of the few directions reach the driver. Means are subtracted from the product, never from the
+    sparse rows. The start depends on the terms alone, so the result is the same on any cluster. An axis is only
+    defined up to its sign: the one that makes its largest entry positive is taken.
     """
-    model = PCA(k=len(names), inputCol="features", outputCol="_projected").fit(training)
-    axes = model.pc.toArray()
-    signs = [1.0 if axes[abs(axes[:, j]).argmax(), j] >= 0 else -1.0 for j in range(len(names))]
-    projected = model.transform(vectors).withColumn("_xy", vector_to_array("_projected"))
-    return projected.select(*keep, *[(F.col("_xy")[j] * signs[j]).alias(n) for j, n in enumerate(names)])
+    n_docs = max(docs.count(), 1)
+    start = [((F.pmod(F.xxhash64("term", F.lit(j)), F.lit(1 << 20)) + 0.5) / float(1 << 20) - 0.5).alias(f"v{j}")
+             for j in range(DIRECTIONS)]
+    totals = stage(weights.groupBy("term").agg(F.sum("w").alias("total")))
+    current = stage(totals.select("term", *start))
+    current = stage(_turned(current, "term", _inverse_root(_products(current, "v", "v"))))
+    before = None
+    for _ in range(ROUNDS):
+        scores = stage(_scores(weights, current, _columns("v")))
+        back = weights.join(scores, "id").groupBy("term").agg(
+            *(F.sum(F.col("w") * F.col(f"v{j}")).alias(f"a{j}") for j in range(DIRECTIONS)))
+        both = back.join(current, "term").join(totals, "term")
+        if centred:
+            means = scores.agg(*(F.sum(v).alias(v) for v in _columns("v"))).first()
+            both = both.withColumns({f"a{j}": F.col(f"a{j}") - F.col("total") * float((means[j] or 0.0) / n_docs)
+                                     for j in range(DIRECTIONS)})
+        both = stage(both.drop("total"))
+        values, rotation = np.linalg.eigh(_symmetric(_products(both, "v", "a")))
+        rotation, leading = rotation[:, ::-1], values[::-1][:2]
+        if before is not None and np.all(abs(leading - before) <= TOLERANCE * max(abs(leading).max(), 1e-300)):
+            break
+        before = leading
+        current = stage(_turned(both, "term", _inverse_root(_products(both, "a", "a")), "a"))
+    axes = stage(_turned(both, "term", rotation[:, :2]))
+    largest = axes.agg(*(F.max_by(v, F.struct(F.round(F.abs(v), 9), "term")).alias(v) for v in ("v0", "v1"))).first()
+    signs = [-1.0 if (x or 0.0) < 0 else 1.0 for x in largest]
+    return axes.select("term", *((F.col(v) * s).alias(v) for v, s in zip(("v0", "v1"), signs)))
 
 
-def pca_2d(vectors: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """First two principal components, centred: (keep..., pc1, pc2)."""
-    xy = _project(vectors, vectors, ["pc1", "pc2"], keep)
-    centre = xy.agg(F.struct(F.avg("pc1").alias("a"), F.avg("pc2").alias("b"))).scalar()
-    return xy.select(*keep, (F.col("pc1") - centre["a"]).alias("pc1"), (F.col("pc2") - centre["b"]).alias("pc2"))
+def _symmetric(matrix: np.ndarray) -> np.ndarray:
+    return (matrix + matrix.T) / 2
+
+
+def _inverse_root(gram: np.ndarray) -> np.ndarray:
+    """What makes directions with these inner products orthonormal; directions that have vanished become 0."""
+    values, vectors = np.linalg.eigh(_symmetric(gram))
+    scale = np.where(values > 1e-13 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+    return vectors * scale
+
 
+def _project(docs: DataFrame, weights: DataFrame, names: tuple[str, str], centred: bool) -> DataFrame:
+    xy = _scores(weights, _axes(docs, weights, centred), ["v0", "v1"])
+    columns = [F.coalesce(F.col(v), F.lit(0.0)).alias(n) for v, n in zip(("v0", "v1"), names)]
+    return docs.join(xy, "id", "left").select(*docs.columns, *columns)
 
-def svd_2d(vectors: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Projection on the two leading right singular vectors, not centred: (keep..., sv1, sv2).
 
-    Rows and their negatives together have mean 0, so their principal axes are the singular
-    vectors of the rows themselves.
+def pca_2d(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """First two principal components of posts, centred: the columns of ``docs`` (id, ...) and pc1, pc2.
+
+    ``weights`` (id, term, w) is a staged table over the whole vocabulary; a post without terms is the zero vector.
     """
-    size = vectors.first()["features"].size
-    negated = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * size), inputCol="features", outputCol="_neg")
-    mirrored = vectors.select("features").unionByName(
-        negated.transform(vectors).select(F.col("_neg").alias("features")))
-    return _project(mirrored, vectors, ["sv1", "sv2"], keep)
+    xy = stage(_project(docs, weights, ("pc1", "pc2"), centred=True))
+    centre = xy.agg(F.struct(F.avg("pc1").alias("a"), F.avg("pc2").alias("b"))).scalar()
+    return xy.select(*docs.columns, (F.col("pc1") - centre["a"]).alias("pc1"), (F.col("pc2") - centre["b"]).alias("pc2"))
+
+
+def svd_2d(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Projection on the two leading right singular vectors, not centred: the columns of ``docs`` and sv1, sv2."""
+    return _project(docs, weights, ("sv1", "sv2"), centred=False)

@@ -46,11 +46,18 @@ def tag_for_term(docs: DataFrame, term: str, tag_column: str = "link_flair_text"
     return mode_of_tag(docs, mentions_term(F.col("words"), term), tag_column)
 
 
-def name_topics(words: DataFrame, docs: DataFrame, tag_column: str = "link_flair_text") -> dict[int, str | None]:
-    """For each topic the tag its first word points to; one small query per topic."""
-    firsts = {r["topic"]: r["term"] for r in words.where(F.col("rank") == 1).collect()}
-    names = {}
-    for topic, term in firsts.items():
-        row = tag_for_term(docs, term, tag_column).first()
-        names[topic] = row[tag_column] if row else None
-    return names
+def name_topics(words: DataFrame, docs: DataFrame, tag_column: str = "link_flair_text") -> DataFrame:
+    """(topic, term, tag): for each topic the most frequent tag among posts that mention its first word.
+
+    All topics are counted in one pass over the posts; the first words, one per topic, come to the driver. Ties go to
+    the smaller tag; the tag is NULL where no tagged post mentions the word.
+    """
+    firsts = words.where(F.col("rank") == 1).select("topic", "term").collect()
+    text = F.concat_ws(" ", "words")
+    named = [F.when(text.contains(r["term"]), F.lit(r["topic"])) for r in firsts]
+    tagged = docs.where(F.col(tag_column).isNotNull()).select(
+        F.col(tag_column).alias("tag"), F.explode(F.array_compact(F.array(*named))).alias("topic"))
+    counts = tagged.groupBy("topic", "tag").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("topic").agg(F.min_by("tag", F.struct(-F.col("n"), F.col("tag"))).alias("tag"))
+    every = docs.sparkSession.createDataFrame([(r["topic"], r["term"]) for r in firsts], "topic int, term string")
+    return every.join(best, "topic", "left")

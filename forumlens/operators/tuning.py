@@ -215,7 +215,8 @@ def _predictions(scored: DataFrame, classes: list) -> DataFrame:
 def fold_measures(docs: DataFrame, choices: list[Choice], measures: tuple[str, ...] = MEASURES) -> DataFrame:
     """Each measure on the validation and training part of each fold, for every choice.
 
-    ``docs`` holds (id, label, fold, terms). Returns (choice, fold, part, metric, value).
+    ``docs`` holds (id, label, fold, terms). Returns (choice, fold, part, metric, value) with a row for each of them;
+    the value is NULL where the fold's vocabulary is empty or the measure is not defined.
     """
     unknown = set(measures) - set(MEASURES)
     if unknown:
@@ -251,15 +252,23 @@ def fold_measures(docs: DataFrame, choices: list[Choice], measures: tuple[str, .
             .withColumn("metric", F.lit("roc_auc")))
     per_model = reduce(DataFrame.unionByName, results)
     wanted = [{"choice": i, "rule": rules.index(c.rule), "alpha": c.alpha} for i, c in enumerate(choices)]
-    plan = assigned.select("*", _literal_structs(wanted).alias("c")).where(F.col("c.rule") == F.col("rule")).select(
-        F.col("c.choice").alias("choice"), F.col("c.alpha").alias("alpha"), "fold", "model")
-    return plan.join(per_model, ["model", "fold", "alpha"]).select("choice", "fold", "part", "metric", "value")
+    every = docs.sparkSession.range(n_folds).select(
+        F.col("id").cast("int").alias("fold"), _literal_structs(wanted).alias("c")).select("fold", "c.*")
+    for name, values in (("part", ("train", "valid")), ("metric", measures)):
+        every = every.withColumn(name, F.explode(F.array(*(F.lit(v) for v in values))))
+    plan = every.join(assigned, ["rule", "fold"], "left")  # no model where no term is left
+    return plan.join(per_model, ["model", "fold", "alpha", "part", "metric"], "left").select(
+        "choice", "fold", "part", "metric", "value")
 
 
 def summarise(measured: DataFrame) -> DataFrame:
-    """Mean and population standard deviation over folds (choice, metric, valid_*, train_*)."""
+    """Mean and population standard deviation over folds (choice, metric, valid_*, train_*).
+
+    NULL where a fold has no value: a mean over fewer folds would not compare with the others.
+    """
     def over(part: str, fn) -> Column:
-        return fn(F.when(F.col("part") == part, F.col("value")))
+        own = F.col("part") == part
+        return F.when(F.count_if(own & F.col("value").isNull()) == 0, fn(F.when(own, F.col("value"))))
     return measured.groupBy("choice", "metric").agg(
         over("valid", F.avg).alias("valid_avg"), over("train", F.avg).alias("train_avg"),
         over("valid", F.stddev_pop).alias("valid_sd"), over("train", F.stddev_pop).alias("train_sd"))
@@ -300,6 +309,6 @@ def grid_search(docs: DataFrame, choices: list[Choice]) -> DataFrame:
 
 
 def best_choice(searched: DataFrame, choices: list[Choice]) -> Choice:
-    """The choice with the highest mean validation accuracy; the earlier one on a tie."""
-    best = searched.orderBy(F.desc(F.round("valid_avg", PROBA_DIGITS)), "choice").first()
+    """The choice with the highest mean validation accuracy; the earlier one on a tie. Choices without one come last."""
+    best = searched.orderBy(F.desc_nulls_last(F.round("valid_avg", PROBA_DIGITS)), "choice").first()
     return choices[best["choice"]]

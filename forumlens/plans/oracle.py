@@ -36,9 +36,9 @@ list_filter(list_transform(list_transform(
 
 # name: (what it reads, query)
 _FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
-    "posts": ((), """
+    "posts": ((), r"""
         SELECT d.doc_id AS id, e.user_id AS author, d.text AS title, CAST(floor(e.value) AS BIGINT) AS score,
-               '/u/' || e.user_id || '/' || CAST(e.props->>'$.k' AS BIGINT) AS url,
+               '/p/' || md5(regexp_replace(lower(d.text), '[^\p{L}]+', '', 'g')) AS url,
                CAST(e.props->>'$.k' AS BIGINT) AS num_comments, d.source AS subreddit,
                CAST(floor(epoch(e.ts)) AS BIGINT) AS created_utc, e.ts AS created_time,
                CASE WHEN l.doc_id IS NOT NULL THEN e.event_type END AS link_flair_text,
@@ -196,11 +196,13 @@ def _cross_validation(choices: list[tuning.Choice], columns: str, keep: str, met
                    sum(neg * (cum - pos / 2)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS value
             FROM (SELECT *, sum(pos) OVER (PARTITION BY choice, f, training ORDER BY proba DESC) AS cum FROM pn)
             GROUP BY choice, f, training"""),
-        ("measured", " UNION ALL ".join(f"SELECT * FROM {m}" for m in metrics)),
+        ("measured", f"""SELECT m.choice, m.f, training, metric, CASE WHEN e.choice IS NOT NULL THEN value END AS value
+            FROM ({" UNION ALL ".join(f"SELECT * FROM {m}" for m in metrics)}) m
+            LEFT JOIN (SELECT DISTINCT choice, f FROM v) e ON e.choice = m.choice AND e.f = m.f"""),
         ("summary", """SELECT choice, metric,
-                   round(avg(value) FILTER (NOT training), 6) AS valid_avg, round(avg(value) FILTER (training), 6) AS train_avg,
-                   round(stddev_pop(value) FILTER (NOT training), 6) AS valid_sd,
-                   round(stddev_pop(value) FILTER (training), 6) AS train_sd
+                   CASE WHEN count(*) FILTER (NOT training AND value IS NULL) = 0 THEN round(avg(value) FILTER (NOT training), 6) END AS valid_avg, CASE WHEN count(*) FILTER (training AND value IS NULL) = 0 THEN round(avg(value) FILTER (training), 6) END AS train_avg,
+                   CASE WHEN count(*) FILTER (NOT training AND value IS NULL) = 0 THEN round(stddev_pop(value) FILTER (NOT training), 6) END AS valid_sd,
+                   CASE WHEN count(*) FILTER (training AND value IS NULL) = 0 THEN round(stddev_pop(value) FILTER (training), 6) END AS train_sd
             FROM measured GROUP BY choice, metric"""),
     )
     return f"""{_with('folds', steps)}
@@ -252,13 +254,13 @@ def _stream_scores() -> str:
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, label) = 1"""
 
 
-def _train_final() -> str:
+def _final_steps() -> tuple[tuple[str, str], ...]:
     """The grid's best vocabulary, then its best alpha, then the model of all training rows."""
     grid = tuning.vocabulary_grid()
     keep = "choice, max_features, max_df, min_df, alpha, "
     by_vocabulary = _cross_validation(grid, "", keep, ("acc",))
     each_pair = _cross_validation([tuning.Choice(c.rule, a) for c in grid for a in tuning.GRID_ALPHA], "", keep, ("acc",))
-    steps = (
+    return (
         ("best", f"SELECT * FROM ({by_vocabulary}) ORDER BY round(valid_avg, 9) DESC, choice LIMIT 1"),
         ("alphas", f"""SELECT a.* FROM ({each_pair}) a JOIN best b
             ON a.max_features = b.max_features AND a.max_df = b.max_df AND a.min_df = b.min_df
@@ -266,21 +268,47 @@ def _train_final() -> str:
     ) + _fitted("""CROSS JOIN (SELECT min_df, max_df, max_features FROM best) WHERE df >= min_df AND df <= max_df * n
         QUALIFY row_number() OVER (ORDER BY cf DESC, term) <= any_value(max_features) OVER ()""",
                 "(SELECT CAST(alpha AS DOUBLE) FROM alphas)")
-    return f"""{_with("m_tf m_classes", steps)}
+
+
+def _train_final() -> str:
+    return f"""{_with("m_tf m_classes", _final_steps())}
         SELECT label, term, round(idf, 6) AS idf, round(logp, 6) AS logp FROM n_model"""
 
 
+def _evaluated_final(last: tuple[str, ...], body: str) -> str:
+    """A query on fragments that read ``scores``, here those of the final model on the test rows."""
+    steps = _final_steps() + (
+        ("t_weights", """SELECT id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY id)) AS w
+            FROM m_tf JOIN n_vocabulary USING (term) WHERE split = 'test'"""),
+        ("scores", """SELECT d.id, d.label AS actual, c.label AS class,
+                coalesce(sum(w.w * m.logp), 0) + any_value(c.prior) AS score
+            FROM divided d CROSS JOIN m_classes c LEFT JOIN t_weights w ON w.id = d.id
+            LEFT JOIN n_model m ON m.term = w.term AND m.label = c.label WHERE d.split = 'test' GROUP BY ALL"""),
+    ) + tuple((name, _FRAGMENTS[name][1]) for name in last)
+    return f"{_with('m_tf m_classes', steps)}\n{body}"
+
+
+_VECTOR_STEPS = (
+    ("docs", f"SELECT id, {_NORMALIZE} AS words FROM posts"),
+    ("uses", """SELECT id, word, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
+        FROM (SELECT id, unnest(list_distinct(words)) AS word FROM docs) JOIN embeddings ON vec_id = id"""),
+    ("word_vectors", "SELECT word, i, avg(x) AS x FROM uses GROUP BY ALL"),
+    ("tokens", "SELECT id, unnest(words) AS word FROM docs"),
+    ("means", "SELECT id, i, avg(x) AS x FROM tokens JOIN word_vectors USING (word) GROUP BY ALL"),
+    ("packed", "SELECT id, list(x ORDER BY i) AS vector FROM means GROUP BY id"),
+)
+
+
 def _mean_vectors() -> str:
-    steps = (
-        ("docs", f"SELECT id, {_NORMALIZE} AS words FROM posts"),
-        ("uses", """SELECT id, word, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
-            FROM (SELECT id, unnest(list_distinct(words)) AS word FROM docs) JOIN embeddings ON vec_id = id"""),
-        ("word_vectors", "SELECT word, i, avg(x) AS x FROM uses GROUP BY ALL"),
-        ("tokens", "SELECT id, unnest(words) AS word FROM docs"),
-        ("means", "SELECT id, i, avg(x) AS x FROM tokens JOIN word_vectors USING (word) GROUP BY ALL"),
-        ("packed", "SELECT id, list(round(x, 6) ORDER BY i) AS vector FROM means GROUP BY id"),
-    )
-    return f"{_with('posts', steps)} SELECT id, vector FROM docs LEFT JOIN packed USING (id)"
+    return f"""{_with('posts', _VECTOR_STEPS)}
+        SELECT id, list_transform(vector, lambda x: round(x, 6)) AS vector FROM docs LEFT JOIN packed USING (id)"""
+
+
+def _words_vector_top5() -> str:
+    return f"""{_with('posts', _VECTOR_STEPS)} SELECT id, author, title, subreddit, link_flair_text, cosine_sim FROM posts
+        JOIN (SELECT a.id, round(coalesce(list_cosine_similarity(a.vector, b.vector), 0), 6) AS cosine_sim
+              FROM (SELECT id, vector FROM docs LEFT JOIN packed USING (id)) a
+              JOIN packed b ON b.id = {q.TARGET} AND a.id <> {q.TARGET} ORDER BY cosine_sim DESC, id LIMIT 5) USING (id)"""
 
 
 def _statements() -> dict[str, str]:
@@ -300,12 +328,22 @@ def _statements() -> dict[str, str]:
                "link_flair_text", "lang", "quality")
     profiled = " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS non_null FROM posts" for c in columns)
+    report = """
+            SELECT name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM per_class
+            UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+                CAST(sum(support) AS BIGINT) FROM per_class
+            UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+                round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+                CAST(sum(support) AS BIGINT) FROM per_class"""
+    auc = """SELECT class,
+            round(sum(neg * (cum_pos - pos / 2)) / (CAST(any_value(all_pos) AS DOUBLE) * any_value(all_neg)), 6) AS auc
+            FROM curve GROUP BY class"""
     return {
         "search_posts": from_posts(f"""SELECT {search_columns} FROM posts
             WHERE subreddit = 'src0' AND {keyword} AND created_utc > {q.AFTER}
             ORDER BY created_utc DESC, id LIMIT 20"""),
         "search_keyword_in_channel": from_posts(f"""SELECT {live} FROM posts
-            WHERE subreddit = 'src0' AND {keyword} ORDER BY created_utc DESC, id LIMIT 50"""),
+            WHERE subreddit = 'src0' AND {keyword}"""),
         "scan_channel": from_posts("SELECT * FROM posts WHERE subreddit = 'src0'"),
         "scan_channel_two_tags": from_posts(
             f"SELECT * FROM posts WHERE subreddit = 'src0' AND link_flair_text IN ({tags})"),
@@ -371,25 +409,18 @@ def _statements() -> dict[str, str]:
                 SELECT a.id, sum(a.w * b.w) AS sim FROM weights a JOIN weights b ON a.term = b.term AND b.id = {q.TARGET}
                 GROUP BY a.id) USING (id)
             WHERE id <> {q.TARGET} ORDER BY consine_sim DESC, id LIMIT 5"""),
-        "recommend_all_topk": _from("weights", """, sims AS (SELECT a.id AS x, b.id AS y, sum(a.w * b.w) AS sim
-                FROM weights a JOIN weights b USING (term) WHERE a.id <> b.id GROUP BY ALL)
-            SELECT a.id, b.id AS neighbour, round(coalesce(sim, 0), 6) AS sim,
+        "recommend_tfidf_for": _from("weights", f""", sims AS (SELECT a.id AS x, b.id AS y, sum(a.w * b.w) AS sim
+                FROM weights a JOIN weights b USING (term) WHERE a.id % {q.EVERY} = 0 AND a.id <> b.id GROUP BY ALL)
+            SELECT a.id AS target, b.id, round(coalesce(sim, 0), 6) AS sim,
                 CAST(row_number() OVER (PARTITION BY a.id ORDER BY round(coalesce(sim, 0), 6) DESC, b.id) AS INTEGER) AS rank
-            FROM corpus a JOIN corpus b ON a.id <> b.id LEFT JOIN sims ON x = a.id AND y = b.id
+            FROM corpus a JOIN corpus b ON a.id <> b.id AND a.id % {q.EVERY} = 0 LEFT JOIN sims ON x = a.id AND y = b.id
             QUALIFY rank <= 5"""),
-        "similar_pairs_tfidf": _from("weights", f""", bags AS (
-                SELECT id, min(id) OVER (PARTITION BY list_sort(terms)) AS rep FROM corpus WHERE len(terms) > 0)
-            SELECT id_a, id_b, sim FROM (
-                SELECT a.id AS id_a, b.id AS id_b, round(sum(a.w * b.w), 6) AS sim
-                FROM weights a JOIN weights b ON a.term = b.term AND a.id < b.id
-                WHERE a.id IN (SELECT rep FROM bags) AND b.id IN (SELECT rep FROM bags) GROUP BY ALL)
-            WHERE sim >= {q.MIN_SIM}
-            UNION ALL SELECT rep, id, 1.0 FROM bags WHERE id <> rep"""),
         "doc_vectors_mean": _mean_vectors(),
         "recommend_vector_top5": from_posts(f"""SELECT id, author, title, subreddit, link_flair_text, cosine_sim FROM posts
             JOIN (SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine_sim
                   FROM embeddings a JOIN embeddings b ON b.vec_id = {q.TARGET} AND a.vec_id <> {q.TARGET}
-                  ORDER BY cosine_sim DESC, id LIMIT 5) USING (id)"""),
+                  WHERE a.vec_id IN (SELECT id FROM posts) ORDER BY cosine_sim DESC, id LIMIT 5) USING (id)"""),
+        "recommend_words_vector_top5": _words_vector_top5(),
         "stratified_split": _from("divided", "SELECT id, label, split FROM divided"),
         "split_label_counts": _from("divided", "SELECT split, label, count(*) AS n FROM divided GROUP BY ALL"),
         "stratified_folds": _from("folds", "SELECT id, label, fold FROM folds"),
@@ -400,19 +431,11 @@ def _statements() -> dict[str, str]:
         "accuracy": _from("predicted",
                           "SELECT round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy FROM predicted"),
         "confusion_matrix": _from("cells", "SELECT label, prediction, n FROM cells"),
-        "classification_report": _from("per_class", """
-            SELECT name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM per_class
-            UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
-                CAST(sum(support) AS BIGINT) FROM per_class
-            UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
-                round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
-                CAST(sum(support) AS BIGINT) FROM per_class"""),
+        "classification_report": _from("per_class", report),
         "roc_points": _from("curve", """SELECT class, round(proba, 6) AS threshold, round(cum_neg / all_neg, 6) AS fpr,
                 round(cum_pos / all_pos, 6) AS tpr FROM curve
             UNION ALL SELECT DISTINCT class, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM curve"""),
-        "roc_auc": _from("curve", """SELECT class,
-            round(sum(neg * (cum_pos - pos / 2)) / (CAST(any_value(all_pos) AS DOUBLE) * any_value(all_neg)), 6) AS auc
-            FROM curve GROUP BY class"""),
+        "roc_auc": _from("curve", auc),
         "cv_report": _cross_validation([tuning.Choice()], "", "metric, ", ("acc", "auc")),
         "tune_max_features": _sweep("max_features", tuning.SWEEP_MAX_FEATURES),
         "tune_max_df": _sweep("max_df", tuning.SWEEP_MAX_DF),
@@ -424,7 +447,11 @@ def _statements() -> dict[str, str]:
                                         "CAST(choice AS INTEGER) AS choice, ", ("acc",)),
         "grid_alpha": _cross_validation([tuning.Choice(q.PRUNED, a) for a in tuning.GRID_ALPHA], _GRID_COLUMNS,
                                         "CAST(choice AS INTEGER) AS choice, ", ("acc",)),
+        "grid_unreachable": _cross_validation(q.UNREACHABLE, _GRID_COLUMNS, "CAST(choice AS INTEGER) AS choice, ", ("acc",)),
         "train_final": _train_final(),
+        "final_confusion": _evaluated_final(("predicted", "cells"), "SELECT label, prediction, n FROM cells"),
+        "final_report": _evaluated_final(("predicted", "cells", "per_class"), report),
+        "final_roc_auc": _evaluated_final(("probabilities", "ranked", "curve"), auc),
         "stream_scores": _stream_scores(),
         "tag_for_term": from_posts(f"""SELECT link_flair_text, count(*) AS n_posts FROM posts
             WHERE contains(array_to_string({_NORMALIZE}, ' '), 'eau') AND link_flair_text IS NOT NULL

@@ -15,7 +15,7 @@ from forumlens.operators import (bayes, clean, evaluate, ingest, profile, projec
                                  topics, tuning)
 from forumlens.operators.tfidf import VocabularyRule
 from forumlens.plans import pipelines
-from forumlens.session import shared_dir, stage
+from forumlens.session import new_path, stage
 from forumlens.sources import fixtures, search
 from forumlens.sources.schema import SEARCH_DISPLAY
 from forumlens.streaming import feed
@@ -31,7 +31,8 @@ AFTER = 1704067800
 BEFORE = 1704099600
 PRUNED = VocabularyRule(min_df=3, max_df=0.5, max_features=300)
 TUNED = tuning.Choice(PRUNED, alpha=0.5)
-MIN_SIM = 0.6
+UNREACHABLE = [tuning.Choice(), tuning.Choice(VocabularyRule(min_df=1_000_000_000))]
+EVERY = 50  # posts that recommendations are asked for
 SIX = 6
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +50,7 @@ def search_posts(spark, sf):
 
 
 def search_keyword_in_channel(spark, sf):
-    found = search.search_posts(fixtures.posts(spark, sf), search.SearchSpec("src0", KEYWORD))
+    found = search.search_posts(fixtures.posts(spark, sf), search.SearchSpec("src0", KEYWORD, n_posts=None))
     return search.live_view(found).drop("body")
 
 
@@ -217,32 +218,40 @@ def recommend_tfidf_top5(spark, sf):
     return similarity.attach_posts(similar, corpus, ("id", "author", "title", "subreddit", TAG))
 
 
-def similar_pairs_tfidf(spark, sf):
+def recommend_tfidf_for(spark, sf):
+    """Five similar posts for each post whose id is divisible by fifty."""
     corpus = _corpus(spark, sf)
-    return similarity.similar_pairs(corpus, tfidf.weights(*pipelines.tfidf_tables(corpus)), MIN_SIM)
+    weights = stage(tfidf.weights(*pipelines.tfidf_tables(corpus)))
+    return similarity.recommend_for(corpus, weights, corpus.where(F.col("id") % EVERY == 0))
 
 
-def recommend_all_topk(spark, sf):
-    corpus = _corpus(spark, sf)
-    return similarity.recommend_for_all(corpus, tfidf.weights(*pipelines.tfidf_tables(corpus)))
-
-
-def doc_vectors_mean(spark, sf):
+def _word_means(spark, sf):
     """Mean word vectors of posts; a word's vector is the mean embedding of the posts using it."""
     docs = stage(fixtures.posts(spark, sf).select("id", normalized_words(F.col("title")).alias("words")))
     embeddings = fixtures.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     uses = docs.join(embeddings, "id").select("id", F.explode(F.array_distinct("words")).alias("word"), "embedding")
     word_vectors = stage(uses.groupBy("word").agg(
         vector_to_array(Summarizer.mean(array_to_vector("embedding"))).alias("vector")))
-    vectors = similarity.document_vectors(docs, word_vectors)
-    return vectors.select("id", F.transform("vector", lambda x: F.round(x, SIX)).alias("vector"))
+    return similarity.document_vectors(docs, word_vectors)
+
+
+def doc_vectors_mean(spark, sf):
+    return _word_means(spark, sf).select("id", F.transform("vector", lambda x: F.round(x, SIX)).alias("vector"))
+
+
+def _attached(spark, sf, similar):
+    return similarity.attach_posts(similar, fixtures.posts(spark, sf), ("id", "author", "title", "subreddit", TAG), "cosine_sim")
 
 
 def recommend_vector_top5(spark, sf):
     vectors = fixtures.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    similar = similarity.recommend_by_vector(vectors, TARGET)
-    p = fixtures.posts(spark, sf)
-    return similarity.attach_posts(similar, p, ("id", "author", "title", "subreddit", TAG), "cosine_sim")
+    of_posts = vectors.join(fixtures.posts(spark, sf).select("id"), "id", "left_semi")
+    return _attached(spark, sf, similarity.recommend_by_vector(of_posts, TARGET))
+
+
+def recommend_words_vector_top5(spark, sf):
+    """The five posts whose mean word vectors are most similar to that of one post."""
+    return _attached(spark, sf, similarity.recommend_by_vector(stage(_word_means(spark, sf)), TARGET))
 
 
 # classification
@@ -353,31 +362,56 @@ def grid_alpha(spark, sf):
     return _rounded(tuning.grid_search(_folds(spark, sf), choices), *SUMMARY)
 
 
-def train_final(spark, sf):
-    """Both searches, then the model of the best parameters: its terms, words' and class weights."""
-    train, _ = _train_test(spark, sf)
+def grid_unreachable(spark, sf):
+    """A grid with a document frequency that no term reaches: its measures are NULL, its row stays."""
+    return _rounded(tuning.grid_search(_folds(spark, sf), UNREACHABLE), *SUMMARY)
+
+
+def _tuned(spark, sf):
+    """Training and test rows, and the best parameters of both searches on the training rows."""
+    train, test = _train_test(spark, sf)
     folds = pipelines.folded(train)
     grid = tuning.vocabulary_grid()
     rule = tuning.best_choice(tuning.grid_search(folds, grid), grid).rule
     alphas = [tuning.Choice(rule, a) for a in tuning.GRID_ALPHA]
-    best = tuning.best_choice(tuning.grid_search(folds, alphas), alphas)
+    return train, test, tuning.best_choice(tuning.grid_search(folds, alphas), alphas)
+
+
+def train_final(spark, sf):
+    """The model of the best parameters: its terms, words' and class weights."""
+    train, _, best = _tuned(spark, sf)
     model = bayes.fit(train, best.rule, best.alpha)
     return _rounded(model.log_probabilities().drop("prior"), "logp", "idf")
 
 
+def final_confusion(spark, sf):
+    return evaluate.confusion_matrix(pipelines.evaluated(*_tuned(spark, sf)), list(CLASSES))
+
+
+def final_report(spark, sf):
+    predicted = stage(pipelines.evaluated(*_tuned(spark, sf)))
+    return _rounded(evaluate.classification_report(predicted, list(CLASSES)), "precision", "recall", "f1")
+
+
+def final_roc_auc(spark, sf):
+    train, test, best = _tuned(spark, sf)
+    probabilities = bayes.predict_proba(test, bayes.fit(train, best.rule, best.alpha))
+    return _rounded(evaluate.roc_auc(evaluate.score_counts(probabilities, test)), "auc")
+
+
 # projections and topics
 
-def _vectors(spark, sf):
+def _weighted(spark, sf):
     corpus = stage(_labelled(spark, sf))
-    return projection.tfidf_vectors(corpus, VocabularyRule(max_features=1000))[0]
+    return corpus.select("id", "label"), stage(tfidf.weights(*pipelines.tfidf_tables(corpus)))
 
 
 def project_pca_2d(spark, sf):
-    return _rounded(projection.pca_2d(_vectors(spark, sf), ("id", "label")), "pc1", "pc2")
+    return _rounded(projection.pca_2d(*_weighted(spark, sf)), "pc1", "pc2")
 
 
 def project_svd_2d(spark, sf):
-    return _rounded(projection.svd_2d(_vectors(spark, sf), ("id", "label")), "sv1", "sv2")
+    return _rounded(projection.svd_2d(*_weighted(spark, sf)), "sv1", "sv2")
 
 
 def _topics(spark, sf):
@@ -396,6 +430,12 @@ def lda_top_words(spark, sf):
     return topics.top_words(model, names)
 
 
+def topic_names(spark, sf):
+    """The tag that the first word of each fitted topic points to."""
+    docs = fixtures.posts(spark, sf).withColumn("words", normalized_words(F.col("title")))
+    return topics.name_topics(lda_top_words(spark, sf), docs)
+
+
 def tag_for_term(spark, sf):
     docs = fixtures.posts(spark, sf).withColumn("words", normalized_words(F.col("title")))
     return topics.tag_for_term(docs, "eau")
@@ -409,7 +449,7 @@ def _finish(query) -> None:
 
 def stream_search(spark, sf):
     """Live search written to files, read back."""
-    base = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     found = feed.live_search(fixtures.posts_stream(spark, sf), search.SearchSpec(subreddit="src0", keyword=KEYWORD))
     found = found.drop("body")
     _finish(feed.write_feed(found, f"{base}/out", f"{base}/checkpoint"))
@@ -419,19 +459,20 @@ def stream_search(spark, sf):
 def stream_insert_if_absent(spark, sf):
     """The feed, delivered twice, inserted into a table that already holds the labelled posts."""
     run = uuid.uuid4().hex
-    base = f"{shared_dir(spark)}/stream/{run}"
+    base = new_path(spark, "stream")
     columns = ["id", "author", "score", "created_utc", TAG]
     p = fixtures.posts(spark, sf).select(*columns).where(F.col(TAG).isNotNull())
     p.withColumn("updated_time", F.current_timestamp()).write.option("path", f"{base}/table").saveAsTable(f"feed_{run}")
     arriving = fixtures.posts_stream(spark, sf).select(*columns).withColumn("score", F.col("score") + 1000)
     for delivery in (1, 2):
         _finish(feed.ingest_feed(arriving, f"feed_{run}", f"{base}/checkpoint{delivery}"))
-    return spark.table(f"feed_{run}").drop("updated_time")
+    spark.sql(f"DROP TABLE feed_{run}")  # the files stay until drop_staged
+    return spark.read.parquet(f"{base}/table").drop("updated_time")
 
 
 def stream_scores(spark, sf):
     """Classes predicted for arriving posts with a stored model."""
-    base = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     train, _ = _train_test(spark, sf)
     bayes.fit(train, PRUNED, TUNED.alpha).save(f"{base}/model")
     model = bayes.NaiveBayesModel.load(spark, f"{base}/model")
@@ -451,13 +492,13 @@ _ALL: tuple[Query, ...] = (
     avg_posts_per_author_tag, authors_both_tags, authors_both_tags_top5, table_profile,
     thread_comment_stats, upsert_ignore, keyed_set_latest, normalize_titles,
     tfidf_weights, vocab_pruned, vocab_size, recommend_tfidf_top5,
-    similar_pairs_tfidf, recommend_all_topk, doc_vectors_mean, recommend_vector_top5,
+    recommend_tfidf_for, doc_vectors_mean, recommend_vector_top5, recommend_words_vector_top5,
     stratified_split, split_label_counts, stratified_folds, nb_model,
     nb_predict, nb_predict_proba, accuracy, confusion_matrix,
     classification_report, roc_points, roc_auc, cv_report,
     tune_max_features, tune_max_df, tune_min_df, tuning_curves,
-    grid_vocab, grid_alpha, train_final, project_pca_2d,
-    project_svd_2d, lda_topics, lda_top_words, tag_for_term,
+    grid_vocab, grid_alpha, grid_unreachable, train_final, final_confusion, final_report, final_roc_auc, project_pca_2d,
+    project_svd_2d, lda_topics, lda_top_words, topic_names, tag_for_term,
     stream_search, stream_insert_if_absent, stream_scores,
 )
 

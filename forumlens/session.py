@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,25 +34,23 @@ def build_session(app_name: str = "forumlens", master: str | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder of this machine.
+    Where that is unset, a folder beside the tables of the warehouse, which executors share too.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_dir(spark.sparkContext.applicationId)
-
-
-@cache
-def _local_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="forumlens-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/forumlens-staging"
 
 
 def _staging_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession, purpose: str) -> str:
+    """A path of its own below the shared folder; ``drop_staged`` deletes what is written there."""
+    return f"{_staging_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written table.
 
@@ -62,7 +58,7 @@ def stage(df: DataFrame) -> DataFrame:
     so a lost executor costs a re-read, and the optimiser sees real sizes and prunes columns.
     """
     spark = df.sparkSession
-    path = f"{_staging_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

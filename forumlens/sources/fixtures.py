@@ -31,7 +31,11 @@ def utc_time(seconds: Column) -> Column:
 
 
 def posts(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
-    """The post table; ``documents`` may be a stream of the documents instead of the table."""
+    """The post table; ``documents`` may be a stream of the documents instead of the table.
+
+    By definition of this view a post's author, time and counters are those of the one event with its number; other
+    events belong to no post. Texts with the same letters share a url.
+    """
     documents = (table(spark, sf_dir, "documents") if documents is None else documents).alias("d")
     events = table(spark, sf_dir, "events").alias("e")
     labels = table(spark, sf_dir, "labels").alias("l")
@@ -44,8 +48,7 @@ def posts(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None)
             F.col("e.user_id").alias("author"),
             F.col("d.text").alias("title"),
             F.floor("e.value").cast("bigint").alias("score"),
-            F.concat(F.lit("/u/"), F.col("e.user_id").cast("string"), F.lit("/"),
-                     event_number("e.props").cast("string")).alias("url"),
+            F.concat(F.lit("/p/"), F.md5(F.regexp_replace(F.lower("d.text"), r"[^\p{L}]+", ""))).alias("url"),
             event_number("e.props").alias("num_comments"),
             F.col("d.source").alias("subreddit"),
             seconds_since_epoch(F.col("e.ts")).alias("created_utc"),

@@ -23,13 +23,13 @@ def epoch_of(day: str) -> int:
 
 @dataclass(frozen=True)
 class SearchSpec:
-    """What to search for; ``None`` means no restriction. Times are epoch seconds, both exclusive."""
+    """What to search for; ``None`` means no restriction, for ``n_posts`` all. Times are epoch seconds, both exclusive."""
 
     subreddit: str | None = None
     keyword: str | None = None
     after: int | None = None
     before: int | None = None
-    n_posts: int = DEFAULT_POSTS
+    n_posts: int | None = DEFAULT_POSTS
 
     @classmethod
     def from_text(cls, subreddit: str = "", n_posts: str = "", start_date: str = "", end_date: str = "",
@@ -87,9 +87,9 @@ def matching_posts(posts: DataFrame, spec: SearchSpec) -> DataFrame:
 
 
 def search_posts(posts: DataFrame, spec: SearchSpec) -> DataFrame:
-    """The newest ``n_posts`` matches: the limit runs inside each task before results meet."""
+    """The newest ``n_posts`` matches, or all in no order: the limit runs inside each task before results meet."""
     found = matching_posts(posts, spec)
-    return found.orderBy(F.desc("created_utc"), "id").limit(spec.n_posts)
+    return found if spec.n_posts is None else found.orderBy(F.desc("created_utc"), "id").limit(spec.n_posts)
 
 
 def typed_result(raw: DataFrame) -> DataFrame:

@@ -205,3 +205,16 @@ def test_sweep_and_grid(spark):
     searched = tuning.grid_search(df, twins)
     assert tuning.best_choice(searched, twins) == twins[0]    # equal scores: the earlier one
     assert len(tuning.vocabulary_grid()) == 72
+
+
+def test_no_fold_or_choice_is_lost(spark):
+    docs = [(i, "ab"[i % 2], i // 2, ["x", "y"] if i < 4 else [f"t{i}"]) for i in range(6)]
+    df = spark.createDataFrame(docs, "id long, label string, fold int, terms array<string>")
+    choices = [tuning.Choice(VocabularyRule(min_df=n)) for n in (1, 2, 5)]
+    measured = tuning.fold_measures(df, choices)
+    assert measured.count() == 3 * 3 * 2 * 2
+    summary = {(r["choice"], r["metric"]): r for r in tuning.summarise(measured).collect()}
+    assert len(summary) == 6 and summary[0, "accuracy"]["valid_avg"] is not None
+    assert summary[2, "accuracy"]["valid_avg"] is None and summary[2, "accuracy"]["train_sd"] is None
+    searched = tuning.grid_search(df, choices)
+    assert searched.count() == 3 and tuning.best_choice(searched, choices) != choices[2]

@@ -1,5 +1,3 @@
-import pytest
-
 from forumlens import session
 
 
@@ -24,13 +22,9 @@ def test_the_named_folder_is_used():
     assert session.shared_dir(named) == "s3://bucket/run"
 
 
-def test_a_cluster_needs_a_named_folder():
-    with pytest.raises(RuntimeError):
-        session.shared_dir(Session("spark://host:7077"))
-
-
-def test_a_local_session_keeps_one_folder():
-    assert session.shared_dir(Session("local[2]")) == session.shared_dir(Session("local[2]"))
+def test_otherwise_a_folder_beside_the_tables():
+    unset = Session("spark://host:7077", **{"spark.sql.warehouse.dir": "hdfs://tables/"})
+    assert session.shared_dir(unset) == "hdfs://tables/forumlens-staging"
 
 
 def test_dropping_what_was_staged(spark, monkeypatch, tmp_path):

@@ -40,7 +40,12 @@ def test_terms(spark):
     assert words.select(text.terms(F.col("words"), False)).first()[0] == ["US", "Brain"]
 
 
-def test_defaults_are_small_enough_for_literals():
-    assert len(LEMMAS) <= text.MAX_LITERAL_LEMMAS
+def test_a_large_dictionary_is_used_alike(spark):
+    large = {f"form{i}x".replace("0", "a"): "base" for i in range(500)} | {"cells": "cell"}
+    words = spark.createDataFrame([("Cells swim",)], "title string").select(text.normalized_words(F.col("title"), large))
+    assert words.first()[0] == ["cell", "swim"]
+
+
+def test_default_words():
     assert len(set(STOP_WORDS)) == len(STOP_WORDS) < 200
     assert all(w.islower() for w in STOP_WORDS)

@@ -60,15 +60,14 @@ def brute_neighbours(docs, k):
     return best
 
 
-def test_neighbours_of_every_post(spark, docs):
+def test_neighbours_of_given_posts(spark, docs):
     df = frame(spark, docs)
-    unit = tfidf.weights(*tables(df))
     expected = brute_neighbours(docs, 5)
-    for block_posts in (8000, 3):
-        found = {}
-        for r in similarity.recommend_for_all(df, unit, block_posts=block_posts).orderBy("id", "rank").collect():
-            found.setdefault(r["id"], []).append((r["neighbour"], pytest.approx(r["sim"], abs=1e-6)))
-        assert found == expected
+    targets = df.where("id in (0, 3, 17, 60, 61)")
+    found = {}
+    for r in similarity.recommend_for(df, tfidf.weights(*tables(df)), targets).orderBy("target", "rank").collect():
+        found.setdefault(r["target"], []).append((r["id"], pytest.approx(r["sim"], abs=1e-6)))
+    assert found == {i: expected[i] for i in (0, 3, 17, 60, 61)}
     assert [j for j, _ in expected[61]][:2] == [3, 62]          # copies first, by id, never itself
 
 
@@ -85,48 +84,6 @@ def test_neighbours_of_one_post(spark, docs):
     assert attached[0]["consine_sim"] == 1.0
 
 
-@pytest.mark.parametrize("min_sim", [0.3, 0.7, 1.0])
-def test_pairs_are_whole_and_linear_in_copies(spark, docs, min_sim):
-    df = frame(spark, docs)
-    weights, _ = helpers.tfidf(docs)
-    got = {(r["id_a"], r["id_b"]): r["sim"] for r in similarity.similar_pairs(
-        df, tfidf.weights(*tables(df)), min_sim, block_posts=7).collect()}
-    bags = {}
-    for i, terms in docs.items():
-        if terms:
-            bags.setdefault(tuple(sorted(terms)), []).append(i)
-    rep = {i: ids[0] for ids in bags.values() for i in ids}
-    links = {(ids[0], i) for ids in bags.values() for i in ids[1:]}
-    assert (3, 61) in links and (3, 62) in links and (61, 62) not in got
-    for a in rep:
-        for b in rep:
-            if a < b:
-                sim = round(helpers.dot(weights[a], weights[b]), 6)
-                ra, rb = sorted((rep[a], rep[b]))
-                if (a, b) in links:
-                    assert got[a, b] == 1.0
-                elif rep[a] == a and rep[b] == b:
-                    assert ((a, b) in got) == (sim >= min_sim)
-                # any pair can be told from the posts both are linked to
-                assert (sim >= min_sim) == (ra == rb or (ra, rb) in got)
-
-
-def test_one_term_in_every_post_and_a_third_copies(spark):
-    docs = {i: ["all", f"t{i % 50}"] if i % 3 else ["all", "same"] for i in range(900)}
-    df = frame(spark, docs)
-    pairs = similarity.similar_pairs(df, tfidf.weights(*tables(df)), 0.99)
-    assert pairs.count() == 900 - 51       # one link per copy, no pair of different bags
-    found = similarity.recommend_for_all(df, tfidf.weights(*tables(df)))
-    assert found.count() == 900 * 5
-    assert found.where("id % 3 = 0 and sim = 1.0").count() == 300 * 5
-
-
-def test_bad_threshold(spark, docs):
-    df = frame(spark, docs)
-    with pytest.raises(ValueError):
-        similarity.similar_pairs(df, tfidf.weights(*tables(df)), 0.0)
-
-
 def test_vectors(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, [1.0, 1.0])],
                                     "id long, vector array<float>")
