@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +17,38 @@ from pyspark.sql import functions as F
 
 from forumlens.session import shared_dir
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+@cache
+def _shipped(application: str) -> list[str]:
+    return []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application; functions are named there, not copied."""
+    sent = _shipped(spark.sparkContext.applicationId)
+    if sent:
+        return
+    root = Path(__file__).parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    address = f"{new_folder(spark, 'package')}.zip"
+    system, path = store(address)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    write_file(address, [packed.getvalue()])
+    spark.sparkContext.addPyFile(address)
+    sent.append(address)
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
     """``mapInArrow`` whose batches are bounded in bytes, so that very long texts do not fill a worker."""
     spark = df.sparkSession
+    ship_package(spark)
     if int(spark.conf.get(_BATCH_SETTING, str(2**31 - 1)).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)

@@ -42,7 +42,7 @@ REGISTERS = BANDS * BAND_REGISTERS
 #: Similarity of 0.8 or more, as a fraction.
 LIKE, OF = 4, 5
 
-_CHUNK_BYTES = 1 << 21
+_CHUNK_BYTES = 1 << 20
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
 

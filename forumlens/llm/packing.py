@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumlens.llm.common import documents, map_batches, record_batch
+from forumlens.llm.common import documents, map_batches, record_batch, ship_package
 from forumlens.llm.tokenize import encoder
 from forumlens.session import stage
 
@@ -100,6 +100,7 @@ def pack(lengths: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) ->
         return placed.drop(columns="packing_group")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lengths.select(*kept).schema)
+    ship_package(lengths.sparkSession)
     grouped = lengths.select(*kept, group.alias("packing_group")).groupBy("packing_group")
     return grouped.applyInPandas(place, f"{schema}, sequence_id long, offset long")
 

@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 800_000
 MEMO_WORD_CHARS = 64
 
 
@@ -18,7 +18,7 @@ class WordEncoder:
     Usable with tokenizers that drop white space, so that a text's ids are those of its pieces between spaces and line
     feeds, one after the other. Where the tokenizer ignores case and cuts punctuation off, a new word is looked up
     without its capitals and without a full stop or comma at its end first. Strings of special tokens in a text are ordinary text. At most ``MEMO_WORDS`` words
-    are remembered; longer words than ``MEMO_WORD_CHARS`` never are.
+    are remembered, the older half of which goes when they are reached, but for words that were met again; longer words than ``MEMO_WORD_CHARS`` never are.
     """
 
     def __init__(self, path: str):
@@ -35,6 +35,7 @@ class WordEncoder:
             raise ValueError("this tokenizer keeps white space; texts cannot be encoded word by word")
         self._plain = self._ids(["Ab's, A. b"]) == [b"".join(self._ids(["ab's", ",", "a", ".", "b"]))]
         self._memo: dict[str, bytes] = {"": b""}
+        self._old: dict[str, bytes] = {}
         self._marks = dict(zip((".", ","), self._ids([".", ","])))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -44,33 +45,36 @@ class WordEncoder:
     def _parts(self, word: str) -> tuple[str, bytes]:
         """A word whose ids followed by the given ones are the ids of ``word``."""
         end = b""
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+        if len(word) > 1 and word[-1] in ".," and word[-2].lower().isalpha():
             word, end = word[:-1], self._marks[word[-1]]
         return (word.lower() if word.isascii() else word), end
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        if not self._plain:
-            return dict(zip(words, self._ids(words)))
-        memo = self._memo
-        parts = [self._parts(w) for w in words]
-        new = list({p for p, _ in parts if p not in memo})
-        found = dict(zip(new, self._ids(new)))
-        memo.update((w, ids) for w, ids in found.items() if len(w) <= MEMO_WORD_CHARS)
-        return {w: (found[p] if p in found else memo[p]) + end for w, (p, end) in zip(words, parts)}
+        """Ids of words that the newer half of the memo lacks."""
+        memo, old = self._memo, self._old
+        known = {w: old[w] for w in words if w in old}
+        words = [w for w in words if w not in known]
+        if self._plain:
+            parts = [self._parts(w) for w in words]
+            new = list({p for p, _ in parts if p not in memo and p not in old})
+            found = dict(zip(new, self._ids(new)))
+            for w, (p, end) in zip(words, parts):
+                ids = known[p] = found[p] if p in found else memo[p] if p in memo else old[p]
+                known[w] = ids + end
+        else:
+            known.update(zip(words, self._ids(words)))
+        memo.update((w, ids) for w, ids in known.items() if len(w) <= MEMO_WORD_CHARS)
+        return known
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned integers of ``dtype``."""
+        if len(self._memo) > MEMO_WORDS // 2:
+            self._memo, self._old = {"": b""}, self._memo
         words = (text or "").replace("\n", " ").split(" ")
-        memo = self._memo
-        ids = list(map(memo.get, words))
+        ids = list(map(self._memo.get, words))
         if None not in ids:
             return b"".join(ids)
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-            memo[""] = b""
-            ids = [b"" if w == "" else None for w in words]
         found = self._learn(list({w for w, known in zip(words, ids) if known is None}))
-        memo.update((w, known) for w, known in found.items() if len(w) <= MEMO_WORD_CHARS)
         return b"".join([found[w] if known is None else known for w, known in zip(words, ids)])
 
 
