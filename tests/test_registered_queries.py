@@ -11,7 +11,7 @@ from tests.conftest import SMALL
 
 QUERIES = entry_point.queries()
 SQL = entry_point.oracle_sql()
-TABLES = ("documents", "events", "labels", "embeddings", "conversations")
+TABLES = ("documents", "events", "labels", "embeddings", "conversations", "benchmark")
 
 
 @pytest.fixture(scope="module")
