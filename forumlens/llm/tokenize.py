@@ -10,6 +10,9 @@ import numpy as np
 
 MEMO_WORDS = 800_000
 MEMO_WORD_CHARS = 64
+#: Words encoded in one call, and what stands between them there; words that contain it are encoded alone.
+JOINED_WORDS = 512
+SEPARATOR = "|"
 
 
 class WordEncoder:
@@ -36,12 +39,32 @@ class WordEncoder:
         self._plain = self._ids(["Ab's, A. b"]) == [b"".join(self._ids(["ab's", ",", "a", ".", "b"]))]
         self._memo: dict[str, bytes] = {"": b""}
         self._old: dict[str, bytes] = {}
+        self._separator = np.frombuffer(self._ids([SEPARATOR])[0], self.dtype)[0]
         self._marks = dict(zip((".", ","), self._ids([".", ","])))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes()
                 for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _separated(self, words: list[str]) -> list[bytes]:
+        """Ids of words without the separator, many in one call: its id tells where a word ends."""
+        out = []
+        for begin in range(0, len(words), JOINED_WORDS):
+            part = words[begin:begin + JOINED_WORDS]
+            ids = np.frombuffer(self._ids([f" {SEPARATOR} ".join([*part, ""])])[0], self.dtype)
+            ends = np.flatnonzero(ids == self._separator)
+            if len(ends) != len(part):
+                raise ValueError("the separator's id is not its own")
+            data, step = ids.tobytes(), self.dtype.itemsize
+            begins = [0, *((ends[:-1] + 1) * step).tolist()]
+            out += [data[a:b] for a, b in zip(begins, (ends * step).tolist())]
+        return out
+
+    def _learnt(self, words: list[str]) -> dict[str, bytes]:
+        clear = [w for w in words if SEPARATOR not in w]
+        other = [w for w in words if SEPARATOR in w]
+        return dict(zip(clear, self._separated(clear))) | dict(zip(other, self._ids(other)))
+
     def _parts(self, word: str) -> tuple[str, bytes]:
         """A word whose ids followed by the given ones are the ids of ``word``."""
         end = b""
@@ -57,7 +80,7 @@ class WordEncoder:
         if self._plain:
             parts = [self._parts(w) for w in words]
             new = list({p for p, _ in parts if p not in memo and p not in old})
-            found = dict(zip(new, self._ids(new)))
+            found = self._learnt(new)
             for w, (p, end) in zip(words, parts):
                 ids = known[p] = found[p] if p in found else memo[p] if p in memo else old[p]
                 known[w] = ids + end
@@ -72,10 +95,12 @@ class WordEncoder:
             self._memo, self._old = {"": b""}, self._memo
         words = (text or "").replace("\n", " ").split(" ")
         ids = list(map(self._memo.get, words))
-        if None not in ids:
-            return b"".join(ids)
-        found = self._learn(list({w for w, known in zip(words, ids) if known is None}))
-        return b"".join([found[w] if known is None else known for w, known in zip(words, ids)])
+        new = [i for i, known in enumerate(ids) if known is None]
+        if new:
+            found = self._learn(list({words[i] for i in new}))
+            for i in new:
+                ids[i] = found[words[i]]
+        return b"".join(ids)
 
 
 @cache
