@@ -85,6 +85,8 @@ def test_odd_documents_keep_their_rows(spark):
     cleaned = line_dedup.remove_lines(df)
     assert cleaned.schema.names == df.schema.names and cleaned.count() == len(rows)
     assert cleaned.where("doc_id = 3").first()["text"] is None
+    left = Counter(r["doc_id"] for r in line_dedup.remove_lines(df, drop_emptied=True).collect())
+    assert left == Counter(i for i, _ in rows) - Counter([2])
     assert line_dedup.decide(df.where("false")).count() == 0 and line_dedup.remove_lines(df.where("false")).count() == 0
 
 
