@@ -101,9 +101,8 @@ def test_more_than_two_classes_and_saved_models(spark, tmp_path):
     assert all(predicted[i] == c for i, (c, _) in data.items())
 
 
-def test_too_many_classes(spark):
-    with pytest.raises(ValueError):
-        bayes.class_sizes(spark.range(1001).selectExpr("cast(id as string) label"))
+def test_classes_have_no_limit(spark):
+    assert len(bayes.class_sizes(spark.range(1001).selectExpr("cast(id as string) label"))) == 1001
 
 
 # evaluation
