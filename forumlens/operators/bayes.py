@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from forumlens.operators.tfidf import VocabularyRule, corpus_size, fit_vocabulary, term_counts, weights
 from forumlens.session import stage
 
-PROBA_DIGITS = 9
+# Digits of a score or of log-odds that count: beyond them, engines that add in another order differ.
+SCORE_DIGITS = 9
 
 
 def class_sizes(docs: DataFrame, label: str = "label") -> dict:
@@ -102,18 +103,35 @@ def _in_rows(df: DataFrame, model: NaiveBayesModel, column: str, name: str) -> D
 
 
 def predict_proba(docs: DataFrame, model: NaiveBayesModel) -> DataFrame:
-    """Probability of each class per post (id, class, proba)."""
-    scored = _class_scores(docs, model).withColumn("top", F.array_max("scores"))
-    exps = scored.select("id", F.transform("scores", lambda s: F.exp(s - F.col("top"))).alias("exps"))
-    total = F.aggregate("exps", F.lit(0.0), lambda a, e: a + e)
-    proba = exps.withColumn("total", total).select(
-        "id", F.transform("exps", lambda e: F.round(e / F.col("total"), PROBA_DIGITS)).alias("proba"))
-    return _in_rows(proba, model, "proba", "proba")
+    """Probability of each class per post and its log-odds against the others (id, class, proba, odds).
+
+    Log-odds tell posts apart whose probabilities are too close to 0 or 1 to differ; they are infinite for a single class.
+    """
+    best_first = F.sort_array("scores", asc=False)
+    others = F.slice(best_first, 2, max(len(model.classes) - 1, 1))
+    scored = _class_scores(docs, model).select("id", "scores", F.array_max("scores").alias("top"), others.alias("others"))
+    scored = scored.withColumn("rest", _log_sum(F.col("others"), F.col("others")[0])).withColumn(
+        "total", F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.exp(s - F.col("top"))))
+
+    def odds(s: Column) -> Column:
+        # the sum without the best class is taken as such, as a difference from the total would lose all digits
+        beside = F.when(s == F.col("top"), F.coalesce("rest", F.lit(-math.inf))).otherwise(
+            F.col("top") + F.log(F.col("total") - F.exp(s - F.col("top"))))
+        return s - beside
+
+    both = scored.select("id", F.transform("scores", lambda s: F.struct(
+        (F.exp(s - F.col("top")) / F.col("total")).alias("proba"), F.round(odds(s), SCORE_DIGITS).alias("odds"))).alias("both"))
+    return _in_rows(both, model, "both", "both").select("id", "class", "both.proba", "both.odds")
+
+
+def _log_sum(scores: Column, top: Column) -> Column:
+    """Log of the sum of exponentials of scores of which ``top`` is the largest."""
+    return top + F.log(F.aggregate(scores, F.lit(0.0), lambda a, s: a + F.exp(s - top)))
 
 
 def predict(docs: DataFrame, model: NaiveBayesModel) -> DataFrame:
     """The most probable class per post (id, prediction); the first in order on a tie."""
     rounded = _class_scores(docs, model).select(
-        "id", F.transform("scores", lambda s: F.round(s, PROBA_DIGITS)).alias("scores"))
+        "id", F.transform("scores", lambda s: F.round(s, SCORE_DIGITS)).alias("scores"))
     best = F.array_position("scores", F.array_max("scores")).cast("int")
     return rounded.select("id", F.element_at(F.array(*[F.lit(c) for c in model.classes]), best).alias("prediction"))

@@ -57,35 +57,35 @@ def classification_report(predicted: DataFrame, classes: list) -> DataFrame:
     return per_class.unionByName(macro).unionByName(weighted)
 
 
-def score_counts(probabilities: DataFrame, labels: DataFrame) -> DataFrame:
-    """Positives and negatives per class and distinct probability, one class against the rest."""
-    joined = probabilities.join(labels.select("id", "label"), "id")
+def score_counts(scores: DataFrame, labels: DataFrame, by: str = "proba") -> DataFrame:
+    """Positives and negatives per class and distinct score ``by``, one class against the rest."""
+    joined = scores.join(labels.select("id", "label"), "id")
     positive = F.col("label") == F.col("class")
-    return joined.groupBy("class", "proba").agg(
+    return joined.groupBy("class", by).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
 
 
-def roc_points(counts: DataFrame, group: tuple[str, ...] = ("class",)) -> DataFrame:
+def roc_points(counts: DataFrame, group: tuple[str, ...] = ("class",), by: str = "proba") -> DataFrame:
     """The curve: false and true positive rate at every distinct threshold, from (0, 0) on.
 
     The starting point has an infinite threshold. A class without positives or negatives has
     undefined (NULL) rates on that axis.
     """
-    totals = running_totals(counts, list(group), "proba", {"pos": "pos", "neg": "neg"})
+    totals = running_totals(counts, list(group), by, {"pos": "pos", "neg": "neg"})
     points = totals.select(
-        *group, F.col("proba").alias("threshold"),
+        *group, F.col(by).alias("threshold"),
         F.try_divide("cum_neg", "all_neg").alias("fpr"), F.try_divide("cum_pos", "all_pos").alias("tpr"))
     start = counts.select(*group).distinct().select(
         *group, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(start)
 
 
-def roc_auc(counts: DataFrame, group: tuple[str, ...] = ("class",)) -> DataFrame:
+def roc_auc(counts: DataFrame, group: tuple[str, ...] = ("class",), by: str = "proba") -> DataFrame:
     """Area under the curve per group: each negative counts the positives scored above it, ties half.
 
     Equals the trapezoid area over all distinct thresholds; NULL without positives or negatives.
     """
-    totals = running_totals(counts, list(group), "proba", {"pos": "pos", "neg": "neg"})
+    totals = running_totals(counts, list(group), by, {"pos": "pos", "neg": "neg"})
     area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2))
     return totals.groupBy(*group).agg(
         F.try_divide(area, F.max("all_pos").cast("double") * F.max("all_neg")).alias("auc"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from forumlens.session import stage
 
 HASH_DIGITS = 3  # 4096 buckets per group
+LEAST_BUCKETS, BUCKET_ROWS = 64, 1 << 20
 
 
 def _preceding(sizes: DataFrame, group: list[str], totals: dict[str, str]) -> DataFrame:
@@ -46,14 +47,15 @@ def hash_rank(rows: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame
 
 
 def running_totals(rows: DataFrame, group: list[str], by: str, sums: dict[str, str],
-                   buckets: int = 64) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Add ``cum_<name>`` (sum over rows with a greater or equal ``by``) and ``all_<name>``.
 
     ``rows`` must hold each (group, by) once. Bucket limits are quantiles of ``by``, so buckets
-    are even however the values cluster. The limits are one short array per group; they are
+    are even however the values cluster; their number grows with the rows. The limits are one short array per group; they are
     staged, so that the planner sees how small they are and broadcasts them.
     """
     rows = stage(rows)
+    buckets = buckets or max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS))
     fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     limits = stage(rows.groupBy(*group).agg(F.percentile_approx(by, fractions, F.lit(100 * buckets)).alias("_limits")))
     above = F.size(F.filter("_limits", lambda x: x > F.col(by)))

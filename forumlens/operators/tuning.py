@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forumlens.operators.bayes import PROBA_DIGITS, class_sizes
+from forumlens.operators.bayes import SCORE_DIGITS, class_sizes
 from forumlens.operators.ordering import running_totals
 from forumlens.operators.tfidf import VocabularyRule, smooth_idf, term_counts
 from forumlens.session import stage
@@ -26,6 +26,9 @@ MEASURES = ("accuracy", "roc_auc")
 # Sums carried side by side in one pass over the postings.
 MAX_SUMS = 48
 
+# First letters by which equally frequent terms are counted before they are ranked.
+TIE_LETTERS = 3
+
 # The parameter ranges searched.
 SWEEP_MAX_FEATURES = (50, 100, 150, 200, 250, 300)
 SWEEP_MAX_DF = (0.5, 0.7, 0.9)
@@ -89,8 +92,8 @@ def _training_terms(postings: DataFrame, n_folds: int) -> DataFrame:
 def _vocabularies(terms: DataFrame, sizes: DataFrame, rules: list[VocabularyRule]) -> DataFrame:
     """Terms of each rule in each fold (rule, fold, term, idf).
 
-    Rules that differ in size only share one ranking, and the ranking is cut inside the tasks
-    before the shuffle.
+    Rules that differ in size only share one ranking. It is cut inside the tasks before the shuffle, where Spark does
+    that for a ranking of this size, and else to the terms that can be among the first.
     """
     limits = sorted({(r.min_df, r.max_df) for r in rules}, key=str)
     tagged = [{"limits": i, "min_df": float(lo), "max_df": float(hi),
@@ -115,13 +118,38 @@ def _vocabularies(terms: DataFrame, sizes: DataFrame, rules: list[VocabularyRule
     if sized:
         order = Window.partitionBy("limits", "fold").orderBy(F.desc("cf"), "term")
         largest = max(rules[i].max_features for i in sized)
-        ranked = with_limits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= largest)
+        setting = terms.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+        leading = with_limits if largest <= int(setting) else _leading(stage(with_limits), largest)
+        ranked = leading.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= largest)
         parts.append(chosen(ranked, sized))
     if unsized:
         parts.append(chosen(with_limits, unsized))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _leading(terms: DataFrame, size: int) -> DataFrame:
+    """The terms that can be among the ``size`` most frequent of their (limits, fold), ties by term.
+
+    All terms above the frequency at which ``size`` is reached stay, and of that frequency those whose first letters come
+    early enough. Only counts of distinct frequencies and of first letters are ordered, never the vocabulary.
+    """
+    group = ["limits", "fold"]
+
+    def counted(rows: DataFrame, by: str, order: Column, *more: str) -> DataFrame:
+        running = Window.partitionBy(*group).orderBy(order)
+        return rows.groupBy(*group, by, *more).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(running))
+
+    cut = counted(terms, "cf", F.desc("cf")).where(F.col("upto") >= size).groupBy(*group).agg(
+        F.max("cf").alias("cut"), F.max_by(F.col("upto") - F.col("n"), "cf").alias("before"))
+    placed = terms.join(F.broadcast(cut), group, "left")  # a row per choice of limits and fold
+    ties = placed.where(F.col("cf") == F.col("cut")).withColumn("letters", F.substring("term", 1, TIE_LETTERS))
+    last = counted(ties, "letters", F.col("letters"), "before").where(F.col("upto") + F.col("before") >= size).groupBy(
+        *group).agg(F.min("letters").alias("last"))
+    early = ties.join(F.broadcast(last), group).where(F.col("letters") <= F.col("last"))
+    above = placed.where(F.col("cut").isNull() | (F.col("cf") > F.col("cut")))
+    return above.select(*terms.columns).unionByName(early.select(*terms.columns))
+
+
 def _distinct_vocabularies(vocabularies: DataFrame) -> DataFrame:
     """(rule, fold, model): the first rule with the same terms in the fold stands for all of them.
 
@@ -135,16 +163,16 @@ def _distinct_vocabularies(vocabularies: DataFrame) -> DataFrame:
 
 
 def _scored_counts(docs: DataFrame, postings: DataFrame, models: DataFrame, fitted: list[tuple[int, int]],
-                   classes: list, alphas: list[float], n_folds: int) -> DataFrame:
-    """Posts per (model, fold, part, alpha, label, prediction, proba); proba is of the last class."""
+                   classes: list, alphas: list[float], n_folds: int, by_odds: bool) -> DataFrame:
+    """Posts per (model, fold, part, alpha, label, prediction), and per log-odds of the last class if these are wanted."""
     per_pass = max(1, MAX_SUMS // (len(classes) * len(alphas)))
     passes = [fitted[i:i + per_pass] for i in range(0, len(fitted), per_pass)]
-    counted = [_one_pass(docs, postings, models, p, classes, alphas, n_folds) for p in passes]
+    counted = [_one_pass(docs, postings, models, p, classes, alphas, n_folds, by_odds) for p in passes]
     return reduce(DataFrame.unionByName, counted)
 
 
 def _one_pass(docs: DataFrame, postings: DataFrame, models: DataFrame, slots: list[tuple[int, int]],
-              classes: list, alphas: list[float], n_folds: int) -> DataFrame:
+              classes: list, alphas: list[float], n_folds: int, by_odds: bool) -> DataFrame:
     """Fit and score some (model, fold) pairs side by side: each has its own columns, so the
     postings are not multiplied by the number of models. A class is named by its position."""
     slot, cls = range(len(slots)), range(len(classes))
@@ -185,7 +213,8 @@ def _one_pass(docs: DataFrame, postings: DataFrame, models: DataFrame, slots: li
         "own", "label", f"inline(array({rows}))")
     part = F.when(F.col("own") == F.col("fold"), "valid").otherwise("train")
     return _predictions(scored.withColumn("part", part), classes).groupBy(
-        "model", "fold", "part", "alpha", "label", "prediction", "proba").agg(F.count(F.lit(1)).alias("n"))
+        "model", "fold", "part", "alpha", "label", "prediction", *(["odds"] if by_odds else [])).agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 def _fold_priors(docs: DataFrame, classes: list, n_folds: int) -> list[list[float]]:
@@ -200,16 +229,14 @@ def _fold_priors(docs: DataFrame, classes: list, n_folds: int) -> list[list[floa
 
 
 def _predictions(scored: DataFrame, classes: list) -> DataFrame:
-    """Best class, the first on a tie, and probability of the last class from the scores."""
+    """Best class, the first on a tie, and, of two classes, log-odds of the last from the scores."""
     scores = F.col("scores")
-    rounded = F.transform(scores, lambda s: F.round(s, PROBA_DIGITS))
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + F.exp(s - top))
-    proba = F.round(F.exp(scores[len(classes) - 1] - top) / total, PROBA_DIGITS)
+    rounded = F.transform(scores, lambda s: F.round(s, SCORE_DIGITS))
+    odds = F.round(scores[1] - scores[0], SCORE_DIGITS) if len(classes) == 2 else F.lit(None).cast("double")
     best = F.array_position(rounded, F.array_max(rounded)).cast("int")
     return scored.select(
         "model", "fold", "part", "alpha", "label",
-        F.element_at(F.array(*[F.lit(c) for c in classes]), best).alias("prediction"), proba.alias("proba"))
+        F.element_at(F.array(*[F.lit(c) for c in classes]), best).alias("prediction"), odds.alias("odds"))
 
 
 def fold_measures(docs: DataFrame, choices: list[Choice], measures: tuple[str, ...] = MEASURES) -> DataFrame:
@@ -233,7 +260,8 @@ def fold_measures(docs: DataFrame, choices: list[Choice], measures: tuple[str, .
     assigned = stage(_distinct_vocabularies(vocabularies))
     fitted = sorted((r["model"], r["fold"]) for r in assigned.select("model", "fold").distinct().collect())
     models = vocabularies.withColumnRenamed("rule", "model")
-    counts = stage(_scored_counts(docs, postings, models, fitted, classes, alphas, n_folds))
+    counts = stage(_scored_counts(docs, postings, models, fitted, classes, alphas, n_folds,
+                                  by_odds="roc_auc" in measures))
     group = ["model", "fold", "part", "alpha"]
     results = []
     if "accuracy" in measures:
@@ -242,10 +270,10 @@ def fold_measures(docs: DataFrame, choices: list[Choice], measures: tuple[str, .
                        .withColumn("metric", F.lit("accuracy")))
     if "roc_auc" in measures:
         positive = F.col("label") == F.lit(classes[-1])
-        split = counts.groupBy(*group, "proba").agg(
+        split = counts.groupBy(*group, "odds").agg(
             F.sum(F.when(positive, F.col("n")).otherwise(0)).alias("pos"),
             F.sum(F.when(positive, 0).otherwise(F.col("n"))).alias("neg"))
-        totals = running_totals(split, group, "proba", {"pos": "pos", "neg": "neg"})
+        totals = running_totals(split, group, "odds", {"pos": "pos", "neg": "neg"})
         area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2))
         results.append(totals.groupBy(*group).agg(
             F.try_divide(area, F.max("all_pos").cast("double") * F.max("all_neg")).alias("value"))
@@ -310,5 +338,5 @@ def grid_search(docs: DataFrame, choices: list[Choice]) -> DataFrame:
 
 def best_choice(searched: DataFrame, choices: list[Choice]) -> Choice:
     """The choice with the highest mean validation accuracy; the earlier one on a tie. Choices without one come last."""
-    best = searched.orderBy(F.desc_nulls_last(F.round("valid_avg", PROBA_DIGITS)), "choice").first()
+    best = searched.orderBy(F.desc_nulls_last(F.round("valid_avg", SCORE_DIGITS)), "choice").first()
     return choices[best["choice"]]

@@ -106,16 +106,18 @@ _FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT id, actual AS label, class AS prediction FROM scores
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, class) = 1"""),
     "probabilities": (("scores",), """
-        SELECT id, actual, class, round(exp(score - max(score) OVER p) / sum(exp(score)) OVER p
-                                        * exp(max(score) OVER p), 9) AS proba
-        FROM scores WINDOW p AS (PARTITION BY id)"""),
+        SELECT id, actual, class, round(o, 9) AS odds, 1 / (1 + exp(-o)) AS proba FROM (
+            SELECT id, actual, class, score - top - ln(sum(exp(other - top))) AS o FROM (
+                SELECT a.*, b.score AS other, max(b.score) OVER (PARTITION BY a.id, a.class) AS top
+                FROM scores a JOIN scores b ON b.id = a.id AND b.class <> a.class)
+            GROUP BY id, actual, class, score, top)"""),
     "ranked": (("probabilities",), """
-        SELECT class, proba, count(*) FILTER (actual = class) AS pos, count(*) FILTER (actual <> class) AS neg
+        SELECT class, odds, count(*) FILTER (actual = class) AS pos, count(*) FILTER (actual <> class) AS neg
         FROM probabilities GROUP BY ALL"""),
     "curve": (("ranked",), """
-        SELECT class, proba, pos, neg, sum(pos) OVER u AS cum_pos, sum(neg) OVER u AS cum_neg,
+        SELECT class, odds, pos, neg, sum(pos) OVER u AS cum_pos, sum(neg) OVER u AS cum_neg,
                sum(pos) OVER a AS all_pos, sum(neg) OVER a AS all_neg FROM ranked
-        WINDOW u AS (PARTITION BY class ORDER BY proba DESC), a AS (PARTITION BY class)"""),
+        WINDOW u AS (PARTITION BY class ORDER BY odds DESC), a AS (PARTITION BY class)"""),
     "cells": (("predicted",), f"""
         SELECT a.c AS label, b.c AS prediction, count(p.id) AS n
         FROM (SELECT unnest([{_CLASSES}]) AS c) a CROSS JOIN (SELECT unnest([{_CLASSES}]) AS c) b
@@ -185,16 +187,16 @@ def _cross_validation(choices: list[tuning.Choice], columns: str, keep: str, met
             FROM choices CROSS JOIN prior CROSS JOIN folds LEFT JOIN ll USING (choice, f, id, class)"""),
         ("pr", """SELECT choice, f, id, any_value(label) AS label, training,
                    arg_min(class, {'s': -round(score, 9), 'c': class}) AS prediction,
-                   round(1 / sum(exp(score - last)), 9) AS proba
-            FROM (SELECT *, max(score) FILTER (class = """ + _LAST + """) OVER (PARTITION BY choice, f, id) AS last FROM sc)
-            GROUP BY choice, f, id, training"""),
+                   round(max(score) FILTER (class = """ + _LAST + """) - max(score) FILTER (class <> """ + _LAST + """), 9)
+                   AS odds
+            FROM sc GROUP BY choice, f, id, training"""),
         ("acc", """SELECT choice, f, training, 'accuracy' AS metric, avg(CAST(label = prediction AS DOUBLE)) AS value
             FROM pr GROUP BY ALL"""),
-        ("pn", f"""SELECT choice, f, training, proba, count(*) FILTER (label = {_LAST}) AS pos,
+        ("pn", f"""SELECT choice, f, training, odds, count(*) FILTER (label = {_LAST}) AS pos,
                    count(*) FILTER (label <> {_LAST}) AS neg FROM pr GROUP BY ALL"""),
         ("auc", """SELECT choice, f, training, 'roc_auc' AS metric,
                    sum(neg * (cum - pos / 2)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS value
-            FROM (SELECT *, sum(pos) OVER (PARTITION BY choice, f, training ORDER BY proba DESC) AS cum FROM pn)
+            FROM (SELECT *, sum(pos) OVER (PARTITION BY choice, f, training ORDER BY odds DESC) AS cum FROM pn)
             GROUP BY choice, f, training"""),
         ("measured", f"""SELECT m.choice, m.f, training, metric, CASE WHEN e.choice IS NOT NULL THEN value END AS value
             FROM ({" UNION ALL ".join(f"SELECT * FROM {m}" for m in metrics)}) m
@@ -432,7 +434,7 @@ def _statements() -> dict[str, str]:
                           "SELECT round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy FROM predicted"),
         "confusion_matrix": _from("cells", "SELECT label, prediction, n FROM cells"),
         "classification_report": _from("per_class", report),
-        "roc_points": _from("curve", """SELECT class, round(proba, 6) AS threshold, round(cum_neg / all_neg, 6) AS fpr,
+        "roc_points": _from("curve", """SELECT class, round(1 / (1 + exp(-odds)), 6) AS threshold, round(cum_neg / all_neg, 6) AS fpr,
                 round(cum_pos / all_pos, 6) AS tpr FROM curve
             UNION ALL SELECT DISTINCT class, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM curve"""),
         "roc_auc": _from("curve", auc),

@@ -298,7 +298,7 @@ def _probabilities(spark, sf):
 
 def nb_predict_proba(spark, sf):
     probabilities, _ = _probabilities(spark, sf)
-    return _rounded(probabilities, "proba")
+    return _rounded(probabilities.drop("odds"), "proba")
 
 
 def accuracy(spark, sf):
@@ -317,13 +317,14 @@ def classification_report(spark, sf):
 
 def roc_points(spark, sf):
     probabilities, test = _probabilities(spark, sf)
-    points = evaluate.roc_points(stage(evaluate.score_counts(probabilities, test)))
-    return _rounded(points, "threshold", "fpr", "tpr")
+    points = evaluate.roc_points(stage(evaluate.score_counts(probabilities, test, by="odds")), by="odds")
+    proba = F.when(F.col("threshold") == F.lit(float("inf")), F.col("threshold")).otherwise(1 / (1 + F.exp(-F.col("threshold"))))
+    return _rounded(points.withColumn("threshold", proba), "threshold", "fpr", "tpr")
 
 
 def roc_auc(spark, sf):
     probabilities, test = _probabilities(spark, sf)
-    return _rounded(evaluate.roc_auc(evaluate.score_counts(probabilities, test)), "auc")
+    return _rounded(evaluate.roc_auc(evaluate.score_counts(probabilities, test, by="odds"), by="odds"), "auc")
 
 
 SUMMARY = ("valid_avg", "train_avg", "valid_sd", "train_sd")
@@ -396,7 +397,7 @@ def final_report(spark, sf):
 def final_roc_auc(spark, sf):
     train, test, best = _tuned(spark, sf)
     probabilities = bayes.predict_proba(test, bayes.fit(train, best.rule, best.alpha))
-    return _rounded(evaluate.roc_auc(evaluate.score_counts(probabilities, test)), "auc")
+    return _rounded(evaluate.roc_auc(evaluate.score_counts(probabilities, test, by="odds"), by="odds"), "auc")
 
 
 # projections and topics

@@ -23,7 +23,6 @@ STORED_POST = T.StructType(SEARCH_RESULT.fields + [T.StructField("updated_time",
 
 # The narrower projections shown to a reader or taken from the live feed.
 SEARCH_DISPLAY = ("author", "id", "title", "url", "subreddit", "link_flair_text", "created_time")
-RECOMMEND_DISPLAY = ("id", "author", "title", "subreddit", "link_flair_text")
 LIVE_COLUMNS = ("title", "score", "id", "subreddit", "url", "num_comments", "body", "created_time")
 
 # A post with its comments nested, as one thread arrives from the feed.

@@ -101,6 +101,23 @@ def test_more_than_two_classes_and_saved_models(spark, tmp_path):
     assert all(predicted[i] == c for i, (c, _) in data.items())
 
 
+@pytest.mark.parametrize("classes", ["ab", "abc"])
+def test_log_odds_tell_saturated_posts_apart(spark, classes):
+    words = {"x": [-1.0, -60.0, -61.0], "y": [-1.0, -80.0, -80.5], "z": [-2.0, -2.0, -3.0]}
+    terms = spark.createDataFrame([(t, 1.0, p[:len(classes)]) for t, p in words.items()],
+                                  "term string, idf double, logp array<double>")
+    model = bayes.NaiveBayesModel(terms, list(classes), [0.0] * len(classes))
+    docs = spark.createDataFrame([(i, [t]) for i, t in enumerate(words)], "id long, terms array<string>")
+    got = {(r["id"], r["class"]): r for r in bayes.predict_proba(docs, model).collect()}
+    for i, p in enumerate(words.values()):
+        for k, c in enumerate(classes):
+            others = [s for j, s in enumerate(p[:len(classes)]) if j != k]
+            expected = p[k] - max(others) - math.log(sum(math.exp(s - max(others)) for s in others))
+            assert got[i, c]["odds"] == pytest.approx(expected, abs=1e-8)
+            assert got[i, c]["proba"] == pytest.approx(1 / (1 + math.exp(-expected)))
+    assert got[0, "a"]["proba"] == got[1, "a"]["proba"] == 1.0 and got[0, "a"]["odds"] < got[1, "a"]["odds"]
+
+
 def test_classes_have_no_limit(spark):
     assert len(bayes.class_sizes(spark.range(1001).selectExpr("cast(id as string) label"))) == 1001
 
@@ -190,6 +207,22 @@ def test_cross_validation_matches_separate_fits(spark, monkeypatch):
             assert r[f"{part}_sd"] == pytest.approx(np.std(values), abs=1e-9)
 
 
+@pytest.mark.parametrize("size", [1, 4, 30, 77, 150, 500])
+def test_long_rankings_do_not_sort_the_vocabulary(spark, size):
+    rng = np.random.default_rng(2)
+    rows_ = [(f, t, int(rng.integers(1, 4)), int(rng.integers(1, 4))) for f in range(2)
+             for t in sorted({"".join(rng.choice(list("abcé"), 5)) for _ in range(200)})]
+    terms = spark.createDataFrame([(f, t, df, df + extra) for f, t, df, extra in rows_], "fold int, term string, df long, cf long")
+    sizes = spark.createDataFrame([(0, 100), (1, 100)], "fold int, n_train long")
+    rules = [VocabularyRule(max_features=size), VocabularyRule(min_df=2, max_features=size)]
+    found = tuning._vocabularies(terms, sizes, rules)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "0")
+    try:
+        assert sorted(rows(tuning._vocabularies(terms, sizes, rules))) == sorted(rows(found))
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
 def test_sweep_and_grid(spark):
     data = labelled()
     df = frame(spark, data, fold={i: k % 3 for k, i in enumerate(data)})
