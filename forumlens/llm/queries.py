@@ -28,7 +28,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = line_dedup.decide(table(spark, sf_dir, "documents"))
+    decided = line_dedup.decide(table(spark, sf_dir, "documents"), max_edits=None)
     return decided.select("doc_id", "n_lines", "n_links", F.size("removed").cast("bigint").alias("n_removed"),
                           F.array_join(F.transform("removed", lambda k: k.cast("string")), ",").alias("removed"))
 

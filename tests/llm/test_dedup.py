@@ -75,6 +75,35 @@ def test_lines_against_all_pairs(spark):
     assert all(r["n_chars"] == len(r["text"]) and r["tie"] == "tie" for r in cleaned)
 
 
+def test_edits_grow_with_the_length(spark):
+    rng = random.Random(7)
+    lines = []
+    for n, edits in ((40, (2, 3)), (96, (3, 6, 7)), (200, (3, 11, 12, 13)), (650, (9, 40, 41)), (1200, (50, 75, 76))):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(n - 1)) + "."
+        lines.append(base)
+        for k in edits:  # dealt evenly, so that what is unchanged is as short as it can be
+            chars = list(base)
+            for at in range(k):
+                chars[(2 * at + 1) * n // (2 * k)] = "X"
+            lines.append("".join(chars))
+    rows = [(i, line) for i, line in enumerate(lines)]
+    links = Counter()
+    for a in lines:
+        for b in lines:
+            if a < b and 0 < line_dedup._columns(a, b) <= min(len(a), len(b)) // 16:
+                links.update((a, b))
+    got = {r["doc_id"]: (r["n_links"], len(r["removed"])) for r in line_dedup.decide(frame(spark, rows), max_edits=None).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {i: links[line] for i, line in rows}
+    assert sum(links.values()) >= 2 * 10 and sum(gone for _, gone in got.values()) >= 10  # ten of them lie within the rate of their first line
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abé中", max_size=40), st.text("abé中", max_size=40))
+def test_whole_columns(a, b):
+    short, long = sorted((a, b), key=len)
+    assert line_dedup._columns(short, long) == distance(a, b)
+
+
 def test_odd_documents_keep_their_rows(spark):
     rows = odd_rows()
     df = frame(spark, rows)
