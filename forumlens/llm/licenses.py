@@ -5,6 +5,12 @@ pairs of neighbouring words, counted as often as they occur, are compared with e
 2 min(a, b) / (a + b), so only units whose size lies within [t / (2 - t), (2 - t) / t] of a template's can reach the
 threshold t; units out of bounds of all templates, or without any of the words that a match needs (``cues``), are dropped
 before the comparison, and a text without such a word is done at once.
+
+A notice may also lie inside other text: wrapped over lines, of several sentences, or in the middle of one. So passages of the
+whole text's words, whatever their line feeds, are compared too: for each template all passages within its size bounds that begin and end
+with one of its pairs (cutting other pairs off an end only raises the coefficient), where enough of its pairs stand
+close together. Of passages of a template that overlap the best counts, of different templates the one with most common
+pairs. A passage that lies in a unit that was found, or holds one that was found for the same template, is no new finding.
 All work stays in the row: no shuffle, no Python.
 
 Null and empty texts and units of fewer than two words match nothing; rows are scanned one by one, repeated ones each. Among
@@ -13,6 +19,7 @@ templates with an equal coefficient the first by name wins.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 from operator import or_
@@ -120,8 +127,58 @@ def units(text: Column) -> Column:
     return F.array_distinct(normalised(F.concat(sentences, squeezed, whole)))
 
 
+def _apart(found: Column) -> Column:
+    """Passages in their order, without those that overlap an earlier one."""
+    def overlaps(x: Column, y: Column) -> Column:
+        return (x["first"] <= y["last"]) & (y["first"] <= x["last"])
+
+    return F.aggregate(found, F.slice(found, 1, 0), lambda kept, x: F.when(
+        F.exists(kept, lambda y: overlaps(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+
+
+def _passages(words: Column, bags: dict[str, list[str]], threshold: float) -> Column:
+    """Array of (minus_common, minus, name, first, last) of passages of a text's words; first and last number its pairs."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    plain = {name: sorted({p.rpartition(" ")[0] for p in bag}) for name, bag in bags.items()}
+    every = sorted({p for pairs in plain.values() for p in pairs})
+
+    def of_template(name: str, marked: Column) -> Column:
+        n = len(bags[name])
+        least, most = math.ceil(n * low - 1e-9), math.floor(n * high + 1e-9)
+        enough = max(1, math.ceil(threshold * (least + n) / 2 - 1e-9))
+
+        def from_start(near: Column) -> Column:
+            """The best passage that begins with the first of these pairs."""
+            def scored(numbered: Column) -> Column:
+                def score(x: Column, k: Column) -> Column:
+                    common = F.size(F.filter(F.slice(numbered, F.lit(1), k + 1), lambda y: y.isin(bags[name])))
+                    size = x["at"] - near[0]["at"] + 1
+                    return F.struct((F.lit(-2.0) * common / (size + F.lit(n))).alias("minus"), (-common).alias("minus_common"),
+                                    near[0]["at"].alias("first"), x["at"].alias("last"))
+
+                return F.filter(F.transform(near, score), lambda x: (x["minus"] <= F.lit(-threshold))
+                                & (x["last"] - x["first"] + 1 >= F.lit(least)))
+
+            return F.array_min(_let(_numbered(F.transform(near, lambda x: x["pair"])), scored))
+
+        def search(own: Column) -> Column:
+            starts = F.filter(F.transform(own, lambda x, k: F.struct(x["at"].alias("at"), k.alias("k"))), lambda x:
+                              F.get(own, x["k"] + F.lit(enough - 1))["at"] - x["at"] < F.lit(most))
+            best = F.transform(starts, lambda s: _let(F.filter(
+                F.slice(own, s["k"] + 1, F.lit(most)), lambda x: x["at"] - s["at"] < F.lit(most)), from_start))
+            return F.transform(_let(F.array_sort(F.filter(best, lambda x: x.isNotNull())), _apart), lambda x: F.struct(
+                x["minus_common"], x["minus"], F.lit(name).alias("name"), x["first"], x["last"]))
+
+        return _let(F.filter(marked, lambda x: x["pair"].isin(plain[name])), search)
+
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.struct(
+        i.alias("at"), F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1)).alias("pair")))
+    return _let(F.filter(pairs, lambda x: x["pair"].isin(every)), lambda marked: _let(
+        F.array_sort(F.concat(*(of_template(name, marked) for name in bags if bags[name]))), _apart))
+
+
 def findings(text: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """Array of (dice, name, unit) of the units that reach the threshold, with each unit's best template."""
+    """Array of (dice, name, unit) of the units and passages that reach the threshold, with the best template of each."""
     bags = {name: bigrams(wording) for name, wording in sorted(templates.items())}
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     needed = cues(templates, threshold)
@@ -155,7 +212,22 @@ def findings(text: Column, templates: dict[str, str] = TEMPLATES, threshold: flo
     named = F.transform(found, lambda x: F.struct((-x["of"]["minus"]).alias("dice"), x["of"]["name"].alias("name"),
                                                   x["unit"].alias("unit")))
     nothing = F.array().cast("array<struct<dice:double,name:string,unit:string>>")
-    return F.when(has_cue(F.lower(F.coalesce(text, F.lit("")))), named).otherwise(nothing)
+
+    def with_passages(known: Column, words: Column) -> Column:
+        texts = F.transform(_passages(words, bags, threshold), lambda x: F.struct(
+            (-x["minus"]).alias("dice"), x["name"].alias("name"),
+            F.array_join(F.slice(words, x["first"] + 1, x["last"] - x["first"] + 2), " ").alias("unit")))
+
+        def holds(long: Column, short: Column) -> Column:
+            return F.contains(F.concat(F.lit(" "), long, F.lit(" ")), F.concat(F.lit(" "), short, F.lit(" ")))
+
+        new = F.filter(texts, lambda x: ~F.exists(known, lambda u: holds(u["unit"], x["unit"])
+                                                  | ((u["name"] == x["name"]) & holds(x["unit"], u["unit"]))))
+        return F.array_distinct(F.concat(known, new))
+
+    whole = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    every = _let(named, lambda known: _let(F.split(whole, " "), lambda words: with_passages(known, words)))
+    return F.when(has_cue(F.lower(F.coalesce(text, F.lit("")))), every).otherwise(nothing)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD,

@@ -1,4 +1,5 @@
 import re
+import textwrap
 from collections import Counter
 
 from forumlens.llm import licenses, rules
@@ -89,6 +90,23 @@ def test_licences(spark):
     assert licenses.scan(frame(spark, rows).where("false")).count() == 0
 
 
+def test_notices_inside_other_text(spark):
+    long = [n for n, w in licenses.TEMPLATES.items() if len(w) > 140]
+    wrapped = {n: prose(30) + "\n" + textwrap.fill(licenses.TEMPLATES[n], 72) + "\n" + prose(30, 300) for n in long}
+    inside = {n: prose(30) + ", " + licenses.TEMPLATES[n] + " " + prose(30, 300) for n in licenses.TEMPLATES}
+    rows = [("w", n, t) for n, t in wrapped.items()] + [("i", n, t) for n, t in inside.items()]
+    rows += [("c", "mit-permission", wrapped["mit-permission"].replace("free of charge", "at no cost")),
+             ("s", "mit-line", "This project is released under the MIT License, like the other ones that we have made so far."),
+             ("2", "apache-2.0-notice,mit-permission", wrapped["apache-2.0-notice"] + "\n" + wrapped["mit-permission"]),
+             ("n", "", prose(40) + " the software is provided under a license of the public, subject to conditions " + prose(9))]
+    got = {r["doc_id"]: r["findings"] for r in licenses.scan(frame(spark, list(enumerate(t for *_, t in rows)))).collect()}
+    for i, (kind, names, _) in enumerate(rows):
+        found = {f["name"] for f in got[i]} - ({"apache-2.0-line"} if "apache" in names else set())  # a line of the notice may be a unit
+        assert found == set(names.split(",")) - {""} or names == "apache-2.0-line" and not found, (kind, names, got[i])
+        assert kind in "cn" or max(f["dice"] for f in got[i]) == 1.0
+    assert licenses.scan(frame(spark, [(1, "license"), (2, "License\n\n")])).where("size(findings) > 0").count() == 0
+
+
 def test_every_match_has_a_cue():
     words = licenses.cues(licenses.TEMPLATES, licenses.THRESHOLD)
     for wording in licenses.TEMPLATES.values():
