@@ -153,6 +153,44 @@ def test_rewritten_history_is_detected(spark):
     assert got[1]["rewritten"] and got[1]["mask"] == [] and not got[2]["rewritten"]
 
 
+def test_blocks_know_the_conversation(spark):
+    n = 2 * chat.BLOCK_TURNS + 5
+    far = chat.BLOCK_TURNS + 9
+
+    def strict(turns):
+        """Reads the system turn, and wants users and assistants by turns."""
+        assert turns[0][0] == "system" and all(role == ("user", "assistant")[k % 2] for k, (role, _) in enumerate(turns[1:]))
+        return "".join(f"[{turns[0][1]}|{role}]{text}" for role, text in turns)
+
+    def forgetful(turns):
+        """Drops one turn's text when the next one comes."""
+        return "".join(f"[{role}]{'' if text == 'forget' and k < len(turns) - 1 else text}" for k, (role, text) in enumerate(turns))
+
+    def numbered(turns):
+        return "".join(f"[{k} {role}]{text}" for k, (role, text) in enumerate(turns))
+
+    def late(turns):
+        """Drops the first turn when the conversation is long."""
+        return "".join(f"[{role}]{text}" for role, text in turns[len(turns) > chat.BLOCK_TURNS + 20:])
+
+    rows = [(1, 0, "system", "S")] + [(1, k, ("assistant", "user")[k % 2], f"t{k}") for k in range(1, n)]
+    rows += [(2, k, ("user", "assistant")[k % 2], "forget" if k == far else f"t{k}") for k in range(n)]
+    rows += [(None, k, ("user", "assistant")[k % 2], "forget" if k == far else f"t{k}") for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = [(role, text) for c, _, role, text in rows if c == 1]
+
+    def formatted(template, part="conv_id = 1", **more):
+        return chat.format_conversations(df.where(part), template, **more).orderBy("conv_id", "block").collect()
+
+    blocks = formatted(strict)
+    assert "".join(r["text"] for r in blocks) == strict(turns) and not any(r["rewritten"] for r in blocks)
+    assert sum(len(r["mask"]) for r in blocks) == sum(role == "assistant" for role, _ in turns)
+    found = formatted(forgetful, "true")
+    assert len(found) == 9 and all(r["rewritten"] == (r["conv_id"] != 1) == (r["mask"] == []) for r in found)
+    assert "".join(r["text"] for r in formatted(numbered, context_turns=None)) == numbered(turns)
+    assert all(r["rewritten"] and r["mask"] == [] for r in formatted(late, context_turns=None))
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = table(spark, SMALL.replace("0.001", "0.01"), "documents"), table(spark, SMALL.replace("0.001", "0.01"), "labels")
     model = classifier.fit(docs, labels)
