@@ -61,10 +61,10 @@ MORE = (
     Rule("key_block", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", cues=("private key",)),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", cues=("eyj",)),
     Rule("host_token", r"gh[pousr]_[A-Za-z0-9]{36,}", cues=("gh",)),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@", cues=("://",)),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]+@", cues=("://",)),
 )
 RULES = (*BASE, *MORE)
-RULE_VERSION = "rules-1"
+RULE_VERSION = "rules-3"
 
 
 def blob_of(text: Column) -> Column:

@@ -38,6 +38,13 @@ def test_base_rules_and_paths(spark):
     assert [s["kind"] for r in got if r["doc_id"] == 44 for s in r["spans"]] == ["key_block"]
 
 
+def test_long_logins_in_addresses(spark):
+    token = "github_" + "pat_" + "A1" * 41
+    rows = [(1, f"git clone https://me:{token}@host.example/x"), (2, f"ftp://{'u' * 500}:{'p' * 5000}@h"), (3, "http://host:80/a@b " + "://" * 5000)]
+    got = {r["doc_id"]: [(s["kind"], s["first"], s["end"]) for s in r["spans"]] for r in secret_scan.scan(frame(spark, rows)).collect()}
+    assert len(token) == 93 and got == {1: [("url_login", 10, 10 + 12 + 93)], 2: [("url_login", 0, 6 + 500 + 1 + 5000 + 1)], 3: []}
+
+
 def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     rows = odd_rows() + SECRETS
