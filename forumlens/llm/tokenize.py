@@ -20,7 +20,8 @@ class WordEncoder:
 
     Usable with tokenizers that drop white space, so that a text's ids are those of its pieces between spaces and line
     feeds, one after the other. Where the tokenizer ignores case and cuts punctuation off, a new word is looked up
-    without its capitals and without a full stop or comma at its end first. Strings of special tokens in a text are ordinary text. At most ``MEMO_WORDS`` words
+    without its capitals and without a full stop or comma at its end first. Strings of special tokens in a text are these tokens, as the
+    library has it by default; words that hold one are encoded alone and as they are. At most ``MEMO_WORDS`` words
     are remembered, the older half of which goes when they are reached, but for words that were met again; longer words than ``MEMO_WORD_CHARS`` never are.
     """
 
@@ -29,9 +30,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        self._special = [t.content.lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
+        if any(not s or " " in s or "\n" in s for s in self._special):
+            raise ValueError("added tokens with white space; texts cannot be encoded word by word")
         self.code = "H" if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         if self._ids(["a b\nc"]) != [b"".join(self._ids(["a", "b", "c"]))]:
@@ -65,6 +68,10 @@ class WordEncoder:
         other = [w for w in words if SEPARATOR in w]
         return dict(zip(clear, self._separated(clear))) | dict(zip(other, self._ids(other)))
 
+    def _holds_special(self, word: str) -> bool:
+        lower = word.lower()
+        return any(s in lower for s in self._special)
+
     def _parts(self, word: str) -> tuple[str, bytes]:
         """A word whose ids followed by the given ones are the ids of ``word``."""
         end = b""
@@ -77,6 +84,10 @@ class WordEncoder:
         memo, old = self._memo, self._old
         known = {w: old[w] for w in words if w in old}
         words = [w for w in words if w not in known]
+        special = [w for w in words if self._holds_special(w)]
+        if special:
+            known.update(zip(special, self._ids(special)))
+            words = [w for w in words if w not in known]
         if self._plain:
             parts = [self._parts(w) for w in words]
             new = list({p for p, _ in parts if p not in memo and p not in old})

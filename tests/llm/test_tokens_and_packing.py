@@ -34,6 +34,15 @@ def test_words_encode_like_texts(text):
     assert list(np.frombuffer(tokenize.encoder(PATH).encode(text), "<u2")) == PLAIN(text)
 
 
+def test_special_tokens_are_encoded_like_the_library_does():
+    whole = Tokenizer.from_file(PATH)
+    for text in ("a <|endoftext|> b", "x<|endoftext|>y, <|ENDOFTEXT|> <|endoftext|>. | <|startoftext|>\n<|endoftext|><|endoftext|>",
+                 "<|ENDOFTEXT|>. <|endoftext|> <| endoftext |> <|endoftext", "<|endoftext|>", "  a  <|endoftext|>  \n b"):
+        for _ in range(2):  # new words, then remembered ones
+            assert list(np.frombuffer(tokenize.encoder(PATH).encode(text), "<u2")) == whole.encode(text, add_special_tokens=False).ids
+    assert list(np.frombuffer(tokenize.encoder(PATH).encode("a <|endoftext|> b"), "<u2")) == [320, 49407, 321]
+
+
 def test_a_full_memo_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokenize, "MEMO_WORDS", 6)
     small = tokenize.WordEncoder(PATH)
