@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.llm import (chat, classifier, decontaminate, licenses, line_dedup, minhash, packing, rules, secret_scan,
-                           token_files)
+from forumlens.llm import (chat, classifier, decontaminate, fingerprints, hard_negatives, licenses, line_dedup, minhash,
+                           packing, periodic_runs, rules, secret_scan, token_files)
 from forumlens.session import stage
 from forumlens.sources.fixtures import table
 
@@ -84,8 +84,53 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by a hash of its id, ends in words that repeat with one period."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+    rows = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.size("words").cast("bigint")
+    rows = rows.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.greatest(F.col("n"), F.lit(1))))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    start, left = F.col("a").cast("int"), (F.col("n") - F.col("a")).cast("int")
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    cycle = F.slice("words", start + 1, F.col("p").cast("int"))
+    repeated = F.concat(F.slice("words", F.lit(1), start), F.slice(F.flatten(F.array_repeat(cycle, times)), F.lit(1), left))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(_with_repeats(table(spark, sf_dir, "documents")))
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(
+        ",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"),
+                         F.when(F.size("runs") > 0, longest).alias("longest"),
+                         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = -F.col("longest.less"), F.col("longest.period")
+    return found.select("doc_id", "n_runs", F.col("longest.start").alias("start"), length.alias("length"), period.alias("period"),
+                        F.floor(1000 * length / period).cast("bigint").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = rows.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)))
+    vectors = rows.select("vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+                          F.transform("embedding", lambda x: F.floor(256 * x)).alias("vector"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (op1_token_files, op2_quality_rules, op3_line_dedup, op4_quality_classifier, op5_chat_formatting, op6_secret_scans,
-           op7_best_fit_packing, op8_decontamination, op9_license_scans, op10_minhash_near_dedup)
+           op7_best_fit_packing, op8_decontamination, op9_license_scans, op10_minhash_near_dedup,
+           op11_periodic_runs, op12_hard_negatives, op13_document_fingerprints)
 
 
 def registered() -> dict:
