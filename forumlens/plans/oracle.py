@@ -7,8 +7,9 @@ the fragment it starts from and gets those it depends on. Parameters are taken f
 from __future__ import annotations
 
 from forumlens.functions.words import LEMMAS, STOP_WORDS
-from forumlens.operators import tuning
+from forumlens.operators import neighbours, relevance, similar_posts, tuning
 from forumlens.plans import queries as q
+from forumlens.streaming import activity
 
 
 def _text(value: str) -> str:
@@ -63,6 +64,14 @@ _FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
     "weights": (("vocabulary",), """
         SELECT id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY id)) AS w
         FROM tf JOIN vocabulary USING (term)"""),
+    # all posts, copies too
+    "a_docs": (("posts",), f"""
+        SELECT id, list_transform(list_filter({_NORMALIZE}, lambda w: length(w) >= 2), lambda w: lower(w)) AS terms FROM posts"""),
+    "a_tf": (("a_docs",), """
+        SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM a_docs) GROUP BY ALL"""),
+    "a_weights": (("a_tf",), """
+        SELECT id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY id)) AS w
+        FROM a_tf JOIN (SELECT term, ln((1 + (SELECT count(*) FROM a_docs)) / (1 + count(*))) + 1 AS idf FROM a_tf GROUP BY term) USING (term)"""),
     # the classifier's corpus, split and folds
     "c_title": (("posts",), f"""
         SELECT * FROM posts WHERE lang IN ({_CLASSES})
@@ -290,6 +299,33 @@ def _evaluated_final(last: tuple[str, ...], body: str) -> str:
     return f"{_with('m_tf m_classes', steps)}\n{body}"
 
 
+def _indexed_neighbours() -> str:
+    """The index built anew: digits of hashes as directions, codes of each set, buckets of pairs of sets, votes."""
+    s = neighbours.Shape()
+    block, digits = neighbours.COMPONENTS_PER_HASH, neighbours.DIGITS_PER_COMPONENT
+    return f"""WITH v AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+        directions AS MATERIALIZED (SELECT r, i, list_transform(range(64), lambda j: list_sum(list_transform(range({digits}),
+                lambda c: CAST('0x' || substr(md5(r || '/' || i || '/' || (j // {block})), {digits} * (j % {block}) + c + 1, 1) AS INT))) - {neighbours.MIDDLE}) AS g
+            FROM range({s.rotations}) a(r), range({s.directions}) b(i)),
+        along AS MATERIALIZED (SELECT id, r, i, list_inner_product(q, g::DOUBLE[]) AS x
+            FROM (SELECT id, list_transform(e, lambda x: floor({neighbours.SCALE} * x)) AS q FROM v), directions),
+        codes AS MATERIALIZED (SELECT id, r, code, row_number() OVER (PARTITION BY id, r ORDER BY x DESC, code) AS place
+            FROM (SELECT id, r, i AS code, x FROM along UNION ALL SELECT id, r, i + {s.directions}, -x FROM along)
+            QUALIFY place <= {s.probes}),
+        buckets AS (SELECT a.id, a.r, d, a.code * {2 * s.directions} + b.code AS code, a.place AS p1, b.place AS p2
+            FROM codes a, range(1, {s.partners} + 1) t(d), codes b WHERE b.id = a.id AND b.r = (a.r + d) % {s.rotations}),
+        met AS (SELECT p.id AS target, x.id FROM buckets p JOIN buckets x ON x.r = p.r AND x.d = p.d AND x.code = p.code AND x.p1 = 1 AND x.p2 = 1
+            WHERE p.id % {q.EVERY} = 0 AND p.id <> x.id GROUP BY ALL HAVING count(*) >= {s.votes})
+        SELECT target, a.id, round(list_cosine_similarity(a.e, b.e), 6) AS sim,
+            CAST(row_number() OVER (PARTITION BY target ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, a.id) AS INTEGER) AS rank
+        FROM met JOIN v a ON a.id = met.id JOIN v b ON b.id = target QUALIFY rank <= 5"""
+
+
+_ACTIVITY = """SELECT time_bucket(INTERVAL 1 HOUR, created_time) AS window_start,
+    time_bucket(INTERVAL 1 HOUR, created_time) + INTERVAL 1 HOUR AS window_end, subreddit AS tag, count(*) AS n_posts,
+    CAST(sum(num_comments) AS BIGINT) AS n_comments, max(score) AS top_score FROM posts GROUP BY ALL"""
+
+
 _VECTOR_STEPS = (
     ("docs", f"SELECT id, {_NORMALIZE} AS words FROM posts"),
     ("uses", """SELECT id, word, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
@@ -455,6 +491,30 @@ def _statements() -> dict[str, str]:
         "final_report": _evaluated_final(("predicted", "cells", "per_class"), report),
         "final_roc_auc": _evaluated_final(("probabilities", "ranked", "curve"), auc),
         "stream_scores": _stream_scores(),
+        "recommend_vector_indexed": _indexed_neighbours(),
+        "similar_post_classes": _from("a_weights", f""", links AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM a_weights a JOIN a_weights b USING (term)
+                WHERE a.id <> b.id GROUP BY ALL HAVING round(sum(a.w * b.w), 6) >= {similar_posts.LIKE}),
+            reach AS (SELECT id AS x, id AS y FROM a_docs UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+            SELECT d.id, (SELECT min(y) FROM reach WHERE x = d.id) AS class_id, (SELECT count(*) FROM links WHERE x = d.id) AS n_links
+            FROM a_docs d""").replace("WITH ", "WITH RECURSIVE ", 1),
+        "relevance_to_abstracts": _from("weights", f""", items AS (SELECT item_id, unnest(list_transform(list_filter(
+                {_NORMALIZE}, lambda w: length(w) >= 2), lambda w: lower(w))) AS term FROM (SELECT item_id, text AS title FROM benchmark)),
+            asked AS (SELECT item_id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY item_id)) AS w
+                FROM (SELECT item_id, term, count(*) AS tf FROM items GROUP BY ALL) JOIN vocabulary USING (term))
+            SELECT item_id AS query, id, round(sum(a.w * b.w), 6) AS sim,
+                CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(sum(a.w * b.w), 6) DESC, id) AS INTEGER) AS rank
+            FROM asked a JOIN weights b USING (term) GROUP BY item_id, id QUALIFY rank <= {relevance.TOP}"""),
+        "spread_between_channels": from_posts("""SELECT from_channel, to_channel, count(*) AS n_hops, CAST(sum(delay) AS BIGINT) AS total_delay,
+                min(delay) AS least_delay, max(delay) AS most_delay FROM (
+            SELECT p.id, p.subreddit AS to_channel, q.subreddit AS from_channel, p.created_utc - q.created_utc AS delay
+            FROM (SELECT a.*, c.subreddit AS other FROM (SELECT *, row_number() OVER (ORDER BY created_utc, id) AS k FROM posts) a
+                  JOIN (SELECT DISTINCT url, subreddit FROM posts) c ON c.url = a.url AND c.subreddit <> a.subreddit) p
+            ASOF JOIN (SELECT *, row_number() OVER (ORDER BY created_utc, id) AS k FROM posts) q
+                ON q.url = p.url AND q.subreddit = p.other AND p.k > q.k
+            QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY q.k DESC) = 1) GROUP BY ALL"""),
+        "activity_closed": from_posts(f"""SELECT * FROM ({_ACTIVITY})
+            WHERE window_end <= (SELECT max(created_time) FROM posts) - INTERVAL {activity.DELAY}"""),
+        "activity_current": from_posts(_ACTIVITY),
         "tag_for_term": from_posts(f"""SELECT link_flair_text, count(*) AS n_posts FROM posts
             WHERE contains(array_to_string({_NORMALIZE}, ' '), 'eau') AND link_flair_text IS NOT NULL
             GROUP BY 1 ORDER BY n_posts DESC, 1 LIMIT 1"""),

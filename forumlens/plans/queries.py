@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlens.functions.text import normalized_words, terms, word_count
-from forumlens.operators import (bayes, clean, evaluate, ingest, profile, projection, similarity, split, tfidf,
-                                 topics, tuning)
+from forumlens.operators import (bayes, clean, evaluate, ingest, neighbours, profile, projection, relevance, similar_posts,
+                                 similarity, split, spread, tfidf, topics, tuning)
 from forumlens.operators.tfidf import VocabularyRule
 from forumlens.plans import pipelines
 from forumlens.session import new_path, stage
 from forumlens.sources import fixtures, search
 from forumlens.sources.schema import SEARCH_DISPLAY
-from forumlens.streaming import feed
+from forumlens.streaming import activity, feed
 
 TAG = "link_flair_text"
 EXCLUDED = "error"
@@ -254,6 +254,46 @@ def recommend_words_vector_top5(spark, sf):
     return _attached(spark, sf, similarity.recommend_by_vector(stage(_word_means(spark, sf)), TARGET))
 
 
+def _vectors(spark, sf):
+    return fixtures.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def recommend_vector_indexed(spark, sf):
+    """Five similar vectors, from the index, for each vector whose id is divisible by fifty."""
+    vectors = _vectors(spark, sf)
+    return neighbours.search(neighbours.build(vectors), vectors.where(F.col("id") % EVERY == 0))
+
+
+def _all_weights(spark, sf):
+    """All posts, copies too, with staged unit weights and vocabulary."""
+    posts = fixtures.posts(spark, sf).select("id", terms(normalized_words(F.col("title")), lowercase=True).alias("terms"))
+    docs = stage(posts)
+    postings, vocabulary = pipelines.tfidf_tables(docs)
+    return docs, stage(tfidf.weights(postings, vocabulary)), vocabulary
+
+
+def similar_post_classes(spark, sf):
+    """Posts with a cosine of 0.8 or more to another one: how many of these each has, and its class."""
+    return similar_posts.similar_posts(*_all_weights(spark, sf))
+
+
+def relevance_to_abstracts(spark, sf):
+    """The ten posts most relevant to each item of the benchmark."""
+    corpus = _corpus(spark, sf)
+    postings, vocabulary = pipelines.tfidf_tables(corpus)
+    weights = stage(tfidf.weights(postings, vocabulary))
+    items = fixtures.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("id"), terms(normalized_words(F.col("text")), lowercase=True).alias("terms"))
+    asked = stage(relevance.query_weights(items, stage(relevance.bounded_vocabulary(weights, vocabulary))))
+    return relevance.most_relevant(asked, weights)
+
+
+def spread_between_channels(spark, sf):
+    """How often and how fast a text went from one channel to another."""
+    posts = fixtures.posts(spark, sf).select("id", "url", F.col("subreddit").alias("channel"), F.col("created_utc").alias("at"))
+    return spread.between_channels(spread.hops(posts))
+
+
 # classification
 
 def _labelled(spark, sf):
@@ -483,6 +523,39 @@ def stream_scores(spark, sf):
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
+def _delivered(spark, sf, write, late: bool) -> str:
+    """The folder a writer of windows fills while posts arrive in three parts by time, the writer ended and started again after each one.
+
+    With ``late`` the last part also repeats some posts of the first one.
+    """
+    base = new_path(spark, "stream")
+    posts = stage(fixtures.posts(spark, sf).select("id", "subreddit", "created_time", "created_utc", "num_comments", "score"))
+    low, high = (x or 0 for x in posts.agg(F.min("created_utc"), F.max("created_utc")).first())
+    part = F.when(F.lit(high == low), 0).otherwise(F.least(F.floor(3 * (F.col("created_utc") - low) / max(high - low, 1)), F.lit(2)))
+    for k in range(3):
+        of_part = posts.where(part == k)
+        if late and k == 2:
+            of_part = of_part.unionByName(posts.where((part == 0) & (F.col("id") % 10 == 0)))
+        of_part.write.mode("append").parquet(f"{base}/inbox")
+        arriving = spark.readStream.schema(posts.schema).parquet(f"{base}/inbox")
+        _finish(write(activity.activity(arriving, tag="subreddit"), f"{base}/out", f"{base}/checkpoint"))
+    return f"{base}/out"
+
+
+def _window_times(windows):
+    return windows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+def activity_closed(spark, sf):
+    """Activity per channel and hour, of the hours that are closed; repeats of old posts are too late to count."""
+    return _window_times(spark.read.parquet(_delivered(spark, sf, activity.write_closed, late=True)))
+
+
+def activity_current(spark, sf):
+    """Activity per channel and hour as of the last batch."""
+    return _window_times(activity.current(spark, _delivered(spark, sf, activity.write_current, late=False)))
+
+
 _ALL: tuple[Query, ...] = (
     search_posts, search_keyword_in_channel, scan_channel, scan_channel_two_tags,
     filter_time_range, filter_keyword, project_display, exclude_tag_null_safe,
@@ -501,6 +574,8 @@ _ALL: tuple[Query, ...] = (
     grid_vocab, grid_alpha, grid_unreachable, train_final, final_confusion, final_report, final_roc_auc, project_pca_2d,
     project_svd_2d, lda_topics, lda_top_words, topic_names, tag_for_term,
     stream_search, stream_insert_if_absent, stream_scores,
+    recommend_vector_indexed, similar_post_classes, relevance_to_abstracts, spread_between_channels,
+    activity_closed, activity_current,
 )
 
 

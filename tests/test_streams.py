@@ -7,7 +7,7 @@ from forumlens.operators import bayes
 from forumlens.sources import tables
 from forumlens.sources.schema import SEARCH_RESULT
 from forumlens.sources.search import SearchSpec, live_view, matching_posts
-from forumlens.streaming import feed
+from forumlens.streaming import activity, feed
 from tests.helpers import rows
 
 
@@ -74,3 +74,55 @@ def test_scores_equal_batch(spark, inbox, tmp_path):
     feed.score_feed(as_docs(stream()), stored, out, str(tmp_path / "checkpoint")).awaitTermination()
     got = spark.read.parquet(out).drop("batch")
     assert rows(got) == rows(bayes.predict(as_docs(spark.read.parquet(folder)), model))
+
+
+def windows(df):
+    return sorted((r.window_start.hour, r.window_start.minute, r.tag, r.n_posts, r.n_comments, r.top_score) for r in df.collect())
+
+
+def at(i, minute, tag="science", score=1):
+    return (f"p{i}", "ann", "brain", None, score, f"u{i}", 2, tag, 1651500000 + 60 * minute, None, "text", None)  # 14:00
+
+
+def test_closed_windows_late_posts_and_restart(spark, tmp_path):
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("inbox", "out", "checkpoint"))
+
+    def deliver(*posts):
+        spark.createDataFrame(list(posts), SEARCH_RESULT).withColumn(
+            "created_time", F.timestamp_seconds("created_utc")).coalesce(1).write.mode("append").parquet(inbox)
+
+    def run():
+        counted = activity.activity(spark.readStream.schema(SEARCH_RESULT).parquet(inbox), "1 hour", "30 minutes", "subreddit")
+        query = activity.write_closed(counted, out, checkpoint)
+        query.awaitTermination()
+        return query
+
+    schema = activity.activity(spark.createDataFrame([], SEARCH_RESULT), tag="subreddit").schema
+    deliver(at(1, 5), at(2, 50, score=7), at(3, 70), at(4, 55, "art"))
+    assert activity.late_posts(run()) == 0
+    assert windows(spark.read.schema(schema).parquet(out)) == []  # the watermark is at 14:40
+    deliver(at(5, 59), at(6, 95))  # not too late; the watermark moves to 15:05
+    assert activity.late_posts(run()) == 0
+    closed = [(14, 0, "art", 1, 2, 1), (14, 0, "science", 3, 6, 7)]
+    assert windows(spark.read.schema(schema).parquet(out)) == closed
+    deliver(at(7, 10), at(8, 20, "art"), at(9, 96))
+    assert activity.late_posts(run()) == 2
+    assert windows(spark.read.schema(schema).parquet(out)) == closed
+    deliver(at(10, 300))
+    run()
+    assert windows(spark.read.schema(schema).parquet(out)) == [*closed, (15, 0, "science", 3, 6, 1)]
+
+
+def test_current_windows_hold_open_ones_and_late_posts(spark, tmp_path):
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("inbox", "out", "checkpoint"))
+    for posts in ([at(1, 5), at(2, 70), at(3, 71, "art")], [at(4, 200), at(5, 6)]):
+        spark.createDataFrame(posts, SEARCH_RESULT).withColumn(
+            "created_time", F.timestamp_seconds("created_utc")).coalesce(1).write.mode("append").parquet(inbox)
+        counted = activity.activity(spark.readStream.schema(SEARCH_RESULT).parquet(inbox), tag="subreddit")
+        activity.write_current(counted, out, checkpoint).awaitTermination()
+    table = activity.current(spark, out)
+    assert windows(table) == [(14, 0, "science", 2, 4, 1), (15, 0, "art", 1, 2, 1), (15, 0, "science", 1, 2, 1), (17, 0, "science", 1, 2, 1)]
+    batch = activity.activity(spark.read.parquet(inbox), tag="subreddit")
+    assert windows(batch) == windows(table)
+    best = activity.most_active(table, F.timestamp_seconds(F.lit(1651500000 + 4000)))
+    assert [r.tag for r in best.collect()] == ["art", "science"]
