@@ -49,7 +49,8 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     """``mapInArrow`` whose batches are bounded in bytes, so that very long texts do not fill a worker."""
     spark = df.sparkSession
     ship_package(spark)
-    if int(spark.conf.get(_BATCH_SETTING, str(2**31 - 1)).rstrip("b")) > BATCH_BYTES:
+    bound = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SETTING))
+    if not 0 < bound <= BATCH_BYTES:  # stays as it is from now on, since plans are made later
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
