@@ -56,15 +56,15 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     system.create_dir(f"{path}/shards", recursive=True)
 
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode_all = encoder(tokenizer).encode_all
         name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}"
         files, at = store(f"{target}/shards/{name}")
         lengths, numbers, nulls, out = [], [], [], None
         for batch in batches:
-            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for number, found in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist())):
                 if out is None:
                     out = files.open_output_stream(f"{at}.bin")
-                ids = encode(text) + end
+                ids = found + end
                 out.write(ids)
                 lengths.append(len(ids) // dtype.itemsize)
                 numbers.append(number or 0)

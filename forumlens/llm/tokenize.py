@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -12,6 +14,8 @@ MEMO_WORDS = 800_000
 MEMO_WORD_CHARS = 64
 #: Words encoded in one call, and what stands between them there; words that contain it are encoded alone.
 JOINED_WORDS = 512
+#: Characters of texts whose new words are looked up together.
+GROUP_CHARS = 1 << 20
 SEPARATOR = "|"
 
 
@@ -32,9 +36,10 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._special = [t.content.lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
-        if any(not s or " " in s or "\n" in s for s in self._special):
+        special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        if any(not s or " " in s or "\n" in s for s in special):
             raise ValueError("added tokens with white space; texts cannot be encoded word by word")
+        self._special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         self.code = "H" if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         if self._ids(["a b\nc"]) != [b"".join(self._ids(["a", "b", "c"]))]:
@@ -68,10 +73,6 @@ class WordEncoder:
         other = [w for w in words if SEPARATOR in w]
         return dict(zip(clear, self._separated(clear))) | dict(zip(other, self._ids(other)))
 
-    def _holds_special(self, word: str) -> bool:
-        lower = word.lower()
-        return any(s in lower for s in self._special)
-
     def _parts(self, word: str) -> tuple[str, bytes]:
         """A word whose ids followed by the given ones are the ids of ``word``."""
         end = b""
@@ -84,8 +85,8 @@ class WordEncoder:
         memo, old = self._memo, self._old
         known = {w: old[w] for w in words if w in old}
         words = [w for w in words if w not in known]
-        special = [w for w in words if self._holds_special(w)]
-        if special:
+        if self._special and self._special.search("\n".join(words)):  # one look at all of them
+            special = [w for w in words if self._special.search(w)]
             known.update(zip(special, self._ids(special)))
             words = [w for w in words if w not in known]
         if self._plain:
@@ -102,16 +103,30 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned integers of ``dtype``."""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text; the new words of about ``GROUP_CHARS`` characters of texts are looked up together."""
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and (end == begin or size + len(texts[end] or "") <= GROUP_CHARS):
+                size += len(texts[end] or "")
+                end += 1
+            yield from self._encode_group(texts[begin:end])
+            begin = end
+
+    def _encode_group(self, texts: list[str | None]) -> list[bytes]:
         if len(self._memo) > MEMO_WORDS // 2:
             self._memo, self._old = {"": b""}, self._memo
-        words = (text or "").replace("\n", " ").split(" ")
-        ids = list(map(self._memo.get, words))
-        new = [i for i, known in enumerate(ids) if known is None]
-        if new:
-            found = self._learn(list({words[i] for i in new}))
-            for i in new:
-                ids[i] = found[words[i]]
-        return b"".join(ids)
+        words = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        ids = [list(map(self._memo.get, of)) for of in words]
+        new = [[i for i, known in enumerate(of) if known is None] for of in ids]
+        found = self._learn(list({of[i] for of, places in zip(words, new) for i in places}))
+        for of, known, places in zip(words, ids, new):
+            for i in places:
+                known[i] = found[of[i]]
+        return [b"".join(known) for known in ids]
 
 
 @cache

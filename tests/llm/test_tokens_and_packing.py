@@ -17,7 +17,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def plain():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
