@@ -10,7 +10,8 @@ it is later than the latest register.
 
 Registers are cut into bands; texts that agree in a band are candidates; at similarity 0.8 a pair shares no band with
 probability 6e-5. In a bucket every member is first paired with the smallest only; pairs are verified by their exact
-bag overlap and give first classes, so a bucket of copies costs as many pairs as members. Pairs of a bucket that are still
+bag overlap and give first classes, so a bucket of copies costs as many pairs as members. Members of other classes are then
+taken as centres in turn, until they join no more classes. Pairs of a bucket that are still
 in different classes are then examined too, so no candidate link between classes is lost. Before a pair leaves a join, its
 parity bitmaps must allow it: each element of a bag flips one bit, so the bits in which two bitmaps differ are no more than
 the elements in which the bags differ; at similarity 0.8 these are a ninth of both sizes. The bitmap has four to eight
@@ -38,6 +39,8 @@ from forumlens.session import stage
 
 SHINGLE_WORDS = 5
 BANDS, BAND_REGISTERS = 32, 6
+#: Turns in which new centres join no classes before the rest of a bucket is compared pair by pair.
+QUIET_ROUNDS = 2
 REGISTERS = BANDS * BAND_REGISTERS
 #: Similarity of 0.8 or more, as a fraction.
 LIKE, OF = 4, 5
@@ -237,24 +240,40 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = stage(members.join(buckets, "band"))
     star = shared.select(F.col("low").alias("a"), F.col("content").alias("b")).where(F.col("a") != F.col("b")).distinct()
     links = stage(_links(stage(_possible_pairs(star, nodes)), nodes, rows))
-    found = components(links)
-    # what is left of a bucket: pairs of members in different classes, neither of them its smallest
+    # more centres, while they join classes: of one bucket, a member of another class each time meets all members outside its class
     root = F.coalesce(F.col("root"), F.col("content"))
-    placed = shared.join(found.withColumnRenamed("node", "content"), "content", "left").where(
-        F.col("content") != F.col("low")).select("band", "content", root.alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y"))
-    inner = stage(placed.join(mixed.select("band"), "band", "left_semi").join(nodes.select("content", "size", "bitmap"), "content"))
+    found, left, quiet, turn = components(links), shared, 0, 0
+    while quiet < QUIET_ROUNDS:
+        turn += 1
+        placed = stage(left.join(stage(found).withColumnRenamed("node", "content"), "content", "left").select("band", "content", root.alias("root")))
+        mixed = stage(placed.groupBy("band").agg(
+            F.min("root").alias("x"), F.max("root").alias("y"),
+            F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("order"), "content", "root")).alias("centre"))
+            .where(F.col("x") != F.col("y")).select("band", F.col("centre.content").alias("centre"), F.col("centre.root").alias("own")))
+        left = stage(placed.join(mixed, "band").select("band", "content", "root", "centre", "own"))
+        ray = left.where(F.col("root") != F.col("own")).select(F.col("centre").alias("a"), F.col("content").alias("b")).distinct()
+        more = stage(_links(stage(_possible_pairs(stage(ray), nodes)), nodes, rows))
+        quiet = 0 if more.take(1) else quiet + 1
+        if not quiet:
+            links = links.union(more)
+            found = components(links)
+        left = left.select("band", "content")
+        if not left.take(1):
+            break
+    # what is left of a bucket: pairs of members in different classes
+    placed = left.join(stage(found).withColumnRenamed("node", "content"), "content", "left").select("band", "content", root.alias("root"))
+    inner = stage(placed.join(nodes.select("content", "size", "bitmap"), "content"))
     other = inner.toDF(*(f"{c}_2" for c in inner.columns))
     apart = ((F.col("band") == F.col("band_2")) & (F.col("content") < F.col("content_2")) & (F.col("root") != F.col("root_2"))
              & _possible(F.col("bitmap"), F.col("size"), F.col("bitmap_2"), F.col("size_2")))
     rest = stage(inner.join(other, apart).select(F.col("content").alias("a"), F.col("content_2").alias("b")).distinct())
     more = stage(_links(rest, nodes, rows))
-    found = components(links.union(more))
-    named = nodes.join(found.withColumnRenamed("node", "content"), "content", "left").select(
-        "content", "first", root.alias("root"))
-    heads = named.groupBy("root").agg(F.min("first").alias("head"))
+    found = stage(components(links.union(more)))
+    named = stage(nodes.join(found.withColumnRenamed("node", "content"), "content", "left").select(
+        "content", "first", root.alias("root")))
+    heads = stage(named.groupBy("root").agg(F.min("first").alias("head")))
     # a class whose ids are all null has no name
-    named = named.join(heads, "root").select(F.col("content"), "head")
+    named = stage(named.join(heads, "root").select(F.col("content"), "head"))
     out = encoded.select("doc_id", "tie", "content").join(named, "content", "left")
     alone = F.col("content").isNull()
     return out.select(
