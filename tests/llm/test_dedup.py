@@ -43,7 +43,7 @@ def brute_lines(rows):
     links, late = Counter(), set()
     for a in first:
         for b in first:
-            if a < b and 0 < distance(a, b) <= min(min(len(a), len(b)) // 16, 2):
+            if a < b and 0 < distance(a, b) <= min(len(a), len(b)) // 16:
                 links.update((a, b))
                 late.add(max(a, b, key=first.get))
     return {row: (len(found), sum(links[s] for _, s in found),
@@ -90,18 +90,54 @@ def test_edits_grow_with_the_length(spark):
     links = Counter()
     for a in lines:
         for b in lines:
-            if a < b and 0 < line_dedup._columns(a, b) <= min(len(a), len(b)) // 16:
+            if a < b and 0 < line_dedup.edit_distances([a], [b], np.array([min(len(a), len(b)) // 16]))[0] <= min(len(a), len(b)) // 16:
                 links.update((a, b))
     got = {r["doc_id"]: (r["n_links"], len(r["removed"])) for r in line_dedup.decide(frame(spark, rows), max_edits=None).collect()}
     assert {i: n for i, (n, _) in got.items()} == {i: links[line] for i, line in rows}
     assert sum(links.values()) >= 2 * 10 and sum(gone for _, gone in got.values()) >= 10  # ten of them lie within the rate of their first line
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("abé中", max_size=40), st.text("abé中", max_size=40))
-def test_whole_columns(a, b):
+@settings(max_examples=300, deadline=None)
+@given(st.text("abé中", max_size=30), st.text("abé中", max_size=30), st.integers(0, 40))
+def test_band_of_one_pair(a, b, k):
     short, long = sorted((a, b), key=len)
-    assert line_dedup._columns(short, long) == distance(a, b)
+    got = line_dedup._band(short, long, k) if len(long) - len(short) <= k else k + 1
+    assert got == distance(a, b) if distance(a, b) <= k else got > k
+
+
+def apart(a, b, at, by):
+    """Whether keys of two lines agree as the join demands, with the first line's segments."""
+    la, ka, oa, fa, ea = at
+    _, kb, _, fb, eb = by
+    k, longer = len(a) // 16, len(b) - len(a)
+    if not 0 <= longer <= k:
+        return False
+    for x, own, f, e in zip(ka, oa, fa, ea):
+        for y, g, h in zip(kb, fb, eb):
+            if own and x == y and f - h <= k and g - e <= k:
+                i = ((f + 1) * (k + 1) - 1) // len(a)
+                if not (f == e and g == h) or (abs(g - f) <= i and abs(longer - (g - f)) <= k - i):
+                    return True
+    return False
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.data())
+def test_every_pair_within_the_rate_meets(data):
+    """Random edits of random lines: one segment's key is always among the other line's keys, at a place that is possible."""
+    letters = data.draw(st.sampled_from(["ab", "abcdefgh ", "a"]))
+    a = data.draw(st.text(letters, min_size=16, max_size=150))
+    b = list(a)
+    for _ in range(data.draw(st.integers(1, len(a) // 16))):
+        at = data.draw(st.integers(0, len(b) - 1))
+        b[at:at + 1] = data.draw(st.sampled_from([[], ["X"], [b[at], "Y"], ["a", b[at]]]))
+    short, long = sorted((a, "".join(b)), key=len)
+    if short != long and len(short) >= 16 and 0 < distance(short, long) <= len(short) // 16:
+        counts = np.zeros(1 << 20, np.uint16)
+        assert apart(short, long, line_dedup.join_keys([short], counts), line_dedup.join_keys([long], counts))
+    one = line_dedup.join_keys([a], np.zeros(1 << 20, np.uint16))
+    two = line_dedup.join_keys(["filler of a line " * 3, a, "another"], np.zeros(1 << 20, np.uint16))
+    assert [x[two[0] == 1].tolist() for x in two[1:]] == [x.tolist() for x in one[1:]]
 
 
 def test_odd_documents_keep_their_rows(spark):
