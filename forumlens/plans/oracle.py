@@ -7,7 +7,7 @@ the fragment it starts from and gets those it depends on. Parameters are taken f
 from __future__ import annotations
 
 from forumlens.functions.words import LEMMAS, STOP_WORDS
-from forumlens.operators import neighbours, relevance, similar_posts, tuning
+from forumlens.operators import keywords, neighbours, relevance, similar_posts, tuning
 from forumlens.plans import queries as q
 from forumlens.streaming import activity
 
@@ -353,7 +353,11 @@ def _statements() -> dict[str, str]:
     from_posts = lambda body: _from("posts", body)
     search_columns = """id, author, title, score, url, num_comments, subreddit, created_utc, created_time,
         link_flair_text"""
-    live = "title, score, id, subreddit, url, num_comments, created_time"
+    live = "title, score, id, subreddit, url, num_comments, selftext AS body, created_time"
+    with_bodies = """(SELECT posts.*, selftext FROM posts LEFT JOIN (
+            SELECT conv_id, min(text) AS selftext FROM conversations WHERE turn = 0 GROUP BY conv_id) ON conv_id = id)"""
+    live_keyword = f"contains(lower(concat_ws(' ', title, selftext)), {_text(q.KEYWORD)})"
+    types = "CASE typeof({}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END"
     tags = ", ".join(_text(t) for t in q.TAGS)
     wide = ", ".join(f"count(*) FILTER (link_flair_text = {_text(t)}) AS \"{t}\"" for t in q.TAGS)
     pivoted = f"""SELECT num_comments, {wide} FROM posts
@@ -365,7 +369,8 @@ def _statements() -> dict[str, str]:
     columns = ("id", "author", "title", "score", "url", "num_comments", "subreddit", "created_utc", "created_time",
                "link_flair_text", "lang", "quality")
     profiled = " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS non_null FROM posts" for c in columns)
+        f"SELECT '{c}' AS column_name, {types.format(f'any_value({c})')} AS column_type, count(*) AS n_rows, count({c}) AS non_null FROM posts"
+        for c in columns)
     report = """
             SELECT name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM per_class
             UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
@@ -380,8 +385,13 @@ def _statements() -> dict[str, str]:
         "search_posts": from_posts(f"""SELECT {search_columns} FROM posts
             WHERE subreddit = 'src0' AND {keyword} AND created_utc > {q.AFTER}
             ORDER BY created_utc DESC, id LIMIT 20"""),
-        "search_keyword_in_channel": from_posts(f"""SELECT {live} FROM posts
-            WHERE subreddit = 'src0' AND {keyword}"""),
+        "search_keyword_in_channel": from_posts(f"""SELECT {live} FROM {with_bodies}
+            WHERE subreddit = 'src0' AND {live_keyword}"""),
+        "search_stored_posts": from_posts(f"""SELECT id, author, CAST(created_time AS DATE) AS day, subreddit, created_utc, title FROM posts
+            WHERE subreddit = 'src0' AND created_utc > {q.AFTER} AND created_utc < {q.BEFORE} ORDER BY created_utc DESC, id LIMIT 50"""),
+        "posts_on_busy_days": from_posts("""SELECT id, day, subreddit, author FROM (
+                SELECT *, CAST(created_time AS DATE) AS day, count(*) OVER (PARTITION BY CAST(created_time AS DATE)) AS n FROM posts)
+            WHERE n > (SELECT count(*) / count(DISTINCT CAST(created_time AS DATE)) FROM posts)"""),
         "scan_channel": from_posts("SELECT * FROM posts WHERE subreddit = 'src0'"),
         "scan_channel_two_tags": from_posts(
             f"SELECT * FROM posts WHERE subreddit = 'src0' AND link_flair_text IN ({tags})"),
@@ -518,7 +528,23 @@ def _statements() -> dict[str, str]:
         "tag_for_term": from_posts(f"""SELECT link_flair_text, count(*) AS n_posts FROM posts
             WHERE contains(array_to_string({_NORMALIZE}, ' '), 'eau') AND link_flair_text IS NOT NULL
             GROUP BY 1 ORDER BY n_posts DESC, 1 LIMIT 1"""),
-        "stream_search": from_posts(f"SELECT {live} FROM posts WHERE subreddit = 'src0' AND {keyword}"),
+        "stream_search": from_posts(f"SELECT {live} FROM {with_bodies} WHERE subreddit = 'src0' AND {live_keyword}"),
+        "stream_keyed_set": """SELECT user_id, event_id, ts, event_type, value FROM events
+            QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+        "nested_comment_stats": """SELECT conv_id AS id, count(*) AS n_comments, arg_min(text, turn) AS first_comment FROM conversations
+            WHERE turn > 0 GROUP BY conv_id""",
+        "abstract_keywords": f"""WITH RECURSIVE items AS MATERIALIZED (SELECT item_id AS id, {_NORMALIZE} AS words
+                FROM (SELECT item_id, text AS title FROM benchmark)),
+            places AS MATERIALIZED (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM items),
+            beside AS (SELECT x.id, x.word AS a, y.word AS b FROM places x JOIN places y ON x.id = y.id AND x.word <> y.word
+                AND y.place > x.place AND y.place < x.place + {keywords.WINDOW}),
+            shares AS MATERIALIZED (SELECT id, a, b, n / sum(n) OVER (PARTITION BY id, a) AS share FROM (
+                SELECT id, a, b, count(*) AS n FROM (SELECT * FROM beside UNION ALL SELECT id, b, a FROM beside) GROUP BY ALL)),
+            ranks AS (SELECT DISTINCT 0 AS k, id, a AS word, 1.0::DOUBLE AS rank FROM shares
+                UNION ALL SELECT k + 1, r.id, s.b, {1 - keywords.DAMPING} + {keywords.DAMPING} * sum(r.rank * s.share)
+                FROM ranks r JOIN shares s ON s.id = r.id AND s.a = r.word WHERE k < 150 GROUP BY k, r.id, s.b)
+            SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY round(rank, 6) DESC, word) AS INTEGER) AS place, word, round(rank, 6) AS rank
+            FROM ranks WHERE k = 150 QUALIFY place <= {keywords.WORDS}""",
         "stream_insert_if_absent": from_posts("""SELECT id, author,
             CASE WHEN link_flair_text IS NULL THEN score + 1000 ELSE score END AS score, created_utc, link_flair_text FROM posts"""),
     }

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlens.functions.text import normalized_words, terms, word_count
-from forumlens.operators import (bayes, clean, evaluate, ingest, neighbours, profile, projection, relevance, similar_posts,
-                                 similarity, split, spread, tfidf, topics, tuning)
+from forumlens.operators import (bayes, clean, evaluate, ingest, keywords, neighbours, profile, projection, relevance,
+                                 similar_posts, similarity, split, spread, tfidf, topics, tuning)
 from forumlens.operators.tfidf import VocabularyRule
 from forumlens.plans import pipelines
 from forumlens.session import new_path, stage
-from forumlens.sources import fixtures, search
+from forumlens.sources import fixtures, search, store
 from forumlens.sources.schema import SEARCH_DISPLAY
-from forumlens.streaming import activity, feed
+from forumlens.streaming import activity, feed, keyed
 
 TAG = "link_flair_text"
 EXCLUDED = "error"
@@ -50,8 +50,29 @@ def search_posts(spark, sf):
 
 
 def search_keyword_in_channel(spark, sf):
-    found = search.search_posts(fixtures.posts(spark, sf), search.SearchSpec("src0", KEYWORD, n_posts=None))
-    return search.live_view(found).drop("body")
+    posts = fixtures.with_bodies(fixtures.posts(spark, sf), spark, sf)
+    return search.live_view(search.search_posts(posts, search.SearchSpec("src0", KEYWORD, n_posts=None)))
+
+
+def search_stored_posts(spark, sf):
+    """The newest posts of a channel and a stretch of time, from a table stored by day and channel."""
+    posts = store.read_posts(spark, _stored(spark, sf))
+    spec = search.SearchSpec(subreddit="src0", after=AFTER, before=BEFORE, n_posts=50)
+    return store.search_stored(posts, spec).select("id", "author", "day", "subreddit", "created_utc", "title")
+
+
+def posts_on_busy_days(spark, sf):
+    """Posts of the days that have more of them than the average day."""
+    posts = store.read_posts(spark, _stored(spark, sf))
+    per_day = stage(posts.groupBy("day").agg(F.count(F.lit(1)).alias("n")))
+    busy = per_day.where(F.col("n") > per_day.agg(F.avg("n")).scalar())
+    return store.on_days(posts, busy).select("id", "day", "subreddit", "author")
+
+
+def _stored(spark, sf) -> str:
+    path = new_path(spark, "posts")
+    store.write_posts(fixtures.posts(spark, sf), path)
+    return path
 
 
 def scan_channel(spark, sf):
@@ -163,13 +184,21 @@ def authors_both_tags_top5(spark, sf):
 
 
 def table_profile(spark, sf):
-    return profile.table_profile(fixtures.posts(spark, sf)).drop("column_type")
+    return profile.table_profile(fixtures.posts(spark, sf))
 
 
 def thread_comment_stats(spark, sf):
     return profile.thread_stats(fixtures.table(spark, sf, "conversations"))
 
 
+def nested_comment_stats(spark, sf):
+    """Number of comments and the first one of threads that arrive with their comments nested."""
+    turns = fixtures.table(spark, sf, "conversations").where(F.col("turn") > 0)
+    nested = turns.groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    threads = nested.select("id", F.transform("turns", lambda t: F.struct(t["text"].alias("body"))).alias("comments"))
+    return profile.nested_thread_stats(stage(threads))
+
+
 # ingest
 
 def upsert_ignore(spark, sf):
@@ -288,6 +317,12 @@ def relevance_to_abstracts(spark, sf):
     return relevance.most_relevant(asked, weights)
 
 
+def abstract_keywords(spark, sf):
+    """The five key words of each item of the benchmark."""
+    items = fixtures.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), normalized_words(F.col("text")).alias("words"))
+    return keywords.keywords(items)
+
+
 def spread_between_channels(spark, sf):
     """How often and how fast a text went from one channel to another."""
     posts = fixtures.posts(spark, sf).select("id", "url", F.col("subreddit").alias("channel"), F.col("created_utc").alias("at"))
@@ -491,8 +526,8 @@ def _finish(query) -> None:
 def stream_search(spark, sf):
     """Live search written to files, read back."""
     base = new_path(spark, "stream")
-    found = feed.live_search(fixtures.posts_stream(spark, sf), search.SearchSpec(subreddit="src0", keyword=KEYWORD))
-    found = found.drop("body")
+    arriving = fixtures.with_bodies(fixtures.posts_stream(spark, sf), spark, sf)
+    found = feed.live_search(arriving, search.SearchSpec(subreddit="src0", keyword=KEYWORD))
     _finish(feed.write_feed(found, f"{base}/out", f"{base}/checkpoint"))
     return spark.read.schema(found.schema).parquet(f"{base}/out")
 
@@ -542,6 +577,17 @@ def _delivered(spark, sf, write, late: bool) -> str:
     return f"{base}/out"
 
 
+def stream_keyed_set(spark, sf):
+    """The last document set under each user id, kept up by a stream whose first part is delivered again after the last one."""
+    base = new_path(spark, "stream")
+    events = fixtures.table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    for part in (0, 1, 2, 0):
+        events.where(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(f"{base}/inbox")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{base}/inbox")
+        _finish(keyed.write_latest(arriving, f"{base}/table", f"{base}/checkpoint", "user_id", ("ts", "event_id")))
+    return spark.read.parquet(f"{base}/table").select(*events.columns)
+
+
 def _window_times(windows):
     return windows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
@@ -575,7 +621,8 @@ _ALL: tuple[Query, ...] = (
     project_svd_2d, lda_topics, lda_top_words, topic_names, tag_for_term,
     stream_search, stream_insert_if_absent, stream_scores,
     recommend_vector_indexed, similar_post_classes, relevance_to_abstracts, spread_between_channels,
-    activity_closed, activity_current,
+    activity_closed, activity_current, stream_keyed_set, search_stored_posts, posts_on_busy_days, abstract_keywords,
+    nested_comment_stats,
 )
 
 

@@ -60,6 +60,13 @@ def posts(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None)
     )
 
 
+def with_bodies(posts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with the text of the first turn of the conversation of their number as their own text (``selftext``)."""
+    turns = table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
+    first = turns.groupBy(F.col("conv_id").alias("_id")).agg(F.min("text").alias("selftext"))
+    return posts.join(first, F.col("id") == F.col("_id"), "left").drop("_id")
+
+
 def posts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts as they arrive: the documents as a file stream, joined to the other two tables."""
     schema = table(spark, sf_dir, "documents").schema

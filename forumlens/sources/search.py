@@ -68,11 +68,24 @@ def filter_keyword(posts: DataFrame, keyword: str | None) -> DataFrame:
     return posts.where(mentions(keyword, *texts))
 
 
+def _time(seconds: int, kind: str) -> Column:
+    text = dt.datetime.fromtimestamp(seconds, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    return F.lit(text).cast(kind) if kind == "timestamp_ntz" else F.timestamp_seconds(F.lit(seconds))
+
+
 def filter_time_range(posts: DataFrame, after: int | None = None, before: int | None = None) -> DataFrame:
+    """Posts created after and before the given seconds since 1970, both bounds exclusive in whole seconds.
+
+    Where the table has the time itself, it is compared with literal times, which reach the scan.
+    """
+    kind = dict(posts.dtypes).get("created_time")
+    if kind not in ("timestamp", "timestamp_ntz"):
+        lower, upper, time = after, before, F.col("created_utc")
+        return posts.where(F.lit(True) if lower is None else time > lower).where(F.lit(True) if upper is None else time < upper)
     if after is not None:
-        posts = posts.where(F.col("created_utc") > after)
+        posts = posts.where(F.col("created_time") >= _time(after + 1, kind))
     if before is not None:
-        posts = posts.where(F.col("created_utc") < before)
+        posts = posts.where(F.col("created_time") < _time(before, kind))
     return posts
 
 
