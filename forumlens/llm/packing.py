@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         end, place = np.array([end_id], words.dtype).tobytes(), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
-            for number, found in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1).to_pylist())):
+            for number, found in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1).cast(pa.binary()).to_pylist())):
                 ids = np.frombuffer(found + end, words.dtype).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start:start + capacity]

@@ -61,7 +61,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         files, at = store(f"{target}/shards/{name}")
         lengths, numbers, nulls, out = [], [], [], None
         for batch in batches:
-            for number, found in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist())):
+            for number, found in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).cast(pa.binary()).to_pylist())):
                 if out is None:
                     out = files.open_output_stream(f"{at}.bin")
                 ids = found + end

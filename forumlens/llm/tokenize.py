@@ -10,23 +10,23 @@ from functools import cache
 
 import numpy as np
 
-MEMO_WORDS = 800_000
-MEMO_WORD_CHARS = 64
-#: Words encoded in one call, and what stands between them there; words that contain it are encoded alone.
-JOINED_WORDS = 512
-#: Characters of texts whose new words are looked up together.
-GROUP_CHARS = 1 << 20
+MEMO_WORDS = 1_000_000
+MEMO_WORD_BYTES = 64
+#: Words encoded in one call, and what stands between those there that are not letters alone; words that contain it are encoded alone.
+JOINED_WORDS = 256
 SEPARATOR = "|"
+#: Bytes of texts whose new words are looked up together.
+GROUP_BYTES = 1 << 20
 
 
 class WordEncoder:
     """Encodes whole texts with the tokenizers library, each frequent word only once.
 
     Usable with tokenizers that drop white space, so that a text's ids are those of its pieces between spaces and line
-    feeds, one after the other. Where the tokenizer ignores case and cuts punctuation off, a new word is looked up
-    without its capitals and without a full stop or comma at its end first. Strings of special tokens in a text are these tokens, as the
-    library has it by default; words that hold one are encoded alone and as they are. At most ``MEMO_WORDS`` words
-    are remembered, the older half of which goes when they are reached, but for words that were met again; longer words than ``MEMO_WORD_CHARS`` never are.
+    feeds, one after the other. Where the tokenizer ignores case, ASCII capitals are made small first, and where it cuts punctuation off,
+    a new word is looked up without a full stop or comma at its end. Texts that hold the string of a special token in any
+    case are encoded whole, as the library has it by default. At most ``MEMO_WORDS`` words
+    are remembered, the older half of which goes when they are reached, but for words that were met again; longer words than ``MEMO_WORD_BYTES`` never are.
     """
 
     def __init__(self, path: str):
@@ -39,94 +39,108 @@ class WordEncoder:
         special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         if any(not s or " " in s or "\n" in s for s in special):
             raise ValueError("added tokens with white space; texts cannot be encoded word by word")
-        self._special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
-        self.code = "H" if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self._special = re.compile("|".join(map(re.escape, special)).encode(), re.IGNORECASE) if special else None
+        self._common = os.path.commonprefix(special).encode() if special and special == [s.lower() for s in special] else b""
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self.code = "H" if max(vocabulary.values(), default=0) < 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         if self._ids(["a b\nc"]) != [b"".join(self._ids(["a", "b", "c"]))]:
             raise ValueError("this tokenizer keeps white space; texts cannot be encoded word by word")
         self._plain = self._ids(["Ab's, A. b"]) == [b"".join(self._ids(["ab's", ",", "a", ".", "b"]))]
-        self._memo: dict[str, bytes] = {"": b""}
-        self._old: dict[str, bytes] = {}
+        #: ids of tokens that end a word, by their mark
+        self._ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._memo: dict[bytes, bytes] = {b"": b""}
+        self._old: dict[bytes, bytes] = {}
         self._separator = np.frombuffer(self._ids([SEPARATOR])[0], self.dtype)[0]
-        self._marks = dict(zip((".", ","), self._ids([".", ","])))
+        self._marks = dict(zip((b".", b","), self._ids([".", ","])))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes()
                 for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _separated(self, words: list[str]) -> list[bytes]:
-        """Ids of words without the separator, many in one call: its id tells where a word ends."""
+    def _cut(self, words: list[str], between: str) -> list[bytes] | None:
+        """Ids of words, many in one call: the separator's id, or a token that ends a word, tells where one ends."""
         out = []
         for begin in range(0, len(words), JOINED_WORDS):
             part = words[begin:begin + JOINED_WORDS]
-            ids = np.frombuffer(self._ids([f" {SEPARATOR} ".join([*part, ""])])[0], self.dtype)
-            ends = np.flatnonzero(ids == self._separator)
+            ids = np.frombuffer(self._ids([between.join([*part, ""])])[0], self.dtype)
+            ends = np.flatnonzero(self._ends[ids] if between == " " else ids == self._separator)
             if len(ends) != len(part):
-                raise ValueError("the separator's id is not its own")
+                return None
             data, step = ids.tobytes(), self.dtype.itemsize
             begins = [0, *((ends[:-1] + 1) * step).tolist()]
-            out += [data[a:b] for a, b in zip(begins, (ends * step).tolist())]
+            out += [data[a:b] for a, b in zip(begins, ((ends + (between == " ")) * step).tolist())]
         return out
 
-    def _learnt(self, words: list[str]) -> dict[str, bytes]:
-        clear = [w for w in words if SEPARATOR not in w]
-        other = [w for w in words if SEPARATOR in w]
-        return dict(zip(clear, self._separated(clear))) | dict(zip(other, self._ids(other)))
-
-    def _parts(self, word: str) -> tuple[str, bytes]:
-        """A word whose ids followed by the given ones are the ids of ``word``."""
-        end = b""
-        if len(word) > 1 and word[-1] in ".," and word[-2].lower().isalpha():
-            word, end = word[:-1], self._marks[word[-1]]
-        return (word.lower() if word.isascii() else word), end
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        if self._plain:
+            found = self._cut(words, " ") if all(map(str.isalpha, words)) else self._cut(words, f" {SEPARATOR} ")
+            if found is not None:
+                return found
+        return self._ids(words)
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words that the newer half of the memo lacks."""
-        memo, old = self._memo, self._old
-        known = {w: old[w] for w in words if w in old}
-        words = [w for w in words if w not in known]
-        if self._special and self._special.search("\n".join(words)):  # one look at all of them
-            special = [w for w in words if self._special.search(w)]
-            known.update(zip(special, self._ids(special)))
-            words = [w for w in words if w not in known]
-        if self._plain:
-            parts = [self._parts(w) for w in words]
-            new = list({p for p, _ in parts if p not in memo and p not in old})
-            found = self._learnt(new)
-            for w, (p, end) in zip(words, parts):
-                ids = known[p] = found[p] if p in found else memo[p] if p in memo else old[p]
-                known[w] = ids + end
-        else:
-            known.update(zip(words, self._ids(words)))
-        memo.update((w, ids) for w, ids in known.items() if len(w) <= MEMO_WORD_CHARS)
+        memo, old, marks = self._memo, self._old, self._marks
+        known: dict[bytes, bytes] = {}
+        open_words, new = [], set()
+        for w in words:
+            ids = old.get(w)
+            if ids is None:
+                part, mark = w, b""
+                if self._plain and w[-1:] in marks and w[-2:-1].isalpha():
+                    part, mark = w[:-1], marks[w[-1:]]
+                    ids = memo.get(part) or old.get(part)
+                    if ids is not None:
+                        known[w] = ids + mark
+                        continue
+                open_words.append((w, part, mark))
+                new.add(part)
+            else:
+                known[w] = ids
+        letters, others, alone = [], [], []
+        for part in new:
+            text = part.decode()
+            (letters if text.isalpha() else alone if SEPARATOR in text else others).append(text)
+        found: dict[bytes, bytes] = {}
+        for group, ids in ((letters, self._encoded(letters)), (others, self._encoded(others)), (alone, self._ids(alone))):
+            found.update(zip(map(str.encode, group), ids))
+        for w, part, mark in open_words:
+            known[w] = found[part] + mark
+        memo.update((w, ids) for w, ids in known.items() if len(w) <= MEMO_WORD_BYTES)
         return known
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned integers of ``dtype``."""
-        return next(self.encode_all([text]))
+        return next(self.encode_all([(text or "").encode()]))
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text; the new words of about ``GROUP_CHARS`` characters of texts are looked up together."""
+    def encode_all(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """The ids of each text (UTF-8); the new words of about ``GROUP_BYTES`` bytes of texts are looked up together."""
         begin = 0
         while begin < len(texts):
             end, size = begin, 0
-            while end < len(texts) and (end == begin or size + len(texts[end] or "") <= GROUP_CHARS):
-                size += len(texts[end] or "")
+            while end < len(texts) and (end == begin or size + len(texts[end] or b"") <= GROUP_BYTES):
+                size += len(texts[end] or b"")
                 end += 1
-            yield from self._encode_group(texts[begin:end])
+            yield from self._encode_group([t or b"" for t in texts[begin:end]])
             begin = end
 
-    def _encode_group(self, texts: list[str | None]) -> list[bytes]:
+    def _whole(self, text: bytes) -> bool:
+        return bool(self._special and (not self._common or self._common in text) and self._special.search(text))
+
+    def _encode_group(self, texts: list[bytes]) -> list[bytes]:
         if len(self._memo) > MEMO_WORDS // 2:
-            self._memo, self._old = {"": b""}, self._memo
-        words = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        ids = [list(map(self._memo.get, of)) for of in words]
-        new = [[i for i, known in enumerate(of) if known is None] for of in ids]
-        found = self._learn(list({of[i] for of, places in zip(words, new) for i in places}))
+            self._memo, self._old = {b"": b""}, self._memo
+        get = self._memo.get
+        words = [[] if self._whole(t) else (t.lower() if self._plain else t).replace(b"\n", b" ").split(b" ") for t in texts]
+        ids = [list(map(get, of)) for of in words]
+        new = [[i for i, known in enumerate(of) if known is None] if None in of else () for of in ids]
+        found = self._learn({of[i] for of, places in zip(words, new) for i in places})
         for of, known, places in zip(words, ids, new):
             for i in places:
                 known[i] = found[of[i]]
-        return [b"".join(known) for known in ids]
+        return [b"".join(known) if of else self._ids([text.decode()])[0] for of, known, text in zip(words, ids, texts)]
 
 
 @cache
