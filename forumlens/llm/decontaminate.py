@@ -28,7 +28,8 @@ from forumlens.llm.common import map_batches, record_batch, text_key
 from forumlens.session import stage
 
 WINDOW = 13
-SHARD_CHARS = 16 << 20
+#: An automaton takes about 100 bytes a character in every worker.
+SHARD_CHARS = 1 << 20
 
 _WORD_BYTE = bytes(b for b in range(256) if b >= 0x80 or chr(b).isalnum())
 _NORMAL = bytes((b | 0x20 if 0x41 <= b <= 0x5A else b) if b in _WORD_BYTE else 0x20 for b in range(256))

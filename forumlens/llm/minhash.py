@@ -10,7 +10,7 @@ it is later than the latest register.
 
 Registers are cut into bands; texts that agree in a band are candidates; at similarity 0.8 a pair shares no band with
 probability 6e-5. In a bucket every member is first paired with the smallest only; pairs are verified by their exact
-bag overlap and give first classes, so a bucket of copies costs as many pairs as members. Members of other classes are then
+bag overlap and give first classes, so a bucket of copies costs as many pairs as members. In crowded buckets members of other classes are then
 taken as centres in turn, until they join no more classes. Pairs of a bucket that are still
 in different classes are then examined too, so no candidate link between classes is lost. Before a pair leaves a join, its
 parity bitmaps must allow it: each element of a bag flips one bit, so the bits in which two bitmaps differ are no more than
@@ -39,8 +39,8 @@ from forumlens.session import stage
 
 SHINGLE_WORDS = 5
 BANDS, BAND_REGISTERS = 32, 6
-#: Turns in which new centres join no classes before the rest of a bucket is compared pair by pair.
-QUIET_ROUNDS = 2
+#: Members from which on a bucket is settled by more centres before the rest of it is compared pair by pair.
+CROWD = 64
 REGISTERS = BANDS * BAND_REGISTERS
 #: Similarity of 0.8 or more, as a fraction.
 LIKE, OF = 4, 5
@@ -207,16 +207,63 @@ def _possible_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, (F.col("b") == F.col("r")) & allowed).select("a", "b")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a written table that reach the similarity; ``rows`` are all documents with their texts."""
-    needed = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
-    where = nodes.select("content", F.col("first.doc_id").alias("d"), F.col("first.tie").alias("t")).join(needed, "content")
+def _bags_of(needed: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(content, bag) of the contents in ``needed``, written; ``rows`` are all documents with their texts."""
+    where = nodes.select("content", F.col("first.doc_id").alias("d"), F.col("first.tie").alias("t")).join(needed.distinct(), "content")
     texts = rows.join(where, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
-    bags = stage(map_batches(texts.select("content", "text"), _bags, "content binary, bag binary").dropDuplicates(["content"]))
+    return stage(map_batches(texts.select("content", "text"), _bags, "content binary, bag binary").dropDuplicates(["content"]))
+
+
+def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a written table that reach the similarity."""
     both = pairs.join(bags.toDF("a", "left_bag"), "a").join(bags.toDF("b", "right_bag"), "b")
     return map_batches(both.select("a", "b", "left_bag", "right_bag"), _verify, "a binary, b binary")
 
 
+def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a written table that reach the similarity, bags made anew."""
+    return _verified(pairs, _bags_of(pairs.select(F.col("a").alias("content")).union(pairs.select("b")), nodes, rows))
+
+
+def _root() -> Column:
+    return F.coalesce(F.col("root"), F.col("content"))
+
+
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, content, root) of members (band, content) by classes (node, root)."""
+    return members.join(found.withColumnRenamed("node", "content"), "content", "left").select("band", "content", _root().alias("root"))
+
+
+def _more_links(shared: DataFrame, links: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and classes (node, root) after crowded buckets have been settled by more centres.
+
+    In a turn a member of another class than before is the centre of each bucket of ``CROWD`` members or more and two classes or
+    more, and meets all members outside its class. Turns end when one of them joins no classes.
+    """
+    found = stage(components(links))
+    left, bags, turn = shared, None, 0
+    while True:
+        turn += 1
+        placed = stage(_placed(left, found))
+        mixed = placed.groupBy("band").agg(
+            F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"),
+            F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("order"), "content", "root")).alias("centre"))
+        mixed = stage(mixed.where((F.col("x") != F.col("y")) & (F.col("n") >= CROWD)).select(
+            "band", F.col("centre.content").alias("centre"), F.col("centre.root").alias("own")))
+        left = stage(placed.join(mixed, "band").select("band", "content", "root", "centre", "own"))
+        if not left.take(1):
+            return links, found
+        if bags is None:
+            bags = _bags_of(left.select("content"), nodes, rows)
+        ray = left.where(F.col("root") != F.col("own")).select(F.col("centre").alias("a"), F.col("content").alias("b"))
+        more = stage(_verified(stage(_possible_pairs(stage(ray.distinct()), nodes)), bags))
+        if not more.take(1):
+            return links, found
+        links = links.union(more)
+        found = stage(components(links))
+        left = left.select("band", "content")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, class_id, kept) of every row of documents (doc_id, text).
 
@@ -240,28 +287,11 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = stage(members.join(buckets, "band"))
     star = shared.select(F.col("low").alias("a"), F.col("content").alias("b")).where(F.col("a") != F.col("b")).distinct()
     links = stage(_links(stage(_possible_pairs(star, nodes)), nodes, rows))
-    # more centres, while they join classes: of one bucket, a member of another class each time meets all members outside its class
-    root = F.coalesce(F.col("root"), F.col("content"))
-    found, left, quiet, turn = components(links), shared, 0, 0
-    while quiet < QUIET_ROUNDS:
-        turn += 1
-        placed = stage(left.join(stage(found).withColumnRenamed("node", "content"), "content", "left").select("band", "content", root.alias("root")))
-        mixed = stage(placed.groupBy("band").agg(
-            F.min("root").alias("x"), F.max("root").alias("y"),
-            F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("order"), "content", "root")).alias("centre"))
-            .where(F.col("x") != F.col("y")).select("band", F.col("centre.content").alias("centre"), F.col("centre.root").alias("own")))
-        left = stage(placed.join(mixed, "band").select("band", "content", "root", "centre", "own"))
-        ray = left.where(F.col("root") != F.col("own")).select(F.col("centre").alias("a"), F.col("content").alias("b")).distinct()
-        more = stage(_links(stage(_possible_pairs(stage(ray), nodes)), nodes, rows))
-        quiet = 0 if more.take(1) else quiet + 1
-        if not quiet:
-            links = links.union(more)
-            found = components(links)
-        left = left.select("band", "content")
-        if not left.take(1):
-            break
+    links, found = _more_links(shared, links, nodes, rows)
     # what is left of a bucket: pairs of members in different classes
-    placed = left.join(stage(found).withColumnRenamed("node", "content"), "content", "left").select("band", "content", root.alias("root"))
+    placed = stage(_placed(shared, found))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y"))
+    placed = placed.join(stage(mixed.select("band").join(buckets, "band")), "band").where(F.col("content") != F.col("low"))
     inner = stage(placed.join(nodes.select("content", "size", "bitmap"), "content"))
     other = inner.toDF(*(f"{c}_2" for c in inner.columns))
     apart = ((F.col("band") == F.col("band_2")) & (F.col("content") < F.col("content_2")) & (F.col("root") != F.col("root_2"))
@@ -270,7 +300,7 @@ def classes(docs: DataFrame) -> DataFrame:
     more = stage(_links(rest, nodes, rows))
     found = stage(components(links.union(more)))
     named = stage(nodes.join(found.withColumnRenamed("node", "content"), "content", "left").select(
-        "content", "first", root.alias("root")))
+        "content", "first", _root().alias("root")))
     heads = stage(named.groupBy("root").agg(F.min("first").alias("head")))
     # a class whose ids are all null has no name
     named = stage(named.join(heads, "root").select(F.col("content"), "head"))

@@ -204,6 +204,23 @@ def test_classes_against_all_pairs(spark):
     assert all(r["kept"] == (r["class_id"] == i) for i, r in got.items())
 
 
+def test_crowded_buckets_are_settled_by_centres(spark, monkeypatch):
+    """A family whose smallest member is unlike most others: classes as before, and few pairs are left to compare one by one."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for at in rng.sample(range(120), 1 if i % 3 else 6):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    for crowd in (2, 1000):
+        monkeypatch.setattr(minhash, "CROWD", crowd)
+        got = {r["doc_id"]: r["class_id"] for r in minhash.classes(frame(spark, rows)).collect()}
+        assert got == brute_classes(rows)
+    assert 20 < len(set(got.values())) < 40  # the strongly changed ones are apart
+
+
 def test_one_of_each_class_stays(spark):
     rows = odd_rows()
     df = frame(spark, rows)
