@@ -7,7 +7,7 @@ the fragment it starts from and gets those it depends on. Parameters are taken f
 from __future__ import annotations
 
 from forumlens.functions.words import LEMMAS, STOP_WORDS
-from forumlens.operators import keywords, neighbours, relevance, similar_posts, tuning
+from forumlens.operators import keywords, neighbours, relevance, similar_posts, tuning, word_vectors
 from forumlens.plans import queries as q
 from forumlens.streaming import activity
 
@@ -24,6 +24,7 @@ _STOP = _list(STOP_WORDS)
 _LEMMA = "MAP {" + ", ".join(f"{_text(a)}: {_text(b)}" for a, b in LEMMAS.items()) + "}"
 _CLASSES = ", ".join(_text(c) for c in q.CLASSES)
 _LAST = _text(q.CLASSES[-1])
+_LANGUAGES = ", ".join(_text(c) for c in q.LANGUAGES)
 
 _NORMALIZE = rf"""
 list_filter(list_transform(list_transform(
@@ -531,8 +532,15 @@ def _statements() -> dict[str, str]:
         "stream_search": from_posts(f"SELECT {live} FROM {with_bodies} WHERE subreddit = 'src0' AND {live_keyword}"),
         "stream_keyed_set": """SELECT user_id, event_id, ts, event_type, value FROM events
             QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+        "languages_bayes_report": _from("per_class", report).replace(_CLASSES, _LANGUAGES),
+        "languages_bayes_auc": _from("curve", auc).replace(_CLASSES, _LANGUAGES),
         "nested_comment_stats": """SELECT conv_id AS id, count(*) AS n_comments, arg_min(text, turn) AS first_comment FROM conversations
             WHERE turn > 0 GROUP BY conv_id""",
+        "word_cooccurrences": _from("a_docs", f""", places AS MATERIALIZED (SELECT id, unnest(terms) AS word, generate_subscripts(terms, 1) AS place FROM a_docs),
+            used AS (SELECT word FROM places GROUP BY word HAVING count(*) >= {word_vectors.MIN_COUNT}),
+            beside AS (SELECT x.word AS a, y.word AS b FROM places x JOIN places y ON x.id = y.id AND y.place > x.place
+                AND y.place < x.place + {word_vectors.WINDOW} WHERE x.word IN (FROM used) AND y.word IN (FROM used))
+            SELECT word, context, CAST(count(*) AS BIGINT) AS n FROM (SELECT a AS word, b AS context FROM beside UNION ALL SELECT b, a FROM beside) GROUP BY ALL"""),
         "abstract_keywords": f"""WITH RECURSIVE items AS MATERIALIZED (SELECT item_id AS id, {_NORMALIZE} AS words
                 FROM (SELECT item_id, text AS title FROM benchmark)),
             places AS MATERIALIZED (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM items),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from forumlens.functions.text import normalized_words, terms, word_count
 from forumlens.operators import (bayes, clean, evaluate, ingest, keywords, neighbours, profile, projection, relevance,
-                                 similar_posts, similarity, split, spread, tfidf, topics, tuning)
+                                 similar_posts, similarity, softmax, split, spread, tfidf, topics, tuning, word_vectors)
 from forumlens.operators.tfidf import VocabularyRule
 from forumlens.plans import pipelines
 from forumlens.session import new_path, stage
@@ -24,8 +24,10 @@ TAG = "link_flair_text"
 EXCLUDED = "error"
 TAGS = ("click", "view")
 CLASSES = ("de", "fr")
+LANGUAGES = ("de", "en", "es", "fr")
 TARGET = 1
 KEYWORD = "que"
+WORD = "eau"  # the word that similar ones are asked for
 # Times between which posts are searched: the first minutes after the tables' first event.
 AFTER = 1704067800
 BEFORE = 1704099600
@@ -293,6 +295,28 @@ def recommend_vector_indexed(spark, sf):
     return neighbours.search(neighbours.build(vectors), vectors.where(F.col("id") % EVERY == 0))
 
 
+def _lower_words(spark, sf):
+    return stage(fixtures.posts(spark, sf).select("id", terms(normalized_words(F.col("title")), lowercase=True).alias("words")))
+
+
+def word_cooccurrences(spark, sf):
+    """How often two words stand near each other in posts."""
+    return word_vectors.cooccurrences(_lower_words(spark, sf))
+
+
+def similar_words(spark, sf):
+    """The words whose learnt vectors are most similar to that of one word."""
+    learnt = word_vectors.learn(_lower_words(spark, sf))
+    return similarity.recommend_by_vector(learnt.vectors.withColumnRenamed("word", "id"), WORD)
+
+
+def recommend_learnt_vector_top5(spark, sf):
+    """The five posts whose mean learnt word vectors are most similar to that of one post."""
+    docs = _lower_words(spark, sf)
+    means = stage(similarity.document_vectors(docs, stage(word_vectors.learn(docs).vectors)).where(F.col("vector").isNotNull()))
+    return _attached(spark, sf, similarity.recommend_by_vector(means, TARGET))
+
+
 def _all_weights(spark, sf):
     """All posts, copies too, with staged unit weights and vocabulary."""
     posts = fixtures.posts(spark, sf).select("id", terms(normalized_words(F.col("title")), lowercase=True).alias("terms"))
@@ -453,6 +477,36 @@ def _tuned(spark, sf):
     return train, test, tuning.best_choice(tuning.grid_search(folds, alphas), alphas)
 
 
+def _languages(spark, sf):
+    """Training and test posts of the four languages, and the two models' predictions and probabilities of the test posts."""
+    return pipelines.train_and_test(pipelines.labelled_corpus(fixtures.posts(spark, sf), "lang", LANGUAGES))
+
+
+def languages_bayes_report(spark, sf):
+    """Naive Bayes of four classes on the test posts."""
+    train, test = _languages(spark, sf)
+    model = bayes.fit(train)
+    predicted = test.select("id", "label").join(bayes.predict(test, model), "id")
+    return _rounded(evaluate.classification_report(predicted, model.classes), "precision", "recall", "f1")
+
+
+def languages_bayes_auc(spark, sf):
+    """Area under the curve of each of four classes against the rest."""
+    train, test = _languages(spark, sf)
+    probabilities = bayes.predict_proba(test, bayes.fit(train))
+    return _rounded(evaluate.roc_auc(evaluate.score_counts(probabilities, test, "odds"), by="odds"), "auc")
+
+
+def languages_softmax_report(spark, sf):
+    """Softmax regression of four classes on the test posts, from the stored model."""
+    train, test = _languages(spark, sf)
+    path = new_path(spark, "model")
+    softmax.fit(train, VocabularyRule(min_df=3, max_features=2000), steps=12, tolerance=1e-3).save(path)
+    model = bayes.NaiveBayesModel.load(spark, path)
+    predicted = test.select("id", "label").join(bayes.predict(test, model), "id")
+    return _rounded(evaluate.classification_report(predicted, model.classes), "precision", "recall", "f1")
+
+
 def train_final(spark, sf):
     """The model of the best parameters: its terms, words' and class weights."""
     train, _, best = _tuned(spark, sf)
@@ -622,7 +676,7 @@ _ALL: tuple[Query, ...] = (
     stream_search, stream_insert_if_absent, stream_scores,
     recommend_vector_indexed, similar_post_classes, relevance_to_abstracts, spread_between_channels,
     activity_closed, activity_current, stream_keyed_set, search_stored_posts, posts_on_busy_days, abstract_keywords,
-    nested_comment_stats,
+    nested_comment_stats, languages_bayes_report, languages_bayes_auc, languages_softmax_report, word_cooccurrences, similar_words, recommend_learnt_vector_top5,
 )
 
 

@@ -1,0 +1,104 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from forumlens.operators import bayes, evaluate, softmax, tfidf
+from forumlens.session import stage
+from tests.helpers import auc, random_docs
+from tests.helpers import tfidf as plain_tfidf
+
+
+@pytest.fixture(scope="module")
+def train(spark):
+    rng = np.random.default_rng(1)
+    docs = {i: list(t) for i, t in random_docs(6, 150, vocabulary=30, longest=15).items()}
+    rows = [(i, "wxyz"[int(rng.integers(4))] if i % 9 else None, [str(t) for t in terms]) for i, terms in docs.items()]
+    rows = [(i, label, terms + [f"of{label}"] * int(rng.integers(0, 3))) for i, label, terms in rows] + [(900, "w", []), (901, None, ["w"])]
+    return rows, stage(spark.createDataFrame(rows, "id long, label string, terms array<string>"))
+
+
+def matrix(rows):
+    weights, idf = plain_tfidf({i: terms for i, label, terms in rows if label is not None})
+    names = sorted(idf)
+    labelled = [(i, label) for i, label, _ in rows if label is not None]
+    x = np.array([[weights[i].get(t, 0.0) for t in names] for i, _ in labelled])
+    y = np.array(["wxyz".index(label) for _, label in labelled])
+    return names, x, y
+
+
+def loss(x, y, b, b0, penalty):
+    s = x @ b + b0
+    top = s.max(axis=1, keepdims=True)
+    return float((np.log(np.exp(s - top).sum(axis=1)) + top[:, 0] - s[range(len(y)), y]).sum() + penalty / 2 * (b * b).sum())
+
+
+def test_gradient_equals_numpy(spark, train):
+    rows, df = train
+    names, x, y = matrix(rows)
+    rng = np.random.default_rng(2)
+    b, b0 = rng.normal(size=(len(names), 4)), rng.normal(size=4)
+    known = df.where("label is not null")
+    postings = tfidf.term_counts(known)
+    weights = stage(tfidf.weights(postings, stage(tfidf.fit_vocabulary(postings, tfidf.corpus_size(known)))))
+    ids = [i for i, label, _ in rows if label is not None]
+    scored = spark.createDataFrame([(i, int(k), s.tolist()) for i, k, s in zip(ids, y, x @ b + b0)], "id long, own int, scores array<double>")
+    coefficients = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, b)], "term string, b array<double>")
+    got = {r.term: r.g for r in softmax.gradient(weights, softmax.residuals(scored), coefficients, 0.3).collect()}
+    s = x @ b + b0
+    p = np.exp(s - s.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[range(len(y)), y] -= 1
+    want = x.T @ p + 0.3 * b
+    assert max(abs(np.array(got[n]) - want[k]).max() for k, n in enumerate(names)) < 1e-9
+
+
+def descend(x, y, penalty):
+    """The least loss, by plain gradient descent with halved steps."""
+    b, b0, step = np.zeros((x.shape[1], 4)), np.zeros(4), 1.0
+    now = loss(x, y, b, b0, penalty)
+    for _ in range(4000):
+        s = x @ b + b0
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[range(len(y)), y] -= 1
+        g, g0 = x.T @ p + penalty * b, p.sum(axis=0)
+        new = loss(x, y, b - step * g, b0 - step * g0, penalty)
+        if new < now:
+            b, b0, now, step = b - step * g, b0 - step * g0, new, step * 1.1
+        else:
+            step /= 2
+    return now
+
+
+def test_the_loss_is_nearly_least(spark, train):
+    rows, df = train
+    names, x, y = matrix(rows)
+    model = softmax.fit(df, penalty=0.5, steps=40, tolerance=1e-6)
+    found = {r.term: r.logp for r in model.terms.collect()}
+    b = np.array([found[n] for n in names])
+    got, least = loss(x, y, b, np.array(model.priors), 0.5), descend(x, y, 0.5)
+    assert got <= least * 1.001 and model.classes == list("wxyz")
+
+
+def test_probabilities_report_and_areas(spark, train, tmp_path):
+    rows, df = train
+    softmax.fit(df, steps=5).save(str(tmp_path / "model"))
+    model = bayes.NaiveBayesModel.load(spark, str(tmp_path / "model"))
+    known = df.where("label is not null")
+    probabilities = bayes.predict_proba(known, model)
+    sums = probabilities.groupBy("id").agg(F.sum("proba").alias("p")).collect()
+    assert all(abs(r.p - 1) < 1e-9 for r in sums)
+    areas = {r["class"]: r.auc for r in evaluate.roc_auc(evaluate.score_counts(probabilities, known, "odds"), by="odds").collect()}
+    odds = {(r.id, r["class"]): r.odds for r in probabilities.collect()}
+    labels = {i: label for i, label, _ in rows if label is not None}
+    for c in "wxyz":
+        want = auc([odds[i, c] for i in labels if labels[i] == c], [odds[i, c] for i in labels if labels[i] != c])
+        assert abs(areas[c] - want) < 1e-9 and want > 0.6
+    report = evaluate.classification_report(bayes.predict(known, model).join(known.select("id", "label"), "id"), model.classes).collect()
+    assert len(report) == 6
+
+
+def test_one_class_or_none(spark, train):
+    _, df = train
+    assert softmax.fit(df.where("label = 'w'")).classes == ["w"]
+    assert softmax.fit(df.where("false")).classes == []
