@@ -11,7 +11,7 @@ it is later than the latest register.
 Registers are cut into bands; texts that agree in a band are candidates; at similarity 0.8 a pair shares no band with
 probability 6e-5. In a bucket every member is first paired with the smallest only; pairs are verified by their exact
 bag overlap and give first classes, so a bucket of copies costs as many pairs as members. In crowded buckets members of other classes are then
-taken as centres in turn, until they join no more classes. Pairs of a bucket that are still
+taken as centres in two more turns. Pairs of a bucket that are still
 in different classes are then examined too, so no candidate link between classes is lost. Before a pair leaves a join, its
 parity bitmaps must allow it: each element of a bag flips one bit, so the bits in which two bitmaps differ are no more than
 the elements in which the bags differ; at similarity 0.8 these are a ninth of both sizes. The bitmap has four to eight
@@ -41,6 +41,7 @@ SHINGLE_WORDS = 5
 BANDS, BAND_REGISTERS = 32, 6
 #: Members from which on a bucket is settled by more centres before the rest of it is compared pair by pair.
 CROWD = 64
+TURNS = 2
 REGISTERS = BANDS * BAND_REGISTERS
 #: Similarity of 0.8 or more, as a fraction.
 LIKE, OF = 4, 5
@@ -234,34 +235,39 @@ def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found.withColumnRenamed("node", "content"), "content", "left").select("band", "content", _root().alias("root"))
 
 
-def _more_links(shared: DataFrame, links: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and classes (node, root) after crowded buckets have been settled by more centres.
+def _stepped(placed: DataFrame, step: DataFrame) -> DataFrame:
+    """Members with the roots (hi) of ``step`` replaced by smaller ones (lo)."""
+    moved = placed.join(step, F.col("root") == F.col("hi"), "left")
+    return moved.select("band", "content", F.coalesce("lo", "root").alias("root"))
+
+
+def _settled(shared: DataFrame, links: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, members with their classes) after ``TURNS`` turns in which crowded buckets get more centres.
 
     In a turn a member of another class than before is the centre of each bucket of ``CROWD`` members or more and two classes or
-    more, and meets all members outside its class. Turns end when one of them joins no classes.
+    more, and meets all members outside its class. Classes joined by the new links are renamed one step further each turn.
     """
-    found = stage(components(links))
-    left, bags, turn = shared, None, 0
-    while True:
-        turn += 1
-        placed = stage(_placed(left, found))
-        mixed = placed.groupBy("band").agg(
+    every = stage(_placed(shared.select("band", "content"), stage(components(links))))
+    left, bags = every, None
+    for turn in range(1, TURNS + 1):
+        mixed = left.groupBy("band").agg(
             F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"),
             F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("order"), "content", "root")).alias("centre"))
         mixed = stage(mixed.where((F.col("x") != F.col("y")) & (F.col("n") >= CROWD)).select(
             "band", F.col("centre.content").alias("centre"), F.col("centre.root").alias("own")))
-        left = stage(placed.join(mixed, "band").select("band", "content", "root", "centre", "own"))
+        left = stage(left.join(mixed, "band").select("band", "content", "root", "centre", "own"))
         if not left.take(1):
-            return links, found
+            break
         if bags is None:
             bags = _bags_of(left.select("content"), nodes, rows)
         ray = left.where(F.col("root") != F.col("own")).select(F.col("centre").alias("a"), F.col("content").alias("b"))
-        more = stage(_verified(stage(_possible_pairs(stage(ray.distinct()), nodes)), bags))
-        if not more.take(1):
-            return links, found
+        more = stage(_verified(stage(ray.distinct()), bags))
         links = links.union(more)
-        found = stage(components(links))
-        left = left.select("band", "content")
+        named = stage(left.select("content", "root").distinct())
+        ends = more.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").where(F.col("x") != F.col("y"))
+        step = stage(ends.groupBy(F.greatest("x", "y").alias("hi")).agg(F.min(F.least("x", "y")).alias("lo")))
+        left, every = stage(_stepped(left, step)), stage(_stepped(every, step))
+    return links, every
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -287,11 +293,10 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = stage(members.join(buckets, "band"))
     star = shared.select(F.col("low").alias("a"), F.col("content").alias("b")).where(F.col("a") != F.col("b")).distinct()
     links = stage(_links(stage(_possible_pairs(star, nodes)), nodes, rows))
-    links, found = _more_links(shared, links, nodes, rows)
+    links, placed = _settled(shared, links, nodes, rows)
     # what is left of a bucket: pairs of members in different classes
-    placed = stage(_placed(shared, found))
     mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y"))
-    placed = placed.join(stage(mixed.select("band").join(buckets, "band")), "band").where(F.col("content") != F.col("low"))
+    placed = placed.join(stage(mixed.select("band").join(buckets, "band")), "band").where(F.col("content") != F.col("low")).drop("low")
     inner = stage(placed.join(nodes.select("content", "size", "bitmap"), "content"))
     other = inner.toDF(*(f"{c}_2" for c in inner.columns))
     apart = ((F.col("band") == F.col("band_2")) & (F.col("content") < F.col("content_2")) & (F.col("root") != F.col("root_2"))
