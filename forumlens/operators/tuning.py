@@ -4,6 +4,9 @@ Folds and parameter choices run side by side in one set of jobs, each in columns
 Vocabulary and idf of a fold come from its training rows only, obtained as totals minus the
 fold's own counts, so postings are counted once however many folds there are. Choices that
 lead to the same vocabulary are fitted once.
+
+Where all vocabularies together are small (``LOCAL_TERMS`` terms), posts keep their known terms as one array of numbers, and
+lengths and scores are sums over this array with the models as arrays beside it: the fit alone is summed by term, and nothing is dealt by post.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ MEASURES = ("accuracy", "roc_auc")
 # Sums carried side by side in one pass over the postings.
 MAX_SUMS = 48
 
+# Terms of all vocabularies together up to which they are sent to all tasks; the results do not depend on it.
+LOCAL_TERMS = 20_000
+
 # First letters by which equally frequent terms are counted before they are ranked.
 TIE_LETTERS = 3
 
@@ -167,10 +173,83 @@ def _scored_counts(docs: DataFrame, postings: DataFrame, models: DataFrame, fitt
     """Posts per (model, fold, part, alpha, label, prediction), and per log-odds of the last class if these are wanted."""
     per_pass = max(1, MAX_SUMS // (len(classes) * len(alphas)))
     passes = [fitted[i:i + per_pass] for i in range(0, len(fitted), per_pass)]
-    counted = [_one_pass(docs, postings, models, p, classes, alphas, n_folds, by_odds) for p in passes]
+    used = stage(models.select("term").distinct())
+    if used.count() <= LOCAL_TERMS:
+        numbers = stage(used.withColumn("ix", F.row_number().over(Window.orderBy("term")) - 1))
+        posts = stage(_numbered_posts(docs, postings, numbers, classes))
+        counted = [_local_pass(docs, posts, numbers, models, p, classes, alphas, n_folds, by_odds) for p in passes]
+    else:
+        counted = [_one_pass(docs, postings, models, p, classes, alphas, n_folds, by_odds) for p in passes]
     return reduce(DataFrame.unionByName, counted)
 
 
+def _numbered_posts(docs: DataFrame, postings: DataFrame, numbers: DataFrame, classes: list) -> DataFrame:
+    """(label, cls, own, terms) of every post: its known terms as an array of (ix, tf); ``numbers`` is small."""
+    known = postings.join(F.broadcast(numbers), "term").groupBy("id").agg(F.collect_list(F.struct("ix", "tf")).alias("terms"))
+    position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int") - 1
+    return docs.select("id", "label", position.alias("cls"), F.col("fold").alias("own")).join(known, "id", "left").select(
+        "label", "cls", "own", F.coalesce("terms", F.array().cast("array<struct<ix: int, tf: bigint>>")).alias("terms"))
+
+
+def _arrays(rows: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Each column by ``ix`` as an array literal, NaN where it is NULL; at most ``LOCAL_TERMS`` rows come to the driver."""
+    found = rows.orderBy("ix").select(*columns).collect()
+    return {c: F.split(F.lit(",".join("NaN" if r[c] is None else repr(r[c]) for r in found)), ",").cast("array<double>") for c in columns}
+
+
+def _local_pass(docs: DataFrame, posts: DataFrame, numbers: DataFrame, models: DataFrame, slots: list[tuple[int, int]],
+                classes: list, alphas: list[float], n_folds: int, by_odds: bool) -> DataFrame:
+    """As ``_one_pass``, over posts with their terms as arrays."""
+    slot, cls = range(len(slots)), range(len(classes))
+    fold_of = [fold for _, fold in slots]
+    is_slot = [f"(model = {m} AND fold = {f})" for m, f in slots]
+    wide = models.where(" OR ".join(is_slot)).groupBy("term").agg(*_exprs(
+        f"max(IF({is_slot[k]}, idf, NULL)) AS idf{k}" for k in slot))
+    placed = stage(numbers.join(wide, "term", "left"))
+    idf = _arrays(placed, [f"idf{k}" for k in slot])
+
+    def x(term: Column, k: int) -> Column:
+        return term["tf"] * F.get(idf[f"idf{k}"], term["ix"])
+
+    def summed(k: int, value) -> Column:
+        return F.aggregate("terms", F.lit(0.0), lambda total, t: total + F.nanvl(value(t, k), F.lit(0.0)))
+
+    lengths = [F.sqrt(summed(k, lambda t, k: x(t, k) * x(t, k))).alias(f"len{k}") for k in slot]
+    measured = stage(posts.select("*", *lengths))
+
+    # fit: weights of the training rows per class and term
+    each = measured.select("cls", "own", *(f"len{k}" for k in slot), F.explode("terms").alias("t"))
+    weighted = each.select("cls", "own", F.col("t.ix").alias("ix"), *((x(F.col("t"), k) / F.when(F.col(f"len{k}") > 0, F.col(f"len{k}"))).alias(f"u{k}") for k in slot))
+    of_own = "IF(cls = {i} AND own <> {f} AND NOT isnan(u{k}), u{k}, 0D)"
+    sums = weighted.groupBy("ix").agg(*_exprs(
+        f"sum({of_own.format(i=i, f=fold_of[k], k=k)}) AS w{k}_{i}" for k in slot for i in cls))
+    known = stage(placed.join(sums, "ix").select("ix", *(F.when(F.col(f"idf{k}").isNotNull(), F.coalesce(f"w{k}_{i}", F.lit(0.0))).alias(f"w{k}_{i}")
+                                                         for k in slot for i in cls)))
+    totals = known.agg(*_exprs(f"sum(w{k}_{i}) AS w{k}_{i}" for k in slot for i in cls),
+                       *_exprs(f"count(w{k}_0) AS in{k}" for k in slot)).first()
+    names = [f"p{k}_{i}_{j}" for k in slot for i in cls for j in range(len(alphas))]
+    logps = known.selectExpr("ix", *[
+        f"ln((w{k}_{i} + {_number(a)}) / {_number((totals[f'w{k}_{i}'] or 0.0) + a * totals[f'in{k}'] or 1.0)}) AS p{k}_{i}_{j}"
+        for k in slot for i in cls for j, a in enumerate(alphas)])
+    model = _arrays(stage(numbers.select("ix").join(logps, "ix", "left")), names)
+
+    # score: a post without a term of a model keeps the prior
+    priors = _fold_priors(docs, classes, n_folds)
+
+    def score(k: int, i: int, j: int) -> Column:
+        total = F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.nanvl(
+            x(t, k) * F.get(model[f"p{k}_{i}_{j}"], t["ix"]), F.lit(0.0)))
+        return F.coalesce(total / F.when(F.col(f"len{k}") > 0, F.col(f"len{k}")), F.lit(0.0)) + F.lit(priors[fold_of[k]][i])
+
+    rows = F.array(*(F.struct(F.lit(slots[k][0]).alias("model"), F.lit(fold_of[k]).alias("fold"), F.lit(float(alphas[j])).alias("alpha"),
+                              F.array(*(score(k, i, j) for i in cls)).alias("scores")) for k in slot for j in range(len(alphas))))
+    scored = measured.select("own", "label", F.inline(rows))
+    part = F.when(F.col("own") == F.col("fold"), "valid").otherwise("train")
+    return _predictions(scored.withColumn("part", part), classes).groupBy(
+        "model", "fold", "part", "alpha", "label", "prediction", *(["odds"] if by_odds else [])).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def _one_pass(docs: DataFrame, postings: DataFrame, models: DataFrame, slots: list[tuple[int, int]],
               classes: list, alphas: list[float], n_folds: int, by_odds: bool) -> DataFrame:
     """Fit and score some (model, fold) pairs side by side: each has its own columns, so the

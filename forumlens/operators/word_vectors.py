@@ -20,9 +20,9 @@ from forumlens.session import stage
 
 WINDOW = 4
 MIN_COUNT = 5
-DIMENSIONS = 16
-ROUNDS = 60
-TOLERANCE = 1e-7
+DIMENSIONS = 8
+ROUNDS = 8
+TOLERANCE = 1e-3
 
 
 def cooccurrences(docs: DataFrame, words: str = "words", window: int = WINDOW, min_count: int = MIN_COUNT) -> DataFrame:

@@ -193,7 +193,9 @@ CHOICES = [Choice(), Choice(VocabularyRule(min_df=2)), Choice(VocabularyRule(max
            Choice(VocabularyRule(max_features=5), 0.5), Choice(VocabularyRule(max_df=3, max_features=2), 0.1)]
 
 
-def test_cross_validation_matches_separate_fits(spark, monkeypatch):
+@pytest.mark.parametrize("local", [20_000, 0])
+def test_cross_validation_matches_separate_fits(spark, monkeypatch, local):
+    monkeypatch.setattr(tuning, "LOCAL_TERMS", local)  # posts as arrays, or postings
     data = labelled()
     folds = {i: k % 3 for k, i in enumerate(data)}
     monkeypatch.setattr(tuning, "MAX_SUMS", 20)  # several passes
