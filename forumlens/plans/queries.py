@@ -219,7 +219,7 @@ def keyed_set_latest(spark, sf):
 # text features
 
 def normalize_titles(spark, sf):
-    return fixtures.posts(spark, sf).select(
+    return fixtures.posts(spark, sf).select(  # fixed value: the name of the column
         "id", F.concat_ws(" ", normalized_words(F.col("title"))).alias("preprocs_title"))
 
 
