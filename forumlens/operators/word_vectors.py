@@ -2,7 +2,7 @@
 
 Words within ``WINDOW`` places of each other are counted, counts become positive pointwise mutual information, and the symmetric
 matrix of these is factorised: its leading eigenvectors, each times the root of its eigenvalue's size, are the coordinates. The block of directions is multiplied by
-the matrix in one join and one aggregation a round; a word's row of directions is one vector column that shrinks inside the tasks, and only
+the matrix in one join and one aggregation a round; sums of directions are plain numbers, which shrink inside the tasks, and only
 inner products of directions reach the driver. Rounds end when the leading eigenvalues stand still; what they still moved by is reported.
 """
 
@@ -11,8 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +26,25 @@ TOLERANCE = 1e-3
 def cooccurrences(docs: DataFrame, words: str = "words", window: int = WINDOW, min_count: int = MIN_COUNT) -> DataFrame:
     """(word, context, n): how often two words, each used ``min_count`` times or more, stand less than ``window`` places apart, both ways.
 
-    Pairs are made inside the row of a post and summed before the shuffle. Rarer words keep their places but get no vector.
+    Pairs are made inside the row of a post, from the words and the words so many places on, and summed before the shuffle under the smaller word
+    first; a pair is written both ways only where both words are kept. Rarer words keep their places but get no vector.
     """
-    pairs = F.flatten(F.transform(words, lambda w, i: F.transform(
-        F.slice(words, i + 2, F.lit(window - 1)), lambda c: F.struct(w.alias("a"), c.alias("b")))))
-    each = docs.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
-    both = each.union(each.select("b", "a", "n")).toDF("word", "context", "n").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    def at(places: int) -> Column:
+        further = F.slice(words, places + 1, F.size(words))
+        return F.zip_with(words, further, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(
+            F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))))
+
     used = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
     frequent = stage(used.where(F.col("uses") >= min_count).select("word"))
-    return both.join(frequent, "word", "left_semi").join(frequent.withColumnRenamed("word", "context"), "context", "left_semi")
+    if window < 2:
+        return frequent.limit(0).select("word", F.col("word").alias("context"), F.lit(0).cast("bigint").alias("n"))
+    near = docs.select(F.explode(F.concat(*(at(places) for places in range(1, window)))).alias("p"))
+    each = near.where(F.col("p").isNotNull()).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    kept = each.join(frequent.toDF("a"), "a", "left_semi").join(frequent.toDF("b"), "b", "left_semi")
+    same = F.col("a") == F.col("b")
+    ways = F.when(same, F.array(F.struct("a", "b", (2 * F.col("n")).alias("n")))).otherwise(
+        F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n")))
+    return kept.select(F.inline(ways)).toDF("word", "context", "n")
 
 
 def mutual_information(counts: DataFrame) -> DataFrame:
@@ -88,8 +96,9 @@ def factorise(information: DataFrame, dimensions: int = DIMENSIONS, rounds: int
     before, moved, made = None, float("inf"), 0
     while True:
         made += 1
-        sums = information.join(current.toDF("context", "v"), "context").groupBy("word").agg(
-            vector_to_array(Summarizer.sum(array_to_vector("v"), F.col("x"))).alias("a"))
+        met = information.join(current.toDF("context", "v"), "context").groupBy("word").agg(
+            *(F.sum(F.get("v", F.lit(j)) * F.col("x")).alias(f"a{j}") for j in range(dimensions)))
+        sums = met.select("word", F.array(*(f"a{j}" for j in range(dimensions))).alias("a"))
         both = stage(current.join(sums, "word"))
         values, rotation = np.linalg.eigh((lambda m: (m + m.T) / 2)(_products(both, "v", "a", dimensions)))
         order = np.argsort(-abs(values), kind="stable")

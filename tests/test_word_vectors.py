@@ -86,3 +86,12 @@ def test_words_in_the_same_company_are_similar(spark, docs):
 
 def test_no_posts(spark, docs):
     assert word_vectors.learn(docs.where("false"), dimensions=2).vectors.collect() == []
+
+
+def test_pairs_are_made_once_and_null_words_make_none(spark, docs):
+    plan = word_vectors.cooccurrences(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(") == 1
+    odd = stage(spark.createDataFrame([(1, ["a", None, "b", "a", "a"]), (2, ["b"])], "id long, words array<string>"))
+    got = {(r.word, r.context): r.n for r in word_vectors.cooccurrences(odd, window=3, min_count=1).collect()}
+    assert got == {("a", "b"): 3, ("b", "a"): 3, ("a", "a"): 2}
+    assert word_vectors.cooccurrences(odd, window=1, min_count=1).collect() == []
