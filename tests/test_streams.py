@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forumlens.operators import bayes
-from forumlens.sources import tables
+from forumlens.sources import fixtures, tables
 from forumlens.sources.schema import SEARCH_RESULT
 from forumlens.sources.search import SearchSpec, live_view, matching_posts
 from forumlens.streaming import activity, feed
@@ -126,3 +126,16 @@ def test_current_windows_hold_open_ones_and_late_posts(spark, tmp_path):
     assert windows(batch) == windows(table)
     best = activity.most_active(table, F.timestamp_seconds(F.lit(1651500000 + 4000)))
     assert [r.tag for r in best.collect()] == ["art", "science"]
+
+
+def test_documents_in_a_folder_of_files_arrive_too(spark, tmp_path):
+    sf = str(tmp_path / "tables")
+    numbers = spark.range(12)
+    numbers.select(F.col("id").alias("doc_id"), F.lit("eau que").alias("text"), F.lit("fr").alias("lang"), F.lit("src0").alias("source"),
+                   F.lit(7).cast("long").alias("n_chars")).repartition(3).write.parquet(f"{sf}/documents.parquet")
+    numbers.select(F.col("id").alias("event_id"), F.lit("2024-01-01 10:00:00").cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"),
+                   F.lit("view").alias("event_type"), F.lit(1.5).alias("value"), F.lit('{"k": 3}').alias("props")).write.parquet(f"{sf}/events.parquet")
+    numbers.limit(4).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{sf}/labels.parquet")
+    out = str(tmp_path / "out")
+    feed.write_feed(fixtures.posts_stream(spark, sf).select("id"), out, str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted(r.id for r in spark.read.schema("id long").parquet(out).collect()) == list(range(12))
