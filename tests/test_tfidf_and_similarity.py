@@ -98,6 +98,34 @@ def test_document_vectors(spark):
     assert got[1] == pytest.approx([1 / 3, 2.0]) and got[2] is None and got[3] is None
 
 
+def test_mean_vectors_in_blocks_move_no_vector_per_word(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_POSTS", 7)
+    texts = helpers.random_docs(5, 60)
+    rows = [(i, [str(t) for t in terms]) for i, terms in texts.items()] + [(3, ["wab", "none"]), (None, ["waa"]), (99, None)]
+    vectors = {f"wa{c}": [float(k), 1.0 / (k + 1)] for k, c in enumerate("abcdefghij")}
+    known = spark.createDataFrame([*vectors.items(), ("wak", None)], "word string, vector array<double>")
+    found = similarity.document_vectors(spark.createDataFrame(rows, "id long, words array<string>"), known)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "ObjectHashAggregate" not in plan
+    expected = {}
+    for i, words in rows:
+        expected.setdefault(i, []).extend(vectors[w] for w in words or [] if w in vectors)
+    got = found.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["id"] is None or not expected[r["id"]]:
+            assert r["vector"] is None
+        else:
+            assert r["vector"] == pytest.approx([sum(x) / len(x) for x in zip(*expected[r["id"]])])
+
+
+def test_means_are_plain_sums(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 0.5]), ("a", None), ("b", [4.0, 4.0])], "word string, v array<float>")
+    means = similarity.mean_by(rows, "word", "v", 2)
+    assert "ObjectHashAggregate" not in means._jdf.queryExecution().executedPlan().toString()
+    assert helpers.rows(means) == [("a", [2.0, 1.25]), ("b", [4.0, 4.0])]
+
+
 def test_hot_terms_are_split_in_a_merge_join(spark):
     """Without a broadcast, adaptive execution splits the partition of a term that every post has."""
     settings = {
