@@ -4,7 +4,7 @@ A linear model of the same form as naive Bayes (a table of terms with one number
 predictions, probabilities, reports and areas of one class against the rest come from the same code. The regularised loss is
 minimised by conjugate gradients over tables: a step joins the weights to the residuals of the posts and sums by term for the gradient, joins them to
 the direction and sums by post for how scores move, and finds the length of the step by one aggregation that has the loss of all lengths in a
-grid as columns. Vectors of classes are columns that shrink inside the tasks; sums of a few numbers reach the driver.
+grid as columns. Sums per class are plain columns that shrink inside the tasks; sums of a few numbers reach the driver.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,17 +46,25 @@ def residuals(scored: DataFrame) -> DataFrame:
     return scored.select("id", F.transform("scores", lambda s, k: F.exp(s - total) - F.when(k == F.col("own"), 1.0).otherwise(0.0)).alias("r"))
 
 
-def gradient(unit_weights: DataFrame, of_posts: DataFrame, coefficients: DataFrame, penalty: float) -> DataFrame:
-    """(term, g): the gradient of the loss by the coefficients (term, b), from residuals (id, r) and weights (id, term, w)."""
-    sums = unit_weights.join(of_posts, "id").groupBy("term").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("r"), F.col("w"))).alias("s"))
+def _summed(rows: DataFrame, by: str, column: str, name: str, n: int) -> DataFrame:
+    """(by, name): the arrays ``column`` of length ``n`` times the weights ``w``, summed; sums are plain numbers, so rows are not sorted for them."""
+    sums = rows.groupBy(by).agg(*(F.sum(F.get(column, F.lit(k)) * F.col("w")).alias(f"_s{k}") for k in range(n)))
+    return sums.select(by, F.array(*(f"_s{k}" for k in range(n))).alias(name))
+
+
+def gradient(unit_weights: DataFrame, of_posts: DataFrame, coefficients: DataFrame, penalty: float, n: int | None = None) -> DataFrame:
+    """(term, g): the gradient of the loss by the coefficients (term, b), from residuals (id, r) and weights (id, term, w).
+
+    ``n`` is the number of classes, looked up if it is not given.
+    """
+    n = (of_posts.agg(F.max(F.size("r"))).first()[0] or 0) if n is None else n
+    sums = _summed(unit_weights.join(of_posts, "id"), "term", "r", "s", n)
     return coefficients.join(sums, "term").select("term", _plus(F.col("s"), F.col("b"), penalty).alias("g"))
 
 
 def _moves(unit_weights: DataFrame, direction: DataFrame, scored: DataFrame, shift: np.ndarray) -> DataFrame:
     """``scored`` with the change of scores per unit of a step (``move``)."""
-    sums = unit_weights.join(direction, "term").groupBy("id").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("d"), F.col("w"))).alias("m"))
+    sums = _summed(unit_weights.join(direction, "term"), "id", "d", "m", len(shift))
     by_all = F.array(*(F.lit(float(x)) for x in shift))
     return scored.join(sums, "id", "left").select("id", "own", "scores", _plus(F.coalesce("m", _zeros(len(shift))), by_all).alias("move"))
 
@@ -93,7 +99,7 @@ def fit(docs: DataFrame, rule: VocabularyRule = VocabularyRule(), penalty: float
     shift, old_shift, old_square, last, loss = np.zeros(n), np.zeros(n), 0.0, 1.0, None
     for _ in range(steps):
         found = stage(state.withColumnRenamed("g", "before").join(gradient(
-            unit_weights, stage(residuals(scored)), state.select("term", "b"), penalty), "term"))
+            unit_weights, stage(residuals(scored)), state.select("term", "b"), penalty, n), "term"))
         by_all = np.array(residuals(scored).agg(*(F.sum(F.get("r", F.lit(k))).alias(f"r{k}") for k in range(n))).first(), float)
         sums = found.agg(*(F.coalesce(F.sum(_dot(F.col(a), F.col(b))), F.lit(0.0)).alias(a + b) for a, b in
                            (("g", "g"), ("g", "before"), ("b", "b")))).first()

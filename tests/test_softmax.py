@@ -102,3 +102,10 @@ def test_one_class_or_none(spark, train):
     _, df = train
     assert softmax.fit(df.where("label = 'w'")).classes == ["w"]
     assert softmax.fit(df.where("false")).classes == []
+
+
+def test_sums_sort_no_rows(spark):
+    rows = spark.createDataFrame([("a", 0.5, [1.0, 2.0]), ("a", 2.0, [3.0, -1.0]), ("b", 1.0, [0.0, 4.0])], "term string, w double, r array<double>")
+    summed = softmax._summed(rows, "term", "r", "s", 2)
+    assert "ObjectHashAggregate" not in summed._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, summed.collect())) == [("a", [6.5, -1.0]), ("b", [0.0, 4.0])]
