@@ -2,7 +2,7 @@
 
 Words within ``WINDOW`` places of each other are counted, counts become positive pointwise mutual information, and the symmetric
 matrix of these is factorised: its leading eigenvectors, each times the root of its eigenvalue's size, are the coordinates. The block of directions is multiplied by
-the matrix in one join and one aggregation a round; sums of directions are plain numbers, which shrink inside the tasks, and only
+the matrix in blocks of words, which are written once and stay where they lie: a round moves the directions of each block's words, not the pairs, and only
 inner products of directions reach the driver. Rounds end when the leading eigenvalues stand still; what they still moved by is reported.
 """
 
@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forumlens.operators.blocks import blocks
 from forumlens.session import stage
 
 WINDOW = 4
@@ -21,6 +22,8 @@ MIN_COUNT = 5
 DIMENSIONS = 8
 ROUNDS = 8
 TOLERANCE = 1e-3
+#: Words whose pairs one task multiplies together.
+BLOCK_WORDS = 4096
 
 
 def cooccurrences(docs: DataFrame, words: str = "words", window: int = WINDOW, min_count: int = MIN_COUNT) -> DataFrame:
@@ -93,12 +96,12 @@ def factorise(information: DataFrame, dimensions: int = DIMENSIONS, rounds: int
     start = F.array(*(((F.pmod(F.xxhash64("word", F.lit(j)), F.lit(1 << 20)) + 0.5) / float(1 << 20) - 0.5) for j in range(dimensions)))
     current = stage(information.select("word").distinct().select("word", start.alias("v")))
     current = stage(_turned(current, "v", _inverse_root(_products(current, "v", "v", dimensions))))
+    matrix = blocks(information, "word", "context", "x", max(1, -(-current.count() // BLOCK_WORDS)))
     before, moved, made = None, float("inf"), 0
     while True:
         made += 1
-        met = information.join(current.toDF("context", "v"), "context").groupBy("word").agg(
-            *(F.sum(F.get("v", F.lit(j)) * F.col("x")).alias(f"a{j}") for j in range(dimensions)))
-        sums = met.select("word", F.array(*(f"a{j}" for j in range(dimensions))).alias("a"))
+        met = matrix.times(current.select("word", *(F.get("v", F.lit(j)).alias(f"a{j}") for j in range(dimensions))))
+        sums = met.select(F.col("row").alias("word"), F.array(*(f"a{j}" for j in range(dimensions))).alias("a"))
         both = stage(current.join(sums, "word"))
         values, rotation = np.linalg.eigh((lambda m: (m + m.T) / 2)(_products(both, "v", "a", dimensions)))
         order = np.argsort(-abs(values), kind="stable")
@@ -109,6 +112,7 @@ def factorise(information: DataFrame, dimensions: int = DIMENSIONS, rounds: int
             break
         before = leading
         current = stage(_turned(both, "a", _inverse_root(_products(both, "a", "a", dimensions))))
+    matrix.drop()
     axes = stage(_turned(both, "v", rotation * np.sqrt(abs(values))))
     largest = axes.agg(*(F.max_by(F.get("v", F.lit(j)), F.struct(F.round(F.abs(F.get("v", F.lit(j))), 9), "word")).alias(f"l{j}")
                          for j in range(dimensions))).first()
