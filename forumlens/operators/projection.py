@@ -8,6 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forumlens.operators.blocks import Blocks, blocks
 from forumlens.operators.tfidf import VocabularyRule, corpus_size, fit_vocabulary, term_counts
 from forumlens.session import stage
 
@@ -16,6 +17,8 @@ DIRECTIONS = 8
 ROUNDS = 40
 # Relative change of the two leading values at which the iteration ends.
 TOLERANCE = 1e-12
+#: Posts whose weights one task multiplies together.
+BLOCK_POSTS = 16384
 
 
 def tfidf_vectors(docs: DataFrame, rule: VocabularyRule) -> tuple[DataFrame, list[str]]:
@@ -54,21 +57,14 @@ def _products(rows: DataFrame, left: str, right: str) -> np.ndarray:
     return np.array(rows.agg(*(s.alias(f"p{i}") for i, s in enumerate(sums))).first()).reshape(DIRECTIONS, DIRECTIONS)
 
 
-def _scores(weights: DataFrame, axes: DataFrame, names: list[str]) -> DataFrame:
-    """Coordinates (id, names...) of posts that have terms."""
-    joined = weights.join(axes, "term")
-    return joined.groupBy("id").agg(*(F.sum(F.col("w") * F.col(n)).alias(n) for n in names))
-
-
-def _axes(docs: DataFrame, weights: DataFrame, centred: bool) -> DataFrame:
+def _axes(n_docs: int, weights: DataFrame, matrix: Blocks, centred: bool) -> DataFrame:
     """The two leading directions (term, v0, v1) of all posts, by block power iteration on the whole vocabulary.
 
-    A round multiplies the directions by the weights and by their transpose, two aggregations over the postings; only
-    inner products of the few directions reach the driver. Means are subtracted from the product, never from the
+    A round multiplies the directions by the weights and by their transpose inside blocks of posts, and adds up what blocks have for a term;
+    only inner products of the few directions reach the driver. Means are subtracted from the product, never from the
     sparse rows. The start depends on the terms alone, so the result is the same on any cluster. An axis is only
     defined up to its sign: the one that makes its largest entry positive is taken.
     """
-    n_docs = max(docs.count(), 1)
     start = [((F.pmod(F.xxhash64("term", F.lit(j)), F.lit(1 << 20)) + 0.5) / float(1 << 20) - 0.5).alias(f"v{j}")
              for j in range(DIRECTIONS)]
     totals = stage(weights.groupBy("term").agg(F.sum("w").alias("total")))
@@ -76,12 +72,10 @@ def _axes(docs: DataFrame, weights: DataFrame, centred: bool) -> DataFrame:
     current = stage(_turned(current, "term", _inverse_root(_products(current, "v", "v"))))
     before = None
     for _ in range(ROUNDS):
-        scores = stage(_scores(weights, current, _columns("v")))
-        back = weights.join(scores, "id").groupBy("term").agg(
-            *(F.sum(F.col("w") * F.col(f"v{j}")).alias(f"a{j}") for j in range(DIRECTIONS)))
+        back = matrix.times_and_back(current).toDF("term", *_columns("a"))
         both = back.join(current, "term").join(totals, "term")
-        if centred:
-            means = scores.agg(*(F.sum(v).alias(v) for v in _columns("v"))).first()
+        if centred:  # the sum of a direction's scores over all posts is its product with the totals of the terms
+            means = current.join(totals, "term").agg(*(F.sum(F.col(v) * F.col("total")).alias(v) for v in _columns("v"))).first()
             both = both.withColumns({f"a{j}": F.col(f"a{j}") - F.col("total") * float((means[j] or 0.0) / n_docs)
                                      for j in range(DIRECTIONS)})
         both = stage(both.drop("total"))
@@ -109,7 +103,10 @@ def _inverse_root(gram: np.ndarray) -> np.ndarray:
 
 
 def _project(docs: DataFrame, weights: DataFrame, names: tuple[str, str], centred: bool) -> DataFrame:
-    xy = _scores(weights, _axes(docs, weights, centred), ["v0", "v1"])
+    n_docs = max(docs.count(), 1)
+    matrix = blocks(weights, "id", "term", "w", -(-n_docs // BLOCK_POSTS))
+    xy = stage(matrix.times(_axes(n_docs, weights, matrix, centred)).toDF("id", "v0", "v1"))
+    matrix.drop()
     columns = [F.coalesce(F.col(v), F.lit(0.0)).alias(n) for v, n in zip(("v0", "v1"), names)]
     return docs.join(xy, "id", "left").select(*docs.columns, *columns)
 
