@@ -7,7 +7,8 @@ Rows that it meets in ``votes`` tables at least are compared with it exactly.
 
 Directions are sums of hexadecimal digits of md5 hashes and vectors are cut to whole multiples of 1 / ``SCALE``, so codes are the same in
 every engine and on every cluster; nothing is fitted. Equal vectors are one entry of the index, so copies fill no bucket.
-The index is two tables (vectors and codes), staged, or stored and read again.
+The index is a table of vectors with their codes and one of copies, staged, or stored and read again. Blocks of queries look into blocks of its
+rows, whose buckets are made inside the task; the best rows of a query leave each, so neither a row and its table nor a query and a row it meets is a row of a shuffle.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from forumlens.operators.similarity import DIGITS, NEIGHBOURS, cosine
+from forumlens.operators.similarity import DIGITS, NEIGHBOURS
 from forumlens.session import stage
 
 SCALE = 1 << 15
 #: Digits of a hash that make up one component, and what is taken off so that components are about zero on average.
 DIGITS_PER_COMPONENT, MIDDLE = 4, 30
 COMPONENTS_PER_HASH = 32 // DIGITS_PER_COMPONENT
+#: Rows and queries of a block, rows of a block that are written as one, and entries of buckets that are counted at once.
+BLOCK_ROWS, BLOCK_QUERIES, STRETCH = 1 << 16, 1 << 14, 1 << 12
+ENTRIES = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -58,7 +63,7 @@ def directions(shape: Shape, dimensions: int) -> np.ndarray:
 
 
 def _coded(vectors: DataFrame, shape: Shape, dimensions: int, best: int) -> DataFrame:
-    """(id, codes) of vectors (id, vector): the ``best`` codes of each set, one after the other, the best first."""
+    """(id, vector, codes) of vectors (id, vector): the ``best`` codes of each set, one after the other, the best first."""
     spark = vectors.sparkSession
     every = spark.sparkContext.broadcast(directions(shape, dimensions).astype(np.float64))  # its size is set by the shape
     scale = SCALE
@@ -76,10 +81,13 @@ def _coded(vectors: DataFrame, shape: Shape, dimensions: int, best: int) -> Data
                 along = matrix @ of.T
                 both = np.concatenate((along, -along), axis=1)
                 codes[:, r] = both.argmax(axis=1)[:, None] if best == 1 else (-both).argsort(axis=1, kind="stable")[:, :best]
-            yield pa.record_batch({"id": batch.column(0), "codes": pa.array(list(codes.reshape(len(rows), -1)), pa.list_(pa.int32()))})
+            yield pa.record_batch({"id": batch.column(0), "vector": batch.column(1),
+                                   "codes": pa.array(list(codes.reshape(len(rows), -1)), pa.list_(pa.int32()))})
 
-    kind = vectors.schema["id"].dataType.simpleString()
-    return vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(code, f"id {kind}, codes array<int>")
+    if vectors.schema["vector"].dataType.simpleString() != "array<float>":
+        vectors = vectors.withColumn("vector", F.col("vector").cast("array<double>"))
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in ("id", "vector")}
+    return vectors.select("id", "vector").mapInArrow(code, f"id {kinds['id']}, vector {kinds['vector']}, codes array<int>")
 
 
 def _buckets(coded: DataFrame, shape: Shape, best: int) -> DataFrame:
@@ -95,23 +103,30 @@ def _buckets(coded: DataFrame, shape: Shape, best: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class NeighbourIndex:
-    """``vectors`` (id, vector): one row for each distinct vector, named by its smallest id; ``copies`` (id, copy): all ids of it;
-    ``codes`` (table, code, id): its bucket in each table."""
+    """``coded`` (id, vector, codes): one row for each distinct vector, named by its smallest id, with its code of each set; ``copies`` (id, copy): all ids of it."""
 
-    vectors: DataFrame
+    coded: DataFrame
     copies: DataFrame
-    codes: DataFrame
     shape: Shape
     dimensions: int
 
+    @property
+    def vectors(self) -> DataFrame:
+        return self.coded.select("id", "vector")
+
+    @property
+    def codes(self) -> DataFrame:
+        """(table, code, id): the bucket of each vector in each table, as rows."""
+        return _buckets(self.coded, self.shape, 1)
+
     def save(self, path: str) -> None:
-        for name in ("vectors", "copies", "codes"):
+        for name in ("coded", "copies"):
             getattr(self, name).write.parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, shape: Shape = Shape()) -> NeighbourIndex:
-        parts = [spark.read.parquet(f"{path}/{name}") for name in ("vectors", "copies", "codes")]
-        return cls(*parts, shape, _dimensions(parts[0]))
+        coded, copies = (spark.read.parquet(f"{path}/{name}") for name in ("coded", "copies"))
+        return cls(coded, copies, shape, _dimensions(coded))
 
 
 def _dimensions(vectors: DataFrame) -> int:
@@ -131,16 +146,119 @@ def build(vectors: DataFrame, shape: Shape = Shape()) -> NeighbourIndex:
     named = stage(_named(vectors))
     distinct = stage(named.where(F.col("id") == F.col("copy")).select("id", "vector").dropDuplicates(["id"]))
     dimensions = _dimensions(distinct)
-    codes = stage(_buckets(_coded(distinct, shape, dimensions, 1), shape, 1))
-    return NeighbourIndex(distinct, named.select("id", "copy"), codes, shape, dimensions)
+    return NeighbourIndex(stage(_coded(distinct, shape, dimensions, 1)), named.select("id", "copy"), shape, dimensions)
+
+
+def _packed(coded: DataFrame, n_blocks: int) -> DataFrame:
+    """(block, part, names, codes, sizes, numbers): the rows of each block in ascending order of id, ``STRETCH`` in one row; all but the names are bytes."""
+    stretch, kind = STRETCH, coded.schema["id"].dataType.simpleString()
+
+    # a function of its own, so that executors need not have this package
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["id"]))
+        parts = [table.slice(begin, stretch) for begin in range(0, len(table), stretch)]
+
+        def lists(part: pa.Table, column: str) -> pa.Array:
+            return part[column].combine_chunks()
+
+        return pa.table({
+            "block": pa.array([table["block"][0].as_py()] * len(parts), pa.int32()), "part": pa.array(range(len(parts)), pa.int32()),
+            "names": pa.array([p["id"].to_pylist() for p in parts], pa.list_(table.schema.field("id").type)),
+            "codes": pa.array([lists(p, "codes").flatten().to_numpy(zero_copy_only=False).astype(np.int16).tobytes() for p in parts], pa.binary()),
+            "sizes": pa.array([pc.list_value_length(lists(p, "vector")).to_numpy().astype(np.int32).tobytes() for p in parts], pa.binary()),
+            "numbers": pa.array([lists(p, "vector").flatten().to_numpy(zero_copy_only=False).tobytes() for p in parts], pa.binary())})
+
+    rows = coded.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "id", "codes", "vector")
+    return rows.groupBy("block").applyInArrow(pack, f"block int, part int, names array<{kind}>, codes binary, sizes binary, numbers binary")
+
+
+def _met(index: NeighbourIndex, queries: DataFrame, keep: int | None) -> DataFrame:
+    """(query, id) of the distinct vectors that each query (id, vector) meets often enough; with ``keep``, (query, id, sim) of as many best ones
+    (ties by id) of each block of rows, of those that are as long as the query.
+
+    Every block of queries meets every block of rows once. The work and what tasks hold are set by the shape and the sizes of blocks.
+    """
+    shape, digits = index.shape, DIGITS
+    coded = _coded(queries, shape, index.dimensions, shape.probes)
+    kinds = {c: [df.schema[c].dataType.simpleString() for df in (coded, index.coded)] for c in ("id", "vector")}
+    across, down = (max(1, -(-df.count() // size)) for df, size in ((index.coded, BLOCK_ROWS), (queries, BLOCK_QUERIES)))
+    left = stage(_packed(index.coded, across)).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    right = stage(_packed(coded, down)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    left = left.withColumn("pair", F.col("block") * F.lit(down).cast("bigint") + F.col("other"))
+    right = right.withColumn("of_pair", F.col("other") * F.lit(down).cast("bigint") + F.col("block"))
+    number = [np.float32 if k == "array<float>" else np.float64 for k in kinds["vector"]]
+    n_codes, tables, partners, probes, votes, entries = 2 * shape.directions, shape.tables, shape.partners, shape.probes, shape.votes, ENTRIES
+    first = np.arange(tables) // partners
+    second = (first + 1 + np.arange(tables) % partners) % shape.rotations
+
+    # a function of its own, so that executors need not have this package
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        def unpacked(table: pa.Table, kind) -> tuple:
+            table = table.take(pc.sort_indices(table["part"]))
+            names = table["names"].combine_chunks().flatten()
+            codes, sizes, numbers = (np.frombuffer(b"".join(table[c].to_pylist()), t)
+                                     for c, t in (("codes", np.int16), ("sizes", np.int32), ("numbers", kind)))
+            matrix = np.zeros((len(names), sizes.max(initial=0)))
+            matrix[np.arange(matrix.shape[1]) < sizes[:, None]] = numbers
+            return names, codes.reshape(len(names), -1).astype(np.int64), sizes, matrix
+
+        names, wanted, lengths, vectors = unpacked(asked, number[0])
+        ids, codes, sizes, matrix = unpacked(rows, number[1])
+        n, size = len(ids), n_codes * n_codes
+        if not n or not len(names):
+            out = {"query": names.slice(0, 0), "id": ids.slice(0, 0)}
+            return pa.table(out if keep is None else {**out, "sim": pa.array([], pa.float64())})
+        # the rows of each bucket, table after table, and where each bucket begins
+        order, begin = np.empty(tables * n, np.int32), np.empty((tables, size + 1), np.int64)
+        for t in range(tables):
+            bucket = codes[:, first[t]] * n_codes + codes[:, second[t]]
+            order[t * n:(t + 1) * n] = np.argsort(bucket.astype(np.uint16 if size <= 1 << 16 else np.int64), kind="stable")
+            begin[t, 0] = t * n
+            begin[t, 1:] = t * n + np.cumsum(np.bincount(bucket, minlength=size))
+        begin, offset = begin.reshape(-1), (np.arange(tables) * (size + 1))[:, None, None]
+        norms, its_norms = np.sqrt((matrix * matrix).sum(axis=1)), np.sqrt((vectors * vectors).sum(axis=1))
+        found = []
+        for q in range(len(names)):
+            best = wanted[q].reshape(-1, probes)
+            at = (offset + best[first][:, :, None] * n_codes + best[second][:, None, :]).reshape(-1)
+            start = begin[at]
+            counts = begin[at + 1] - start
+            some = np.flatnonzero(counts)
+            start, counts = start[some], counts[some]
+            ends = np.cumsum(counts)
+            met, a = np.zeros(n, np.int64), 0
+            while a < len(ends):  # a stretch of buckets with about as many entries as are counted at once
+                before = ends[a] - counts[a]
+                b = max(a + 1, int(np.searchsorted(ends, before + entries, side="right")))
+                place = np.arange(ends[b - 1] - before) + np.repeat(start[a:b] - (ends[a:b] - counts[a:b] - before), counts[a:b])
+                met += np.bincount(order[place], minlength=n)
+                a = b
+            near = np.flatnonzero(met >= votes)
+            if keep is None:
+                found.append((np.full(len(near), q), near, np.zeros(0)))
+                continue
+            near = near[sizes[near] == lengths[q]]
+            dots, length = matrix[near, :lengths[q]] @ vectors[q, :lengths[q]], norms[near] * its_norms[q]
+            sims = np.divide(dots, length, out=np.zeros(len(near)), where=~(length <= 0))
+            sims = np.copysign(np.floor(np.abs(sims) * 10.0 ** digits + 0.5) / 10.0 ** digits, sims) + 0.0
+            down = -np.where(np.isnan(sims), np.inf, sims)
+            if len(near) > keep:
+                good = np.flatnonzero(down <= np.partition(down, keep - 1)[keep - 1])
+                good = good[np.argsort(down[good], kind="stable")[:keep]]  # ids ascend
+                near, sims = near[good], sims[good]
+            found.append((np.full(len(near), q), near, sims))
+        q, near, sims = (np.concatenate(parts) for parts in zip(*found))
+        out = {"query": names.take(pa.array(q)), "id": ids.take(pa.array(near))}
+        return pa.table(out if keep is None else {**out, "sim": pa.array(sims)})
+
+    schema = f"query {kinds['id'][0]}, id {kinds['id'][1]}" + ("" if keep is None else ", sim double")
+    return left.groupBy("pair").cogroup(right.groupBy("of_pair")).applyInArrow(meet, schema)
 
 
 def candidates(index: NeighbourIndex, queries: DataFrame) -> DataFrame:
     """(query, id) of the distinct vectors that each query (id, vector) meets often enough."""
-    probes = index.shape.probes
-    asked = stage(_buckets(_coded(queries, index.shape, index.dimensions, probes), index.shape, probes).withColumnRenamed("id", "query"))
-    met = asked.join(index.codes, ["table", "code"]).groupBy("query", "id").agg(F.count("*").alias("votes"))
-    return met.where(F.col("votes") >= index.shape.votes).select("query", "id")
+    return _met(index, queries, None)
 
 
 def search(index: NeighbourIndex, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -151,15 +269,11 @@ def search(index: NeighbourIndex, queries: DataFrame, k: int = NEIGHBOURS) -> Da
     """
     named = stage(_named(queries))
     asked = stage(named.where(F.col("id") == F.col("copy")).select("id", "vector").dropDuplicates(["id"]))
-    found = stage(candidates(index, asked))
-    compared = (found.join(asked.select(F.col("id").alias("query"), F.col("vector").alias("v")), "query")
-                .join(index.vectors, "id").where(F.size("v") == F.size("vector")).select("query", "id", F.round(cosine(F.col("v"), F.col("vector")), DIGITS).alias("sim")))
-
     def first(df: DataFrame, n: int, by: str, *order) -> DataFrame:
         return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
 
     ids = first(index.copies, k + 1, "id", F.asc("copy")).drop("rank")
-    best = first(compared, k + 1, "query", F.desc("sim"), F.asc("id")).drop("rank")
+    best = first(_met(index, asked, k + 1), k + 1, "query", F.desc("sim"), F.asc("id")).drop("rank")
     rows = stage(first(best.join(ids, "id").select("query", F.col("copy").alias("id"), "sim"), k + 1, "query", F.desc("sim"), F.asc("id"))
                  .drop("rank"))
     each = named.select(F.col("id").alias("query"), F.col("copy").alias("target")).join(rows, "query").where(F.col("target") != F.col("id"))

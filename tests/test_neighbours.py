@@ -73,3 +73,20 @@ def test_stored_index(spark, vectors, tmp_path):
     asked = vectors.where("id < 3")
     stored = neighbours.NeighbourIndex.load(spark, str(tmp_path / "index"))
     assert sorted(neighbours.search(stored, asked).collect()) == sorted(neighbours.search(index, asked).collect())
+
+
+def test_small_blocks_find_what_a_join_of_buckets_finds(spark, vectors, monkeypatch):
+    """Neither a row and its table nor a query and a row that it meets is a row of an index or of a shuffle."""
+    index = neighbours.build(vectors)
+    asked = vectors.where("id % 50 = 0")
+    whole = neighbours.search(index, asked).collect()
+    probes = index.shape.probes
+    buckets = neighbours._buckets(neighbours._coded(asked, index.shape, index.dimensions, probes), index.shape, probes)
+    met = buckets.withColumnRenamed("id", "query").join(index.codes, ["table", "code"]).groupBy("query", "id").count()
+    for name, value in (("BLOCK_ROWS", 100), ("BLOCK_QUERIES", 4), ("STRETCH", 7), ("ENTRIES", 300)):
+        monkeypatch.setattr(neighbours, name, value)
+    assert index.coded.count() == vectors.count()  # not one row for each of the tables
+    assert sorted(neighbours.search(index, asked).collect()) == sorted(whole)
+    pairs = neighbours.candidates(index, asked)
+    assert sorted(pairs.collect()) == sorted(met.where(F.col("count") >= index.shape.votes).select("query", "id").collect())
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
