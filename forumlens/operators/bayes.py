@@ -11,10 +11,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.operators.tfidf import VocabularyRule, corpus_size, fit_vocabulary, term_counts, weights
+from forumlens.operators.tfidf import VocabularyRule, corpus_size, fit_vocabulary, in_blocks, term_counts
 from forumlens.session import stage
 
 # Digits of a score or of log-odds that count: beyond them, engines that add in another order differ.
@@ -58,18 +61,32 @@ class NaiveBayesModel:
 
 
 def fit(docs: DataFrame, rule: VocabularyRule = VocabularyRule(), alpha: float = 1.0) -> NaiveBayesModel:
-    """Fit on rows (id, label, terms): vocabulary, idf and word probabilities from these rows only.
+    """Fit on rows (id, label, terms), stored or staged: vocabulary, idf and word probabilities from these rows only.
 
-    The vocabulary and the sums are staged, so later joins meet a plain table of known size. What
+    Weights are summed per class and term inside blocks of posts. The vocabulary and the sums are staged, so later joins meet a plain table of known size. What
     reaches the driver are two numbers per class.
     """
     sizes = class_sizes(docs)
     classes = list(sizes)
     postings = term_counts(docs, keep=("id", "label"))
     vocabulary = stage(fit_vocabulary(postings, corpus_size(docs), rule).select("term", "idf"))
-    per_class = [F.sum(F.when(F.col("label") == c, F.col("w")).otherwise(0.0)).alias(f"w{i}")
-                 for i, c in enumerate(classes)]
-    sums = stage(weights(postings, vocabulary).groupBy("term").agg(*per_class).join(vocabulary, "term"))
+    n = len(classes)
+
+    # a function of its own, so that executors need not have this package
+    def sums_of_block(posts: pa.Table, known: pa.Table, post: np.ndarray, place: np.ndarray) -> pa.Table:
+        ids = posts["id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        labels = posts["label"].combine_chunks()
+        own = pc.fill_null(pc.index_in(labels, value_set=pa.array(classes, labels.type)), n).to_numpy(zero_copy_only=False)
+        size = max(len(known), 1)
+        entry, tf = np.unique((ids * (n + 1) + own)[post] * size + place, return_counts=True)
+        term, name, cls = entry % size, entry // size // (n + 1), entry // size % (n + 1)
+        x = tf * known["idf"].to_numpy()[term]
+        w = x / np.sqrt(np.bincount(name, weights=x * x))[name] if len(x) else x
+        return pa.table({"term": known["term"], **{f"w{i}": np.bincount(term[cls == i], weights=w[cls == i], minlength=len(known)) for i in range(n)}})
+
+    schema = ", ".join(["term string", *(f"w{i} double" for i in range(n))])
+    in_block = in_blocks(docs, vocabulary, sums_of_block, schema, keep=("id", "label"))
+    sums = stage(in_block.groupBy("term").agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(n))).join(vocabulary, "term"))
     totals = sums.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(classes))]).first()
     logp = [F.log((F.col(f"w{i}") + alpha) / ((totals[f"w{i}"] or 0.0) + alpha * totals["n"]))
             for i in range(len(classes))]
@@ -79,17 +96,30 @@ def fit(docs: DataFrame, rule: VocabularyRule = VocabularyRule(), alpha: float =
 
 
 def _class_scores(docs: DataFrame, model: NaiveBayesModel) -> DataFrame:
-    """Log-likelihood plus prior of every class per post (id, scores).
+    """Log-likelihood plus prior of every class per post (id, scores). ``docs`` are stored or staged.
 
-    One sum per class and the post's length are built together, starting inside the tasks. A post
-    without a known term keeps the priors.
+    The sum of each class and the post's length are made in blocks of posts. A post without a known term, or without an id, keeps the priors;
+    rows with one id are scored together.
     """
-    found = term_counts(docs).join(model.terms, "term").withColumn("x", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("x") * F.col("x")))
-    summed = found.groupBy("id").agg(*[
-        (F.sum(F.col("x") * F.col("logp")[i]) / length).alias(f"s{i}") for i in range(len(model.classes))])
-    scores = [F.coalesce(f"s{i}", F.lit(0.0)) + F.lit(p) for i, p in enumerate(model.priors)]
-    return docs.select("id").join(summed, "id", "left").select("id", F.array(*scores).alias("scores"))
+    priors = np.array(model.priors, float)
+
+    # a function of its own, so that executors need not have this package
+    def scores(posts: pa.Table, known: pa.Table, post: np.ndarray, place: np.ndarray) -> pa.Table:
+        names = posts["id"].combine_chunks()
+        ids = names.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        n = max(len(known), 1)
+        entry, tf = np.unique(ids[post] * n + place, return_counts=True)
+        own, term = entry // n, entry % n
+        x, rows = tf * known["idf"].to_numpy()[term], int(ids.max(initial=-1)) + 1
+        length = np.sqrt(np.bincount(own, weights=x * x, minlength=rows))
+        logp = known["logp"].combine_chunks().flatten().to_numpy().reshape(len(known), len(priors))
+        sums = np.stack([np.bincount(own, weights=x * logp[term, i], minlength=rows) for i in range(len(priors))], axis=1)
+        sums = np.divide(sums, length[:, None], out=np.zeros_like(sums), where=length[:, None] > 0)[ids]
+        sums[names.is_null().to_numpy(zero_copy_only=False)] = 0.0
+        return pa.table({"id": names, "scores": pa.array(list(sums + priors), pa.list_(pa.float64()))})
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return in_blocks(docs, model.terms.select("term", "idf", "logp"), scores, f"id {kind}, scores array<double>")
 
 
 def joint_scores(docs: DataFrame, model: NaiveBayesModel) -> DataFrame:

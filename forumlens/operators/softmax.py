@@ -91,7 +91,7 @@ def fit(docs: DataFrame, rule: VocabularyRule = VocabularyRule(), penalty: float
     vocabulary = stage(fit_vocabulary(postings, corpus_size(known), rule).select("term", "idf"))
     if n < 2:
         return NaiveBayesModel(vocabulary.withColumn("logp", F.array(*[F.lit(0.0)] * n)), classes, [0.0] * n)
-    unit_weights = stage(weights(postings, vocabulary))
+    unit_weights = stage(weights(postings, vocabulary, docs=known))
     own = F.array_position(F.array(*(F.lit(c) for c in classes)), F.col("label")).cast("int") - 1
     intercepts = np.log(np.array(list(sizes.values()), float) / sum(sizes.values()))
     scored = stage(known.select("id", own.alias("own"), F.array(*(F.lit(float(x)) for x in intercepts)).alias("scores")))

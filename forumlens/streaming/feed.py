@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from forumlens.operators.bayes import NaiveBayesModel, predict
 from forumlens.operators.ingest import insert_if_absent
+from forumlens.session import stage
 from forumlens.sources.search import SearchSpec, live_view, matching_posts
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -58,6 +59,6 @@ def score_feed(stream: DataFrame, model: NaiveBayesModel, path: str, checkpoint:
     Each batch has its own folder, which a repeated batch overwrites.
     """
     def score(batch: DataFrame, number: int) -> None:
-        predict(batch, model).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        predict(stage(batch), model).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(**trigger).start()

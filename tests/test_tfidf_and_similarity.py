@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from forumlens.operators import similarity, tfidf
 from forumlens.operators.tfidf import VocabularyRule
 from forumlens.plans import pipelines
+from forumlens.session import stage
 from tests import helpers
 
 
@@ -147,3 +148,27 @@ def test_hot_terms_are_split_in_a_merge_join(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_weights_of_blocks_of_posts(spark, docs, monkeypatch):
+    """With the posts at hand no posting is a row of a shuffle; posts with one id, odd terms and odd rows count as they do in postings."""
+    rows = [*docs.items(), (3, ["extra", "two\nlines"]), (70, None), (71, ["x y", None, "", ""]), (72, [""]), (None, ["wab", "extra"])]
+    df = stage(spark.createDataFrame(rows, "id long, terms array<string>"))
+    postings, vocabulary = tables(df)
+    in_rows = tfidf.weights(postings, vocabulary).collect()
+    for words in (tfidf.BLOCK_WORDS, 40):
+        monkeypatch.setattr(tfidf, "BLOCK_WORDS", words)
+        in_blocks = tfidf.weights(postings, vocabulary, docs=df)
+        got = {(r.id, r.term): r.w for r in in_blocks.collect()}
+        assert got == pytest.approx({(r.id, r.term): r.w for r in in_rows}) and len(got) == len(in_rows)
+    plan = in_blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "CoGroupsInArrow" in plan
+
+
+def test_terms_move_as_one_string(spark):
+    rows = [(1, ["a", "b", "a"]), (1, ["a"]), (2, ["two\nlines", "a"]), (3, []), (4, None), (5, ["", ""]), (6, [None, "a"])]
+    df = spark.createDataFrame(rows, "id long, terms array<string>")
+    counts = tfidf.term_counts(df)
+    assert {(r.id, r.term): r.tf for r in counts.collect()} == {
+        (1, "a"): 3, (1, "b"): 1, (2, "two\nlines"): 1, (2, "a"): 1, (5, ""): 2, (6, None): 1, (6, "a"): 1}
+    assert "array_join" in counts._jdf.queryExecution().optimizedPlan().toString()
