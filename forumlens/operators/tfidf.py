@@ -49,12 +49,19 @@ def term_counts(docs: DataFrame, terms: str = "terms", keep: tuple[str, ...] = (
     )
 
 
+def joined_terms(posts: DataFrame, terms: str) -> DataFrame:
+    """Posts whose array of terms is one string, which takes half the room in a shuffle, unless a line end or a null is in it; see ``listed_terms``."""
+    plain = F.coalesce((F.size(terms) > 0) & ~F.exists(terms, lambda t: t.isNull() | t.contains("\n")), F.lit(False))
+    return posts.withColumns({"_joined": F.when(plain, F.array_join(terms, "\n")), "_listed": F.when(~plain, F.col(terms))}).drop(terms)
+
+
+def listed_terms(posts: DataFrame, terms: str) -> DataFrame:
+    return posts.withColumn(terms, F.coalesce(F.split("_joined", "\n"), "_listed")).drop("_joined", "_listed")
+
+
 def _spread(posts: DataFrame, by: str) -> DataFrame:
-    """Posts with their array ``_terms``, dealt by a column; the terms move as one string, which takes half the room, unless a line end or a null is in them."""
-    plain = F.coalesce((F.size("_terms") > 0) & ~F.exists("_terms", lambda t: t.isNull() | t.contains("\n")), F.lit(False))
-    others = [c for c in posts.columns if c != "_terms"]
-    moved = posts.select(*others, F.when(plain, F.array_join("_terms", "\n")).alias("_joined"), F.when(~plain, F.col("_terms")).alias("_listed"))
-    return moved.repartition(by).select(*others, F.coalesce(F.split("_joined", "\n"), "_listed").alias("_terms"))
+    """Posts with their array ``_terms``, dealt by a column."""
+    return listed_terms(joined_terms(posts, "_terms").repartition(by), "_terms")
 
 
 def fit_vocabulary(postings: DataFrame, n_docs: Column, rule: VocabularyRule = VocabularyRule()) -> DataFrame:

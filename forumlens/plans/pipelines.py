@@ -35,13 +35,15 @@ def tfidf_tables(corpus: DataFrame, rule: tfidf.VocabularyRule = tfidf.Vocabular
 def train_and_test(corpus: DataFrame, test_share: float = 0.3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Staged training and test rows (id, label, terms); the split is made on a staged corpus."""
     rows = stage(corpus.select("id", "label", "terms"))
-    divided = stage(split.stratified_split(rows, "label", test_share=test_share, seed=seed))
+    divided = split.stratified_split(tfidf.joined_terms(rows, "terms"), "label", test_share=test_share, seed=seed)
+    divided = stage(tfidf.listed_terms(divided, "terms").select("id", "label", "terms", "split"))
     return (divided.where(F.col("split") == "train").drop("split"),
             divided.where(F.col("split") == "test").drop("split"))
 
 
 def folded(train: DataFrame, n_folds: int = 3, seed: int = 0) -> DataFrame:
-    return stage(split.stratified_folds(train, "label", n_folds=n_folds, seed=seed))
+    divided = split.stratified_folds(tfidf.joined_terms(train, "terms"), "label", n_folds=n_folds, seed=seed)
+    return stage(tfidf.listed_terms(divided, "terms").select(*train.columns, "fold"))
 
 
 def evaluated(train: DataFrame, test: DataFrame, choice: Choice = Choice()) -> DataFrame:
