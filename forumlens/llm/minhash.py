@@ -10,8 +10,8 @@ it is later than the latest register.
 
 Registers are cut into bands; texts that agree in a band are candidates; at similarity 0.8 a pair shares no band with
 probability 6e-5. In a bucket every member is first paired with the smallest only; pairs are verified by their exact
-bag overlap and give first classes, so a bucket of copies costs as many pairs as members. In crowded buckets members of other classes are then
-taken as centres in two more turns. Pairs of a bucket that are still
+bag overlap and give first classes, so a bucket of copies costs as many pairs as members. In crowded buckets some members of the largest
+class are then taken as centres in four more turns: what is like a part of the class soon joins it. Pairs of a bucket that are still
 in different classes are then examined too, so no candidate link between classes is lost. Before a pair leaves a join, its
 parity bitmaps must allow it: each element of a bag flips one bit, so the bits in which two bitmaps differ are no more than
 the elements in which the bags differ; at similarity 0.8 these are a ninth of both sizes. The bitmap has four to eight
@@ -41,7 +41,9 @@ SHINGLE_WORDS = 5
 BANDS, BAND_REGISTERS = 32, 6
 #: Members from which on a bucket is settled by more centres before the rest of it is compared pair by pair.
 CROWD = 64
-TURNS = 2
+TURNS = 4
+#: Members of a bucket's largest class that are centres in a turn.
+CENTRES = 4
 REGISTERS = BANDS * BAND_REGISTERS
 #: Similarity of 0.8 or more, as a fraction.
 LIKE, OF = 4, 5
@@ -244,24 +246,28 @@ def _stepped(placed: DataFrame, step: DataFrame) -> DataFrame:
 def _settled(shared: DataFrame, links: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, members with their classes) after ``TURNS`` turns in which crowded buckets get more centres.
 
-    In a turn a member of another class than before is the centre of each bucket of ``CROWD`` members or more and two classes or
-    more, and meets all members outside its class. Classes joined by the new links are renamed one step further each turn.
+    In a turn ``CENTRES`` members of the largest class of each bucket of ``CROWD`` members or more and two classes or more meet all
+    members outside that class. Classes joined by the new links are renamed one step further each turn.
     """
     every = stage(_placed(shared.select("band", "content"), stage(components(links))))
     left, bags = every, None
-    for turn in range(1, TURNS + 1):
-        mixed = left.groupBy("band").agg(
-            F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"),
-            F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("order"), "content", "root")).alias("centre"))
-        mixed = stage(mixed.where((F.col("x") != F.col("y")) & (F.col("n") >= CROWD)).select(
-            "band", F.col("centre.content").alias("centre"), F.col("centre.root").alias("own")))
-        left = stage(left.join(mixed, "band").select("band", "content", "root", "centre", "own"))
+    for turn in range(TURNS):
+        picks = [f"pick{k}" for k in range(CENTRES)]
+        sizes = left.groupBy("band", "root").agg(F.count("*").alias("n"), *(
+            F.min(F.struct(F.xxhash64("content", F.lit(turn * CENTRES + k)).alias("order"), "content")).alias(c)
+            for k, c in enumerate(picks)))
+        mixed = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("classes"),
+                                          F.max(F.struct("n", "root", *picks)).alias("largest"))
+        mixed = stage(mixed.where((F.col("classes") > 1) & (F.col("n") >= CROWD)).select(
+            "band", F.col("largest.root").alias("own"),
+            F.array_distinct(F.array(*(F.col(f"largest.{c}.content") for c in picks))).alias("centres")))
+        left = stage(left.join(mixed, "band").select("band", "content", "root", "centres", "own"))
         if not left.take(1):
             break
         if bags is None:
             bags = _bags_of(left.select("content"), nodes, rows)
-        ray = left.where(F.col("root") != F.col("own")).select(F.col("centre").alias("a"), F.col("content").alias("b"))
-        more = stage(_verified(stage(ray.distinct()), bags))
+        ray = left.where(F.col("root") != F.col("own")).select(F.explode("centres").alias("a"), F.col("content").alias("b"))
+        more = stage(_verified(stage(_possible_pairs(ray.distinct(), nodes)), bags))
         links = links.union(more)
         named = stage(left.select("content", "root").distinct())
         ends = more.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").where(F.col("x") != F.col("y"))

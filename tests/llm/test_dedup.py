@@ -221,6 +221,22 @@ def test_crowded_buckets_are_settled_by_centres(spark, monkeypatch):
     assert 20 < len(set(got.values())) < 40  # the strongly changed ones are apart
 
 
+def test_members_near_a_part_of_the_largest_class_join_it_by_centres(spark, monkeypatch):
+    """Texts with five changes are like those with one only: hardly a pair of them is left to the comparison pair by pair."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(240):
+        text = [f"w{k}" for k in range(300)]
+        for at in rng.sample(range(300), 1 if i < 30 else 3 if i < 120 else 5):
+            text[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(text)))
+    compared, links = [], minhash._links
+    monkeypatch.setattr(minhash, "_links", lambda pairs, *more: (compared.append(pairs.count()), links(pairs, *more))[1])
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) == 1
+    assert compared[-1] < len(rows)
+
+
 def test_one_of_each_class_stays(spark):
     rows = odd_rows()
     df = frame(spark, rows)
