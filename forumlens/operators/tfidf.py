@@ -90,6 +90,13 @@ def raw_weights(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return postings.join(vocabulary.select("term", "idf"), "term").withColumn("x", F.col("tf") * F.col("idf"))
 
 
+def dealt(docs: DataFrame, keep: tuple[str, ...] = ("id",), terms: str = "terms") -> DataFrame:
+    """(block, keep..., _terms): stored or staged posts dealt by id into blocks of about ``BLOCK_WORDS`` words."""
+    counted = F.coalesce(F.when(F.col(terms).isNotNull(), F.size(terms)), F.lit(0)).cast("bigint")
+    n_blocks = max(1, -(-(docs.agg(F.sum(counted)).first()[0] or 0) // BLOCK_WORDS))
+    return _spread(docs.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"), *keep, F.col(terms).alias("_terms")), "block")
+
+
 def in_blocks(docs: DataFrame, known: DataFrame, make: Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str,
               keep: tuple[str, ...] = ("id",), terms: str = "terms") -> DataFrame:
     """What ``make`` makes of each block of posts: no posting is a row of a shuffle.
@@ -99,9 +106,7 @@ def in_blocks(docs: DataFrame, known: DataFrame, make: Callable[[pa.Table, pa.Ta
     their terms, and for every word whose term is known the place of its post and of its term. It is a function inside
     another one, so that executors need not have this package.
     """
-    counted = F.coalesce(F.when(F.col(terms).isNotNull(), F.size(terms)), F.lit(0)).cast("bigint")
-    n_blocks = max(1, -(-(docs.agg(F.sum(counted)).first()[0] or 0) // BLOCK_WORDS))
-    posts = _spread(docs.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"), *keep, F.col(terms).alias("_terms")), "block")
+    posts = dealt(docs, keep, terms)
     # a term is looked for once in each block; counting inside the blocks needs no exchange
     wanted = posts.select(F.expr("block + 0").alias("of_block"), "block", F.explode("_terms").alias("term")).groupBy("block", "of_block", "term").count()
     wanted = wanted.select("of_block", "term").join(known, "term")

@@ -2,8 +2,9 @@
 
 Folds and parameter choices run side by side in one set of jobs, each in columns of its own.
 Vocabulary and idf of a fold come from its training rows only, obtained as totals minus the
-fold's own counts, so postings are counted once however many folds there are. Choices that
-lead to the same vocabulary are fitted once.
+fold's own counts, so terms are counted once however many folds there are. Choices that
+lead to the same vocabulary are fitted once. Terms are counted, models fitted and posts scored in blocks of posts, so no
+posting is a row of a shuffle.
 """
 
 from __future__ import annotations
@@ -13,18 +14,22 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumlens.operators.bayes import SCORE_DIGITS, class_sizes
 from forumlens.operators.ordering import running_totals
-from forumlens.operators.tfidf import VocabularyRule, smooth_idf, term_counts
+from forumlens.operators.tfidf import VocabularyRule, dealt, in_blocks, smooth_idf
 from forumlens.session import stage
 
 MEASURES = ("accuracy", "roc_auc")
 
-# Sums carried side by side in one pass over the postings.
-MAX_SUMS = 48
+# Sums carried side by side in one pass over the posts, and numbers that all terms of a pass have together.
+MAX_SUMS = 512
+MAX_NUMBERS = 1 << 24
 
 # First letters by which equally frequent terms are counted before they are ranked.
 TIE_LETTERS = 3
@@ -75,13 +80,33 @@ def _fold_sizes(docs: DataFrame) -> DataFrame:
     return sizes.select("fold", (total - F.col("n")).alias("n_train"))
 
 
-def _training_terms(postings: DataFrame, n_folds: int) -> DataFrame:
-    """Frequencies of each term in the training rows of each fold (fold, term, df, cf)."""
-    sums = [F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")]
+def _training_terms(docs: DataFrame, n_folds: int) -> DataFrame:
+    """Frequencies of each term in the training rows of each fold (fold, term, df, cf).
+
+    Terms are counted inside blocks of posts; rows of one id, label and fold are one post.
+    """
+    # a function of its own, so that executors need not have this package
+    def count(posts: pa.Table) -> pa.Table:
+        lists = posts["_terms"].combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode(null_encoding="encode")
+        n = max(len(coded.dictionary), 1)
+        post, folds = np.zeros(len(posts), np.int64), posts["fold"].combine_chunks().dictionary_encode(null_encoding="encode")
+        for c in ("id", "label", "fold"):
+            own = posts[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+            post = np.unique(post * (own.max(initial=0) + 1) + own, return_inverse=True)[1].reshape(-1)
+        fold_of = np.zeros(int(post.max(initial=-1)) + 1, np.int64)
+        fold_of[post] = folds.indices.to_numpy()
+        entry, tf = np.unique(np.repeat(post, sizes) * n + coded.indices.to_numpy(), return_counts=True)
+        key, place = np.unique(fold_of[entry // n] * n + entry % n, return_inverse=True)
+        return pa.table({"term": coded.dictionary.take(pa.array(key % n)), "fold": folds.dictionary.take(pa.array(key // n)).cast(pa.int32()),
+                         "df": np.bincount(place, minlength=len(key)).astype(np.int64), "cf": np.bincount(place, weights=tf, minlength=len(key)).astype(np.int64)})
+
+    counted = dealt(docs, ("id", "label", "fold")).groupBy("block").applyInArrow(count, "term string, fold int, df long, cf long")
+    sums = [F.sum("df").alias("df"), F.sum("cf").alias("cf")]
     for f in range(n_folds):
-        mine = F.col("fold") == f
-        sums += [F.count_if(mine).alias(f"df{f}"), F.sum(F.when(mine, F.col("tf")).otherwise(0)).alias(f"cf{f}")]
-    per_term = postings.groupBy("term").agg(*sums)
+        sums += [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for c in ("df", "cf")]
+    per_term = counted.groupBy("term").agg(*sums)
     trained = F.explode(F.array(*[
         F.struct(F.lit(f).alias("fold"), (F.col("df") - F.col(f"df{f}")).alias("df"),
                  (F.col("cf") - F.col(f"cf{f}")).alias("cf")) for f in range(n_folds)
@@ -151,7 +176,7 @@ def _leading(terms: DataFrame, size: int) -> DataFrame:
 
 
 def _distinct_vocabularies(vocabularies: DataFrame) -> DataFrame:
-    """(rule, fold, model): the first rule with the same terms in the fold stands for all of them.
+    """(rule, fold, model, n): the first rule with the same terms in the fold stands for all of them; ``n`` is their number.
 
     Two rules agree in a fold when number, sum and xor of their terms' hashes agree.
     """
@@ -159,62 +184,145 @@ def _distinct_vocabularies(vocabularies: DataFrame) -> DataFrame:
     prints = vocabularies.groupBy("rule", "fold").agg(
         F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"))
     firsts = prints.groupBy("fold", "n", "s", "x").agg(F.min("rule").alias("model"))
-    return prints.join(firsts, ["fold", "n", "s", "x"]).select("rule", "fold", "model")
+    return prints.join(firsts, ["fold", "n", "s", "x"]).select("rule", "fold", "model", "n")
+
 
+def _passes(fitted: list[tuple[int, int, int]], sums: int) -> list[list[tuple[int, int]]]:
+    """The (model, fold) pairs of each pass, from pairs with their numbers of terms and the sums that each pair needs."""
+    passes, numbers = [[]], 0
+    for model, fold, n in fitted:
+        if passes[-1] and ((len(passes[-1]) + 1) * sums > MAX_SUMS or numbers + n * (sums + 1) > MAX_NUMBERS):
+            passes.append([])
+            numbers = 0
+        passes[-1].append((model, fold))
+        numbers += n * (sums + 1)
+    return passes
 
-def _scored_counts(docs: DataFrame, postings: DataFrame, models: DataFrame, fitted: list[tuple[int, int]],
+
+def _scored_counts(docs: DataFrame, models: DataFrame, fitted: list[tuple[int, int, int]],
                    classes: list, alphas: list[float], n_folds: int, by_odds: bool) -> DataFrame:
     """Posts per (model, fold, part, alpha, label, prediction), and per log-odds of the last class if these are wanted."""
-    per_pass = max(1, MAX_SUMS // (len(classes) * len(alphas)))
-    passes = [fitted[i:i + per_pass] for i in range(0, len(fitted), per_pass)]
-    counted = [_one_pass(docs, postings, models, p, classes, alphas, n_folds, by_odds) for p in passes]
+    counted = [_one_pass(docs, models, p, classes, alphas, n_folds, by_odds) for p in _passes(fitted, len(classes) * len(alphas))]
     return reduce(DataFrame.unionByName, counted)
 
 
-def _one_pass(docs: DataFrame, postings: DataFrame, models: DataFrame, slots: list[tuple[int, int]],
+def _one_pass(docs: DataFrame, models: DataFrame, slots: list[tuple[int, int]],
               classes: list, alphas: list[float], n_folds: int, by_odds: bool) -> DataFrame:
-    """Fit and score some (model, fold) pairs side by side: each has its own columns, so the
-    postings are not multiplied by the number of models. A class is named by its position."""
-    slot, cls = range(len(slots)), range(len(classes))
+    """Fit and score some (model, fold) pairs, named by their position, side by side in blocks of posts.
+
+    A term has a list of what it is in each pair, so the posts are not multiplied by the number of models. Posts without an id are not learnt
+    from and keep the priors, as do those without a term of a model; rows with one id are scored together. Of scores, ``SCORE_DIGITS`` digits count.
+    """
+    n_classes, n_alphas, digits = len(classes), len(alphas), SCORE_DIGITS
     fold_of = [fold for _, fold in slots]
-    position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int") - 1
-    is_slot = [f"(model = {m} AND fold = {f})" for m, f in slots]
-    wide = stage(models.where(" OR ".join(is_slot)).groupBy("term").agg(*_exprs(
-        f"max(IF({is_slot[k]}, idf, NULL)) AS idf{k}" for k in slot)))
-    raw = postings.withColumn("cls", position).join(wide, "term").selectExpr(
-        "id", "cls", "fold", "term", *[f"tf * idf{k} AS x{k}" for k in slot])
-    lengths = [f"sqrt(sum(x{k} * x{k})) AS len{k}" for k in slot]
+    priors = np.array(_fold_priors(docs, classes, n_folds), float)
+    names = docs.sparkSession.range(1).select(_literal_structs(
+        [{"slot": k, "model": m, "fold": f} for k, (m, f) in enumerate(slots)]).alias("s")).select("s.*")
+    known = stage(models.join(F.broadcast(names), ["model", "fold"]).select("slot", "term", "idf"))
+
+    # functions of their own, so that executors need not have this package
+    def entries(posts: pa.Table, post: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """Place of the id (-1: null) and of the label (last: null), and fold of each row; the row's post, term and count of each entry."""
+        names = posts["id"].combine_chunks()
+        ids = names.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        null = names.is_null().to_numpy(zero_copy_only=False)
+        labels = posts["label"].combine_chunks()
+        own = pc.fill_null(pc.index_in(labels, value_set=pa.array(classes, labels.type)), n_classes).to_numpy(zero_copy_only=False).astype(np.int64)
+        fold = pc.fill_null(posts["fold"].combine_chunks().cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+        group = np.unique(np.stack((ids, own, fold), axis=1), axis=0, return_inverse=True)[1].reshape(-1) if len(ids) else ids
+        first = np.zeros(int(group.max(initial=-1)) + 1, np.int64)
+        first[group] = np.arange(len(group))
+        here = ~null[post]
+        entry, tf = np.unique(group[post[here]] * n + place[here], return_counts=True)
+        return np.where(null, -1, ids), own, fold, first[entry // n], entry % n, tf
+
+    def by_slot(known: pa.Table) -> tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the terms are in the pairs, ordered by pair; their places among the terms, and where each pair begins."""
+        lists = known["models"].combine_chunks()
+        each = lists.flatten()
+        term = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        slot = each.field("slot").to_numpy(zero_copy_only=False)
+        order = np.argsort(slot, kind="stable")
+        return each.take(pa.array(order)), term[order], slot[order], np.searchsorted(slot[order], np.arange(len(fold_of) + 1))
+
+    def weighed(ids, row, term, tf, n, its_terms, idf):
+        """The entries of one pair's terms: which ones, their weights and the lengths of all ids."""
+        weight = np.zeros(n)
+        weight[its_terms] = idf
+        some = np.flatnonzero(weight[term])
+        x = tf[some] * weight[term[some]]
+        return some, x, np.sqrt(np.bincount(ids[row[some]], weights=x * x, minlength=int(ids.max(initial=0)) + 1))
+
+    def sums_of_block(posts: pa.Table, known: pa.Table, post: np.ndarray, place: np.ndarray) -> pa.Table:
+        n = max(len(known), 1)
+        ids, own, fold, row, term, tf = entries(posts, post, place, n)
+        each, its_term, its_slot, begin = by_slot(known)
+        idf = each.field("idf").to_numpy(zero_copy_only=False)
+        sums = np.zeros((n_classes, len(idf)))
+        occurs = np.bincount(term, minlength=n) > 0
+        for k, f in enumerate(fold_of):
+            part = slice(begin[k], begin[k + 1])
+            some, x, length = weighed(ids, row, term, tf, n, its_term[part], idf[part])
+            rows = row[some]
+            w = x / length[ids[rows]]
+            for i in range(n_classes):
+                mine = (own[rows] == i) & (fold[rows] != f) & (fold[rows] >= 0)
+                sums[i, part] = np.bincount(term[some[mine]], weights=w[mine], minlength=n)[its_term[part]]
+        there = occurs[its_term]
+        return pa.table({"slot": pa.array(its_slot[there], pa.int32()), "term": known["term"].combine_chunks().take(pa.array(its_term[there])),
+                         **{f"w{i}": sums[i, there] for i in range(n_classes)}})
 
     # fit: weights of the training rows per class and term
-    unit = raw.join(raw.groupBy("id").agg(*_exprs(lengths)), "id")
-    sums = stage(unit.groupBy("term").agg(*_exprs(
-        f"sum(IF(cls = {i} AND fold <> {fold_of[k]}, x{k} / len{k}, 0D)) AS w{k}_{i}" for k in slot for i in cls
-    ), *_exprs(f"max(x{k} IS NOT NULL) AS in{k}" for k in slot)))
-    totals = sums.agg(*_exprs(f"sum(w{k}_{i}) AS w{k}_{i}" for k in slot for i in cls),
-                      *_exprs(f"count_if(in{k}) AS in{k}" for k in slot)).first()
-    logps = sums.selectExpr("term", *[
-        f"ln((w{k}_{i} + {_number(a)}) / {_number(totals[f'w{k}_{i}'] + a * totals[f'in{k}'])}) AS p{k}_{i}_{j}"
-        for k in slot for i in cls for j, a in enumerate(alphas)
-    ])
+    each_class = [f"w{i}" for i in range(n_classes)]
+    listed = stage(known.groupBy("term").agg(F.collect_list(F.struct("slot", "idf")).alias("models")))
+    in_block = in_blocks(docs, listed, sums_of_block, ", ".join(["slot int, term string", *(f"{c} double" for c in each_class)]),
+                         keep=("id", "label", "fold"))
+    sums = stage(in_block.groupBy("slot", "term").agg(*(F.sum(c).alias(c) for c in each_class)).join(known, ["slot", "term"]))
+    totals = stage(sums.groupBy("slot").agg(F.count(F.lit(1)).alias("terms"), *(F.sum(c).alias(f"all_{c}") for c in each_class)))
+    logps = F.array(*_exprs(f"ln((w{i} + {_number(a)}) / (all_w{i} + {_number(a)} * terms))" for i in range(n_classes) for a in alphas))
+    scoring = stage(sums.join(F.broadcast(totals), "slot").select("term", F.struct("slot", "idf", logps.alias("logps")).alias("m"))
+                    .groupBy("term").agg(F.collect_list("m").alias("models")))
+
+    def counts_of_block(posts: pa.Table, known: pa.Table, post: np.ndarray, place: np.ndarray) -> pa.Table:
+        n = max(len(known), 1)
+        ids, own, fold, row, term, tf = entries(posts, post, place, n)
+        each, its_term, _, begin = by_slot(known)
+        idf = each.field("idf").to_numpy(zero_copy_only=False)
+        logps = each.field("logps").flatten().to_numpy(zero_copy_only=False).reshape(len(idf), n_classes * n_alphas)
+        found = []
+        for k, f in enumerate(fold_of):
+            part = slice(begin[k], begin[k + 1])
+            some, x, length = weighed(ids, row, term, tf, n, its_term[part], idf[part])
+            weight = np.zeros((n, n_classes * n_alphas))
+            weight[its_term[part]] = logps[part]
+            scores = np.stack([np.bincount(ids[row[some]], weights=x * weight[term[some], c], minlength=len(length))
+                               for c in range(n_classes * n_alphas)], axis=1)
+            scores = np.divide(scores, length[:, None], out=np.zeros(scores.shape), where=length[:, None] > 0)
+            scores = np.where(ids[:, None] >= 0, scores[ids] if len(scores) else 0.0, 0.0).reshape(len(ids), n_classes, n_alphas) + priors[f][None, :, None]
+            for j in range(n_alphas):
+                best = np.round(scores[:, :, j], digits).argmax(axis=1)
+                code = (own * 2 + (fold == f)) * n_classes + best
+                if by_odds:
+                    with np.errstate(invalid="ignore"):
+                        odds = np.round(scores[:, 1, j] - scores[:, 0, j], digits) + 0.0  # one zero, without a sign
+                else:
+                    odds = np.zeros(len(code))
+                for c in np.unique(code):
+                    values, counts = np.unique(odds[code == c], return_counts=True)
+                    found.append((np.full(len(values), k), np.full(len(values), j), np.full(len(values), c), values, counts))
+        slot, alpha, code, odds, counts = (np.concatenate(c) for c in zip(*found))
+        label, kind = pa.array([*classes, None], posts["label"].type), pa.array(classes, posts["label"].type)
+        return pa.table({"slot": pa.array(slot, pa.int32()), "alpha": pa.array(np.array(alphas, float)[alpha]),
+                         "part": pa.array(["train", "valid"]).take(pa.array(code // n_classes % 2)),
+                         "label": label.take(pa.array(code // n_classes // 2)), "prediction": kind.take(pa.array(code % n_classes)),
+                         "odds": odds, "n": counts.astype(np.int64)})
 
     # score: a post without a term of a model keeps the prior
-    loglik = raw.join(logps, "term").groupBy("id").agg(*_exprs(lengths), *_exprs(
-        f"sum(x{k} * p{k}_{i}_{j}) AS s{k}_{i}_{j}" for k in slot for i in cls for j in range(len(alphas))))
-    priors = _fold_priors(docs, classes, n_folds)
-
-    def row(k: int, j: int) -> str:
-        scores = ", ".join(
-            f"coalesce(s{k}_{i}_{j} / len{k}, 0D) + {_number(priors[fold_of[k]][i])}" for i in cls)
-        return (f"named_struct('model', {slots[k][0]}, 'fold', {fold_of[k]}, 'alpha', {_number(alphas[j])}, "
-                f"'scores', array({scores}))")
-
-    rows = ", ".join(row(k, j) for k in slot for j in range(len(alphas)))
-    scored = docs.selectExpr("id", "label", "fold AS own").join(loglik, "id", "left").selectExpr(
-        "own", "label", f"inline(array({rows}))")
-    part = F.when(F.col("own") == F.col("fold"), "valid").otherwise("train")
-    return _predictions(scored.withColumn("part", part), classes).groupBy(
-        "model", "fold", "part", "alpha", "label", "prediction", *(["odds"] if by_odds else [])).agg(
-        F.count(F.lit(1)).alias("n"))
+    kind = docs.schema["label"].dataType.simpleString()
+    scored = in_blocks(docs, scoring, counts_of_block, f"slot int, alpha double, part string, label {kind}, prediction {kind}, odds double, n long",
+                       keep=("id", "label", "fold"))
+    return scored.join(F.broadcast(names), "slot").groupBy(
+        "model", "fold", "part", "alpha", "label", "prediction", *(["odds"] if by_odds else [])).agg(F.sum("n").alias("n"))
 
 
 def _fold_priors(docs: DataFrame, classes: list, n_folds: int) -> list[list[float]]:
@@ -228,17 +336,6 @@ def _fold_priors(docs: DataFrame, classes: list, n_folds: int) -> list[list[floa
     return priors
 
 
-def _predictions(scored: DataFrame, classes: list) -> DataFrame:
-    """Best class, the first on a tie, and, of two classes, log-odds of the last from the scores."""
-    scores = F.col("scores")
-    rounded = F.transform(scores, lambda s: F.round(s, SCORE_DIGITS))
-    odds = F.round(scores[1] - scores[0], SCORE_DIGITS) if len(classes) == 2 else F.lit(None).cast("double")
-    best = F.array_position(rounded, F.array_max(rounded)).cast("int")
-    return scored.select(
-        "model", "fold", "part", "alpha", "label",
-        F.element_at(F.array(*[F.lit(c) for c in classes]), best).alias("prediction"), odds.alias("odds"))
-
-
 def fold_measures(docs: DataFrame, choices: list[Choice], measures: tuple[str, ...] = MEASURES) -> DataFrame:
     """Each measure on the validation and training part of each fold, for every choice.
 
@@ -254,14 +351,12 @@ def fold_measures(docs: DataFrame, choices: list[Choice], measures: tuple[str, .
     n_folds = docs.agg(F.max("fold")).first()[0] + 1
     rules = list(dict.fromkeys(c.rule for c in choices))
     alphas = list(dict.fromkeys(c.alpha for c in choices))
-    postings = stage(term_counts(docs, keep=("id", "label", "fold")))
-    terms = _training_terms(postings, n_folds)
+    terms = _training_terms(docs, n_folds)
     vocabularies = stage(_vocabularies(terms, _fold_sizes(docs), rules))
     assigned = stage(_distinct_vocabularies(vocabularies))
-    fitted = sorted((r["model"], r["fold"]) for r in assigned.select("model", "fold").distinct().collect())
+    fitted = sorted(map(tuple, assigned.select("model", "fold", "n").distinct().collect()))
     models = vocabularies.withColumnRenamed("rule", "model")
-    counts = stage(_scored_counts(docs, postings, models, fitted, classes, alphas, n_folds,
-                                  by_odds="roc_auc" in measures))
+    counts = stage(_scored_counts(docs, models, fitted, classes, alphas, n_folds, by_odds="roc_auc" in measures))
     group = ["model", "fold", "part", "alpha"]
     results = []
     if "accuracy" in measures:
@@ -284,7 +379,7 @@ def fold_measures(docs: DataFrame, choices: list[Choice], measures: tuple[str, .
         F.col("id").cast("int").alias("fold"), _literal_structs(wanted).alias("c")).select("fold", "c.*")
     for name, values in (("part", ("train", "valid")), ("metric", measures)):
         every = every.withColumn(name, F.explode(F.array(*(F.lit(v) for v in values))))
-    plan = every.join(assigned, ["rule", "fold"], "left")  # no model where no term is left
+    plan = every.join(assigned.drop("n"), ["rule", "fold"], "left")  # no model where no term is left
     return plan.join(per_model, ["model", "fold", "alpha", "part", "metric"], "left").select(
         "choice", "fold", "part", "metric", "value")
 

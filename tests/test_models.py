@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from forumlens.operators import bayes, evaluate, ordering, split, tuning
+from forumlens.operators import bayes, evaluate, ordering, split, tfidf, tuning
 from forumlens.operators.tfidf import VocabularyRule
 from forumlens.operators.tuning import Choice
 from tests import helpers
@@ -250,3 +250,27 @@ def test_no_fold_or_choice_is_lost(spark):
     assert summary[2, "accuracy"]["valid_avg"] is None and summary[2, "accuracy"]["train_sd"] is None
     searched = tuning.grid_search(df, choices)
     assert searched.count() == 3 and tuning.best_choice(searched, choices) != choices[2]
+
+
+def test_searches_write_no_table_of_postings(spark, monkeypatch):
+    """Terms are counted, models fitted and posts scored in blocks of posts, whatever their number."""
+    written, stage = [], tuning.stage
+    monkeypatch.setattr(tuning, "stage", lambda df: (written.append(set(df.columns)), stage(df))[1])
+    monkeypatch.setattr(tfidf, "BLOCK_WORDS", 30)
+    data = labelled()
+    folds = {i: k % 3 for k, i in enumerate(data)}
+    for r in tuning.summarise(tuning.fold_measures(frame(spark, data, fold=folds), CHOICES)).collect():
+        expected = brute_folds(data, folds, CHOICES[r["choice"]])
+        assert [r["valid_avg"], r["train_avg"]] == pytest.approx([np.mean(expected[p, r["metric"]]) for p in ("valid", "train")])
+    assert written and not any({"id", "term"} <= columns for columns in written)
+
+
+def test_rows_of_one_id_label_and_fold_are_one_post(spark):
+    docs = [(1, "a", 0, ["x", "y", "x"]), (1, "a", 0, ["x"]), (1, "b", 0, ["x"]), (2, "b", 1, ["x", "y"]), (None, "a", 1, ["z"]),
+            (None, "a", 1, ["z", "y"]), (3, None, 2, []), (4, "a", None, ["w"])]
+    df = spark.createDataFrame(docs, "id long, label string, fold int, terms array<string>")
+    got = {(r["fold"], r["term"]): (r["df"], r["cf"]) for r in tuning._training_terms(df, 3).collect()}
+    both = {"x": (3, 5), "y": (3, 3), "z": (1, 2), "w": (1, 1)}
+    own = {0: {"x": (2, 4), "y": (1, 1)}, 1: {"x": (1, 1), "y": (2, 2), "z": (1, 2)}, 2: {}}
+    left = {(f, t): tuple(a - b for a, b in zip(n, own[f].get(t, (0, 0)))) for f in own for t, n in both.items()}
+    assert got == {k: n for k, n in left.items() if n[0]}
