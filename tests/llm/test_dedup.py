@@ -2,6 +2,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -140,6 +142,35 @@ def test_every_pair_within_the_rate_meets(data):
     assert [x[two[0] == 1].tolist() for x in two[1:]] == [x.tolist() for x in one[1:]]
 
 
+def test_keys_are_dealt_once(spark, monkeypatch):
+    staged, stage = [], line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df: staged.append(df) or stage(df))
+    line_dedup.decide(frame(spark, line_rows())).collect()
+    candidates = next(df for df in staged if df.columns == ["ref_a", "ref_b"])
+    assert candidates._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_crowded_keys_meet_in_several_parts():
+    lines = sorted({line for _, text in line_rows() for _, line in line_dedup.lines_of(text) if len(line) >= 16})
+    ids, lengths = [line_dedup.line_id(line) for line in lines], np.array([len(line) for line in lines])
+    refs = line_dedup.references(ids, lines)
+
+    def met(count, every, n_parts):
+        keys = line_dedup.join_keys(lines, np.full(1 << 20, count, np.uint16))
+        dealt = pa.Table.from_batches([line_dedup._dealt_keys(refs, lengths, keys, every, n_parts)] * 2)  # twice, as by two tasks
+        found = set()
+        for part in set(dealt["part"].to_pylist()):
+            of_part = line_dedup._meet(None)(dealt.filter(pc.equal(dealt["part"], part)))
+            found |= set(zip(of_part["ref_a"].to_pylist(), of_part["ref_b"].to_pylist()))
+        return found
+
+    every_one = met(1, 1, 1)
+    assert len(every_one) > 100 and met(1, 1, 7) == every_one and met((1 << 15) - 1, 64, 7) == every_one
+    alike = {tuple(sorted((int(refs[i]), int(refs[j])))) for i, a in enumerate(lines) for j, b in enumerate(lines)
+             if i < j and refs[i] != refs[j] and distance(a, b) <= min(len(a), len(b)) // 16}
+    assert alike and alike <= every_one
+
+
 def test_odd_documents_keep_their_rows(spark):
     rows = odd_rows()
     df = frame(spark, rows)
