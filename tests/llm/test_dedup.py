@@ -311,3 +311,14 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in graph.components(df).collect()}
     assert got == {k: 0 for k in range(31)} | {100: 100, 105: 100, 103: 100, 200: 200, 201: 200}
     assert graph.components(df.where("false")).count() == 0
+
+
+def test_references_are_made_for_a_whole_batch(monkeypatch):
+    calls, references = [], line_dedup.references
+    monkeypatch.setattr(line_dedup, "references", lambda ids, lines: calls.append(len(lines)) or references(ids, lines))
+    texts = ["one line of words\n\n  another line of words ", None, "", "one line of words"]
+    batch = pa.record_batch({"doc_id": [1, 2, None, 4], "tie": [5, 6, 7, 8], "text": texts})
+    (listed,) = line_dedup._list_lines(iter([batch]))
+    assert calls == [3] and listed.column("doc_id").to_pylist() == [1, 2, None, 4]
+    rows = [[(x["place"], x["line"]) for x in row] for row in listed.column("lines").to_pylist()]
+    assert rows == [[(k, line_dedup.line_id(s)) for k, s in line_dedup.lines_of(t or "")] for t in texts]
