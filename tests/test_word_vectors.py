@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from forumlens.operators import similarity, word_vectors
+from forumlens.operators import similarity, tfidf, word_vectors
 from forumlens.session import stage
 
 
@@ -95,3 +95,15 @@ def test_pairs_are_made_once_and_null_words_make_none(spark, docs):
     got = {(r.word, r.context): r.n for r in word_vectors.cooccurrences(odd, window=3, min_count=1).collect()}
     assert got == {("a", "b"): 3, ("b", "a"): 3, ("a", "a"): 2}
     assert word_vectors.cooccurrences(odd, window=1, min_count=1).collect() == []
+
+
+def test_pairs_move_as_arrays(spark, docs, monkeypatch):
+    whole = {(r.word, r.context): r.n for r in word_vectors.cooccurrences(docs).collect()}
+    monkeypatch.setattr(tfidf, "BLOCK_WORDS", 500)
+    monkeypatch.setattr(word_vectors, "CELL_PAIRS", 900)
+    monkeypatch.setattr(word_vectors, "STRETCH", 11)
+    found = word_vectors.cooccurrences(docs)
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()  # no pair is a row before it is named
+    assert {(r.word, r.context): r.n for r in found.collect()} == whole
+    twice = stage(docs.union(docs).union(docs.select(docs.id - docs.id, "words")))  # ids need not be unique
+    assert {(r.word, r.context): r.n for r in word_vectors.cooccurrences(twice).collect()} == {k: 3 * n for k, n in whole.items()}
