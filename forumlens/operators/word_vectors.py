@@ -215,6 +215,37 @@ def cooccurrences(docs: DataFrame, words: str = "words", window: int = WINDOW, m
         named, "word string, context string, n long")
 
 
+def _informed(counted: Cells) -> Cells:
+    """The positive pointwise mutual information of counted pairs, staged; see ``mutual_information``."""
+    totals = stage(counted.times(counted.words.select("term", F.lit(1.0).alias("total"))).join(counted.words.withColumnRenamed("term", "row"), "row").select(
+        "bucket", "place", F.col("total").cast("bigint").alias("total")))
+    total = int(totals.agg(F.sum("total")).first()[0] or 0)
+    buckets, kind, (planes, numbers) = counted.buckets, counted.kind, _codec()
+
+    def pack(rows: pa.Table) -> pa.Table:
+        of = np.zeros(len(rows), np.int64)
+        of[rows["place"].to_numpy()] = rows["total"].to_numpy()
+        return pa.table({"bucket": rows["bucket"].slice(0, 1), "totals": pa.array([of.tobytes()], pa.binary())})
+
+    def inform(entries: pa.Table, given: pa.Table) -> pa.Table:
+        of = {b: np.frombuffer(t, np.int64).astype(float) for b, t in zip(given["bucket"].to_pylist(), given["totals"].to_pylist())}
+        found = {c: [] for c in ("cell", "i", "j", "x")}
+        for cell, *parts in zip(*(entries[c].to_pylist() for c in ("cell", "i", "j", "x"))):
+            i, j, n = (numbers([part], k) for part, k in zip(parts, (np.int32, np.int32, kind)))
+            p, q = divmod(cell, buckets)
+            x = np.log(n.astype(float) * total / (of[p][i] * of[q][j]))
+            some = x > 0
+            found["cell"].append(cell)
+            for c, v, k in (("i", i, np.int32), ("j", j, np.int32), ("x", x, np.float64)):
+                found[c].append(planes(v[some], k))
+        return pa.table({"cell": pa.array(found["cell"], pa.int32()), **{c: pa.array(found[c], pa.binary()) for c in ("i", "j", "x")}})
+
+    arrays = counted.with_buckets(totals.groupBy("bucket").applyInArrow(pack, "bucket int, totals binary"))
+    entries = counted.entries.groupBy("cell").cogroup(arrays.groupBy("of_cell")).applyInArrow(inform, "cell int, i binary, j binary, x binary")
+    name, table = in_buckets(entries, "cell")
+    return Cells(counted.words, table, buckets, "float64", name)
+
+
 def mutual_information(counts: DataFrame) -> DataFrame:
     """(word, context, x): positive pointwise mutual information of staged counts; pairs that meet no more than by chance are left out."""
     totals = stage(counts.groupBy("word").agg(F.sum("n").alias("total")))
@@ -293,5 +324,9 @@ def _factorised(words: DataFrame, matrix: Blocks | Cells, dimensions: int = DIME
 
 
 def learn(docs: DataFrame, words: str = "words", **options) -> WordVectors:
-    """Word vectors of a staged table of posts (id, words)."""
-    return factorise(stage(mutual_information(stage(cooccurrences(docs, words)))), **options)
+    """Word vectors of a staged table of posts (id, words): counts, information and products are made in the same cells of words."""
+    matrix = _informed(_counted(docs, words, WINDOW, MIN_COUNT))
+    ones = matrix.times(matrix.words.select("term", F.lit(1.0).alias("x")))
+    found = _factorised(stage(ones.where(F.col("x") > 0).select(F.col("row").alias("word"))), matrix, **options)
+    matrix.drop()
+    return found

@@ -107,3 +107,16 @@ def test_pairs_move_as_arrays(spark, docs, monkeypatch):
     assert {(r.word, r.context): r.n for r in found.collect()} == whole
     twice = stage(docs.union(docs).union(docs.select(docs.id - docs.id, "words")))  # ids need not be unique
     assert {(r.word, r.context): r.n for r in word_vectors.cooccurrences(twice).collect()} == {k: 3 * n for k, n in whole.items()}
+
+
+def test_vectors_learnt_in_cells_are_those_of_rows(spark, docs, monkeypatch):
+    monkeypatch.setattr(tfidf, "BLOCK_WORDS", 500)
+    monkeypatch.setattr(word_vectors, "CELL_PAIRS", 900)
+    monkeypatch.setattr(word_vectors, "STRETCH", 11)
+    information = stage(word_vectors.mutual_information(stage(word_vectors.cooccurrences(docs))))
+    monkeypatch.setattr(word_vectors, "mutual_information", None)  # no pair of words is a row on the way
+    learnt = word_vectors.learn(docs, dimensions=4, rounds=3, tolerance=0.0)
+    rows = word_vectors.factorise(information, dimensions=4, rounds=3, tolerance=0.0)
+    got, expected = ({r.word: r.vector for r in found.vectors.collect()} for found in (learnt, rows))
+    assert set(got) == set(expected) and all(got[w] == pytest.approx(expected[w], abs=1e-9) for w in expected)
+    assert learnt.rounds == 3 and learnt.moved == pytest.approx(rows.moved, rel=1e-6) and not spark.catalog.listTables()
