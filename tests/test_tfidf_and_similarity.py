@@ -120,6 +120,18 @@ def test_mean_vectors_in_blocks_move_no_vector_per_word(spark, monkeypatch):
             assert r["vector"] == pytest.approx([sum(x) / len(x) for x in zip(*expected[r["id"]])])
 
 
+def test_mean_vectors_read_word_vectors_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_POSTS", 5)
+    monkeypatch.setattr(similarity, "BLOCK_VECTORS", 2)  # several batches
+    docs = spark.createDataFrame([(i, [f"w{i % 7}", None, "unknown", f"w{i % 3}"]) for i in range(20)] + [(30, None), (31, [])], "id long, words array<string>")
+    known = spark.createDataFrame([(f"w{k}", [float(k), 1.0]) for k in range(7)], "word string, vector array<double>")
+    found = similarity.document_vectors(docs, known)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and "word#" not in plan  # neither words nor their vectors are dealt
+    got = {r["id"]: r["vector"] for r in found.collect()}
+    assert got == {**{i: [(i % 7 + i % 3) / 2, 1.0] for i in range(20)}, 30: None, 31: None}
+
+
 def test_means_are_plain_sums(spark):
     rows = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 0.5]), ("a", None), ("b", [4.0, 4.0])], "word string, v array<float>")
     means = similarity.mean_by(rows, "word", "v", 2)
